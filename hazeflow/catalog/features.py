@@ -87,7 +87,7 @@ def q_humidex_rounded(spark, sf_dir):
 
 @query(
     "time_features",
-    f"SELECT event_id, epoch_ms(event_ts) AS timestamp, {CALENDAR} FROM (SELECT event_id, ts AS event_ts FROM events)",
+    f"SELECT event_id, epoch_us(event_ts) // 1000 AS timestamp, {CALENDAR} FROM (SELECT event_id, ts AS event_ts FROM events)",
 )
 def q_time_features(spark, sf_dir):
     ts = F.col("ts").cast("timestamp")

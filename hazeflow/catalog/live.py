@@ -64,7 +64,7 @@ def q_station(spark, sf_dir):
 @query(
     "envelope_filter",
     f"""WITH {LANDED}
-    SELECT event_id, CASE s_shape WHEN 2 THEN 'status_not_ok' WHEN 3 THEN 'no_data' WHEN 6 THEN 'not_json' END
+    SELECT event_id, CASE s_shape WHEN 2 THEN 'status_not_ok' WHEN 3 THEN 'no_data' WHEN 6 THEN 'unreadable' END
              AS envelope_error
     FROM landed""",
 )
@@ -88,7 +88,7 @@ def q_pollution(spark, sf_dir):
     return d.select("event_id", F.col("pollution_record").isNotNull().alias("decoded"), "pollution_record.*")
 
 
-LIVE_COLUMNS = f"""epoch_ms(event_ts) AS timestamp, pm25,
+LIVE_COLUMNS = f"""epoch_us(event_ts) // 1000 AS timestamp, pm25,
            coalesce(pm10, round(pm25 * 1.8e0, 2), 40e0) AS pm10, temperature, humidity,
            coalesce(round({humidex_sql()}, 2), 35e0) AS humidex, 0e0 AS aqi_change_rate, {CALENDAR}"""
 

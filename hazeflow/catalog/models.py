@@ -1 +1,101 @@
-"""Filled in below."""
+"""Model training, tuning, registry and scoring. Results of iterative fits have no SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..ml.explain import permutation_importance
+from ..ml.metrics import regression_metrics
+from ..ml.models import train_and_evaluate, usable
+from ..ml.neural import fit_neural
+from ..ml.registry import load_champion, read_registry, register_model
+from ..ml.scaling import model_columns, standard_scale
+from ..ml.split import split
+from ..ml.tuning import grid_search
+from ..plans.inference import score_with
+from ..session import materialize, work_dir
+from .base import query
+from .features import features_of
+
+#: Smaller grids for the registered searches; the full ones are the library's defaults.
+FOREST_SEARCH = {"numTrees": [10, 20], "maxDepth": [5, 10], "minInstancesPerNode": [1]}
+BOOSTED_SEARCH = {"maxIter": [10], "stepSize": [0.05, 0.1], "maxDepth": [3], "subsamplingRate": [0.8, 1.0]}
+
+
+def _stored(spark, sf_dir):
+    """The feature table, written once: trainers read it many times."""
+    return materialize(features_of(spark, sf_dir), "features")
+
+
+def _report(spark, algo, metrics):
+    return spark.createDataFrame([(algo, metrics["mae"], metrics["rmse"], metrics["r2"])], "algo string, mae double, rmse double, r2 double")
+
+
+def _train_eval(kind):
+    def run(spark, sf_dir):
+        train, test = split(_stored(spark, sf_dir))
+        return _report(spark, kind, train_and_evaluate(train, test, kind)[1])
+
+    return run
+
+
+q_ridge = query("ridge_train_eval")(_train_eval("ridge"))
+q_forest = query("rf_train_eval")(_train_eval("forest"))
+q_boosted = query("gbt_train_eval")(_train_eval("boosted"))
+
+
+@query("mlp_train_eval")
+def q_neural(spark, sf_dir):
+    cols = model_columns()
+    train, test = split(usable(_stored(spark, sf_dir), cols))
+    n_rows = train.count()
+    model = fit_neural(standard_scale(train, train, cols), cols, n_rows)
+    scaled = standard_scale(test, train, cols)
+    scored = scaled.withColumn("prediction", model.predict(F.array(*cols)))
+    return regression_metrics(scored, "target_aqi").select(F.lit("neural").alias("algo"), "mae", "rmse", "r2")
+
+
+def _tune(kind, grid):
+    def run(spark, sf_dir):
+        train, test = split(_stored(spark, sf_dir))
+        _, metrics, results = grid_search(train, test, kind, grid)
+        rows = [(kind, str(sorted(s.items())), float(r2), metrics["r2"]) for s, r2 in results]
+        return spark.createDataFrame(rows, "algo string, setting string, mean_r2 double, test_r2 double")
+
+    return run
+
+
+q_tune_forest = query("rf_tune")(_tune("forest", FOREST_SEARCH))
+q_tune_boosted = query("gbt_tune")(_tune("boosted", BOOSTED_SEARCH))
+
+
+def _registered(spark, sf_dir):
+    """Two ridge models of different penalty in a fresh registry."""
+    features = _stored(spark, sf_dir)
+    train, test = split(features)
+    root = work_dir(spark, "registry")
+    for alpha in (1.0, 1000.0):
+        model, metrics = train_and_evaluate(train, test, "ridge", alpha=alpha)
+        register_model(spark, root, "aqi", "ridge", model, metrics, f"ridge, alpha {alpha}")
+    return features, root
+
+
+@query("model_registry")
+def q_registry(spark, sf_dir):
+    _, root = _registered(spark, sf_dir)
+    return read_registry(spark, root).select(
+        "name", "version", "algo", F.col("metrics")["r2"].alias("r2"), F.col("metrics")["mae"].alias("mae"), "description"
+    )
+
+
+@query("batch_score")
+def q_batch_score(spark, sf_dir):
+    features, root = _registered(spark, sf_dir)
+    return score_with(load_champion(spark, root, "aqi"), features)
+
+
+@query("perm_importance")
+def q_importance(spark, sf_dir):
+    train, test = split(_stored(spark, sf_dir))
+    model, _ = train_and_evaluate(train, test, "ridge")
+    return permutation_importance(model, test, model_columns(), test.count())

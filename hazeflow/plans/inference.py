@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,3 +16,17 @@ def hazard_alerts(scored: DataFrame, column: str = "prediction", threshold: floa
     return scored.where(F.col(column) >= threshold).select(
         "city", "timestamp", column, aqi_category(F.col(column)).alias("category")
     )
+
+
+def score_with(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """Key and prediction of every row whose inputs are known; works on streams too."""
+    return model.transform(features).select("city", "timestamp", "prediction")
+
+
+def forecast(features: DataFrame, models: dict[int, PipelineModel]) -> DataFrame:
+    """One row per feature row and horizon: the label expected h hours later."""
+    parts = [
+        score_with(model, features).select("city", "timestamp", F.lit(h).alias("horizon_h"), "prediction")
+        for h, model in sorted(models.items())
+    ]
+    return reduce(DataFrame.unionByName, parts)

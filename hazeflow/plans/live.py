@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import enrich
-from ..sources.payloads import choose_record, decode_pollution, decode_station
+from ..sources.payloads import choose_record, decode_cycle
 
 
 def decode_landed(landed: DataFrame) -> DataFrame:
-    """Both decoders, then whole-record fallback."""
-    return landed.transform(decode_pollution).transform(decode_station).transform(choose_record)
+    """Both records of each fetch cycle, then whole-record fallback."""
+    return landed.transform(decode_cycle).transform(choose_record)
 
 
 def vectors_from_records(records: DataFrame, ts: str, impute_weather: bool = False) -> DataFrame:

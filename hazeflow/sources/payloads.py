@@ -1,8 +1,9 @@
 """Raw JSON payloads to typed records.
 
-Payloads are parsed once into VARIANT, which keeps an absent key, an explicit
-null and a value of another type apart. All of it is column expressions, so the
-same functions serve batches and streams.
+A payload is parsed once, with a declared structure whose leaves are VARIANT:
+that keeps an absent key, an explicit null and a value of another type apart,
+and a level that is no object simply is not there. All of it is column
+expressions, so the same functions serve batches and streams.
 """
 
 from __future__ import annotations
@@ -12,58 +13,66 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 
-# Where a station keeps each reading.
-STATION_PATHS = {
-    "pm25": "$.data.iaqi.pm25",
-    "temperature": "$.data.iaqi.t",
-    "humidity": "$.data.iaqi.h",
-    "pressure": "$.data.iaqi.p",
-    "wind_speed": "$.data.iaqi.w",
-    "dew_point": "$.data.iaqi.dew",
+# The parts of each payload that are used.
+STATION_KEYS = {
+    "pm25": "pm25",
+    "temperature": "t",
+    "humidity": "h",
+    "pressure": "p",
+    "wind_speed": "w",
+    "dew_point": "dew",
 }
+STATION_LAYOUT = (
+    "status VARIANT, data STRUCT<aqi: VARIANT, dominentpol: VARIANT, city: STRUCT<name: VARIANT>, iaqi: STRUCT<"
+    + ", ".join(f"{k}: STRUCT<v: VARIANT>" for k in STATION_KEYS.values())
+    + ">>"
+)
+POLLUTION_LAYOUT = (
+    "list ARRAY<STRUCT<components: STRUCT<pm2_5: VARIANT, pm10: VARIANT>, main: STRUCT<aqi: VARIANT>>>"
+)
+WEATHER_LAYOUT = "main STRUCT<temp: VARIANT, humidity: VARIANT>"
 LIVE_FIELDS = ["pm25", "pm10", "temperature", "humidity", "aqi"]
 
 
-def _at(v: Column, path: str) -> Column:
-    return F.variant_get(v, path, "variant")
+def parse_once(df: DataFrame, parsed: dict[str, Column]) -> DataFrame:
+    """Add the given columns so that later filters cannot repeat their computation.
 
-
-def _present(v: Column, path: str) -> Column:
-    return _at(v, path).isNotNull()
+    A filter is pushed below a projection together with a copy of the expression
+    it uses, which here would parse every payload twice. It is not pushed below
+    an explode, and exploding one element changes nothing else.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in parsed.items()]))).alias("_parsed")
+    return df.select("*", one).select(*[F.col(c) for c in df.columns], "_parsed.*")
 
 
-def _explicit_null(v: Column, path: str) -> Column:
-    return F.coalesce(F.is_variant_null(_at(v, path)), F.lit(False))
+def _number(leaf: Column) -> Column:
+    """A number, also if it is written as text; NULL for anything else."""
+    return F.try_variant_get(leaf, "$", "double")
 
 
-def _is_object(v: Column, path: str) -> Column:
-    return F.coalesce(F.schema_of_variant(_at(v, path)).startswith("OBJECT"), F.lit(False))
+def _text(leaf: Column) -> Column:
+    return F.try_variant_get(leaf, "$", "string")
 
 
-def _number(v: Column, path: str) -> Column:
-    """A number, also if it is written as text; NULL for anything else."""
-    return F.try_variant_get(v, path, "double")
+def _text_or(leaf: Column, default: str) -> Column:
+    """The default stands for an absent key only; an explicit null stays NULL."""
+    return F.when(leaf.isNotNull(), _text(leaf)).otherwise(F.lit(default))
 
 
-def _text(v: Column, path: str, default: str) -> Column:
-    """The default stands for an absent key only; an explicit null stays NULL."""
-    return F.when(_present(v, path), F.try_variant_get(v, path, "string")).otherwise(F.lit(default))
+def _envelope_error(reply: Column) -> Column:
+    data = reply.data
+    empty = F.coalesce(data.aqi, data.dominentpol).isNull() & data.city.isNull() & data.iaqi.isNull()
+    return (
+        F.when(F.coalesce(reply.status.isNull() & data.isNull(), F.lit(True)), F.lit("unreadable"))
+        .when(F.coalesce(_text(reply.status), F.lit("")) != "ok", F.lit("status_not_ok"))
+        .when(data.isNull() | empty, F.lit("no_data"))
+    )
 
 
 def check_envelope(df: DataFrame, raw: str = "station") -> DataFrame:
     """Add ``envelope_error``: why a station reply cannot be used, or NULL if it can."""
-    v = F.col("_envelope")
-    data = F.schema_of_variant(_at(v, "$.data"))
-    reason = (
-        F.when(v.isNull(), F.lit("not_json"))
-        .when(F.coalesce(F.try_variant_get(v, "$.status", "string"), F.lit("")) != "ok", F.lit("status_not_ok"))
-        .when(~F.coalesce(data.startswith("OBJECT") & (data != "OBJECT<>"), F.lit(False)), F.lit("no_data"))
-    )
-    return (
-        df.withColumn("_envelope", F.try_parse_json(F.col(raw)))
-        .withColumn("envelope_error", reason)
-        .drop("_envelope")
-    )
+    parsed = parse_once(df, {"_reply": F.from_json(F.col(raw), STATION_LAYOUT)})
+    return parsed.withColumn("envelope_error", _envelope_error(F.col("_reply"))).drop("_reply")
 
 
 def split_rejects(df: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -72,32 +81,49 @@ def split_rejects(df: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
     return df.where(good).drop(reason), df.where(~good)
 
 
-def decode_station(df: DataFrame, raw: str = "station", out: str = "station_record") -> DataFrame:
-    """Add a struct of the station's readings, NULL if the reply cannot be used.
-
-    A reading nested in something that is no object (an explicit null in place of
-    a group of readings, say) makes the whole reply unusable.
-    """
-    v = F.col("_station")
-    groups = ["$.data.city", "$.data.iaqi", *STATION_PATHS.values()]
-    malformed = F.lit(False)
-    for path in groups:
-        malformed = malformed | (_present(v, path) & ~_is_object(v, path))
+def _station_record(reply: Column) -> Column:
+    data = reply.data
     record = F.struct(
-        _text(v, "$.data.city.name", S.STATION_UNKNOWN).alias("station_name"),
-        _number(v, "$.data.aqi").alias("aqi"),
-        _number(v, "$.data.aqi").alias("aqi_target"),
-        _text(v, "$.data.dominentpol", S.POLLUTANT_UNKNOWN).alias("dominant_pollutant"),
-        *[_number(v, f"{path}.v").alias(name) for name, path in STATION_PATHS.items()],
+        _text_or(data.city.getField("name"), S.STATION_UNKNOWN).alias("station_name"),
+        _number(data.aqi).alias("aqi"),
+        _number(data.aqi).alias("aqi_target"),
+        _text_or(data.dominentpol, S.POLLUTANT_UNKNOWN).alias("dominant_pollutant"),
+        *[_number(data.iaqi.getField(key).v).alias(name) for name, key in STATION_KEYS.items()],
     )
-    return (
-        check_envelope(df, raw)
-        .withColumn("_station", F.try_parse_json(F.col(raw)))
-        .withColumn(out, F.when(F.col("envelope_error").isNull() & ~malformed, record))
-        .drop("_station", "envelope_error")
+    return F.when(_envelope_error(reply).isNull(), record)
+
+
+def _pollution_record(pollution: Column, weather: Column) -> Column:
+    entry = F.get(pollution.getField("list"), F.lit(0))
+    leaves = {
+        "pm25": (entry.components.pm2_5, S.DEFAULT_PM25),
+        "pm10": (entry.components.pm10, S.DEFAULT_PM10),
+        "aqi": (entry.main.aqi, S.DEFAULT_AQI),
+    }
+    temp, hum = _number(weather.main.temp), _number(weather.main.humidity)
+    usable = entry.components.isNotNull() & entry.main.isNotNull() & temp.isNotNull() & hum.isNotNull()
+    for leaf, _ in leaves.values():
+        usable = usable & (leaf.isNull() | _number(leaf).isNotNull())
+    value = {n: F.coalesce(_number(leaf), F.lit(d)).alias(n) for n, (leaf, d) in leaves.items()}
+    return F.when(
+        usable,
+        F.struct(value["pm25"], value["pm10"], temp.alias("temperature"), hum.alias("humidity"), value["aqi"]),
     )
 
 
+def _parsed_pollution(pollution: str, weather: str) -> dict[str, Column]:
+    return {
+        "_pollution": F.from_json(F.col(pollution), POLLUTION_LAYOUT),
+        "_weather": F.from_json(F.col(weather), WEATHER_LAYOUT),
+    }
+
+
+def decode_station(df: DataFrame, raw: str = "station", out: str = "station_record") -> DataFrame:
+    """Add a struct of the station's readings, NULL if the reply cannot be used."""
+    parsed = parse_once(df, {"_reply": F.from_json(F.col(raw), STATION_LAYOUT)})
+    return parsed.withColumn(out, _station_record(F.col("_reply"))).drop("_reply")
+
+
 def decode_pollution(
     df: DataFrame, pollution: str = "pollution", weather: str = "weather", out: str = "pollution_record"
 ) -> DataFrame:
@@ -107,32 +133,23 @@ def decode_pollution(
     A value that is present but is no number, or a missing level of the
     payload, rejects the whole record: the struct is then NULL itself.
     """
-    p, w = F.col("_pollution"), F.col("_weather")
-    entry = "$.list[0]"
-    defaults = {
-        "pm25": (f"{entry}.components.pm2_5", S.DEFAULT_PM25),
-        "pm10": (f"{entry}.components.pm10", S.DEFAULT_PM10),
-        "aqi": (f"{entry}.main.aqi", S.DEFAULT_AQI),
-    }
-    usable = _is_object(p, f"{entry}.components") & _is_object(p, f"{entry}.main")
-    for path, _ in defaults.values():
-        usable = usable & (~_present(p, path) | _number(p, path).isNotNull())
-    temp, hum = _number(w, "$.main.temp"), _number(w, "$.main.humidity")
-    usable = usable & temp.isNotNull() & hum.isNotNull()
+    parsed = parse_once(df, _parsed_pollution(pollution, weather))
+    record = _pollution_record(F.col("_pollution"), F.col("_weather"))
+    return parsed.withColumn(out, record).drop("_pollution", "_weather")
 
-    def or_default(name: str) -> Column:
-        path, default = defaults[name]
-        return F.coalesce(_number(p, path), F.lit(default)).alias(name)
 
-    record = F.struct(
-        or_default("pm25"), or_default("pm10"), temp.alias("temperature"), hum.alias("humidity"), or_default("aqi")
-    )
+def decode_cycle(df: DataFrame) -> DataFrame:
+    """Add both records of a fetch cycle, ``pollution_record`` and ``station_record``."""
+    columns = {**_parsed_pollution("pollution", "weather"), "_reply": F.from_json(F.col("station"), STATION_LAYOUT)}
     return (
-        df.withColumns(
-            {"_pollution": F.try_parse_json(F.col(pollution)), "_weather": F.try_parse_json(F.col(weather))}
+        parse_once(df, columns)
+        .withColumns(
+            {
+                "pollution_record": _pollution_record(F.col("_pollution"), F.col("_weather")),
+                "station_record": _station_record(F.col("_reply")),
+            }
         )
-        .withColumn(out, F.when(usable, record))
-        .drop("_pollution", "_weather")
+        .drop(*columns)
     )
 
 
