@@ -1 +1,101 @@
-"""Filled in below."""
+"""Streaming jobs over the given tables; their SQL twins say what a batch would give."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures as X
+from .. import schema as S
+from ..session import pin_utc, work_dir
+from ..sources.tables import feature_scan
+from ..streaming import (
+    change_rates, dedup_stream, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
+    run_upsert,
+)
+from .base import FEATURE_SELECT, FEATURES, JOINED, READINGS, plain, query
+from .features import features_of
+from .live import LANDED_VECTORS
+
+
+def _event_stream(spark, sf_dir):
+    schema = X.load(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _stream_of(df, purpose):
+    """Land a derived table in the shared folder and read it as a stream."""
+    spark = pin_utc(df.sparkSession)
+    path = work_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query(
+    "stream_hourly",
+    f"""WITH {READINGS}
+    SELECT city, event_ts, count(value) AS n, min(value) AS min_value, max(value) AS max_value
+    FROM readings GROUP BY city, event_ts""",
+)
+def q_hourly(spark, sf_dir):
+    raw = _event_stream(spark, sf_dir).select(
+        X.station_key(F.col("user_id")).alias("city"), F.col("ts").cast("timestamp").alias("ts"), "value"
+    )
+    measures = {"n": F.count("value"), "min_value": F.min("value"), "max_value": F.max("value")}
+    path = work_dir(spark, "stream-hourly")
+    run_updates(hourly_stream(raw, "ts", "2 hours", measures), path)
+    return plain(read_updates(spark, path, ["city", "event_ts"]))
+
+
+@query("stream_dedup", f"WITH {READINGS} SELECT DISTINCT city, epoch_ms(event_ts) AS timestamp FROM readings")
+def q_dedup(spark, sf_dir):
+    raw = _event_stream(spark, sf_dir)
+    keyed = X.to_readings(raw.withColumn("event_type", F.col("event_id").cast("string"))).withColumn(
+        "timestamp", F.unix_millis("event_ts")
+    )
+    path = work_dir(spark, "stream-dedup")
+    run_to_table(
+        dedup_stream(keyed, ["city", "timestamp"], "event_ts", "2 hours", F.col("event_type")).select("city", "timestamp"),
+        path,
+    )
+    return spark.read.parquet(f"{path}/data")
+
+
+@query("stream_join", f"WITH {JOINED} SELECT * FROM joined")
+def q_stream_join(spark, sf_dir):
+    air = _stream_of(X.air(spark, sf_dir), "air")
+    weather = _stream_of(X.weather(spark, sf_dir), "weather")
+    path = work_dir(spark, "stream-join")
+    run_to_table(join_streams(air, weather, "2 hours"), path)
+    return plain(spark.read.parquet(f"{path}/data"))
+
+
+@query("stream_change_rate", f"WITH {FEATURES} SELECT city, timestamp, target_aqi, aqi_change_rate FROM features")
+def q_stream_rate(spark, sf_dir):
+    stream = _stream_of(features_of(spark, sf_dir), "features")
+    path = work_dir(spark, "stream-rate")
+    run_to_table(change_rates(stream), path)
+    return spark.read.parquet(f"{path}/data")
+
+
+@query("stream_upsert", f"WITH {FEATURES} SELECT {FEATURE_SELECT} FROM features")
+def q_stream_upsert(spark, sf_dir):
+    root = work_dir(spark, "stream-upsert")
+    run_upsert(_stream_of(features_of(spark, sf_dir), "features"), f"{root}/table", f"{root}/checkpoint")
+    return plain(feature_scan(spark, f"{root}/table"), 6, ["humidex"])
+
+
+VALUES = [c for c in S.FEATURE_COLS if c not in S.KEY_COLS]
+
+
+@query(
+    "stream_features",
+    f"""SELECT {', '.join(S.FEATURE_COLS)} FROM ({LANDED_VECTORS})
+    QUALIFY row_number() OVER (PARTITION BY city, timestamp ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in VALUES)}) = 1""",
+)
+def q_stream_features(spark, sf_dir):
+    root = work_dir(spark, "stream-features")
+    landed = X.landed(_event_stream(pin_utc(spark), sf_dir)).drop("event_id")
+    run_features(landed, f"{root}/table", f"{root}/dead-letters", f"{root}/checkpoint")
+    return feature_scan(spark, f"{root}/table")
+
+

@@ -39,12 +39,13 @@ def ridge(train: DataFrame, alpha: float = RIDGE_ALPHA) -> LinearRegression:
 
 
 def random_forest(**overrides) -> RandomForestRegressor:
-    settings = {"maxDepth": DEEPEST, "featureSubsetStrategy": "all", "maxBins": BINS, **FOREST, **overrides}
-    return RandomForestRegressor(labelCol=LABEL_COL, maxMemoryInMB=1024, **settings)
+    # Node ids are kept with the rows, so that deep trees are not sent out again at each level.
+    settings = {"featureSubsetStrategy": "all", "maxDepth": DEEPEST, "maxBins": BINS, "cacheNodeIds": True, **FOREST}
+    return RandomForestRegressor(labelCol=LABEL_COL, maxMemoryInMB=1024, **{**settings, **overrides})
 
 
 def boosted_trees(**overrides) -> GBTRegressor:
-    return GBTRegressor(labelCol=LABEL_COL, maxBins=BINS, maxMemoryInMB=1024, **{**BOOSTED, **overrides})
+    return GBTRegressor(labelCol=LABEL_COL, maxMemoryInMB=1024, **{"maxBins": BINS, **BOOSTED, **overrides})
 
 
 def usable(df: DataFrame, cols: list[str]) -> DataFrame:
