@@ -79,28 +79,34 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column_a, column_b, corr) for all pairs, in one pass; NULL where a column is constant."""
+    """(column_a, column_b, corr) for all pairs, in one pass; NULL where a column is constant.
+
+    Each row is laid out once per column_a and aggregated against all columns, so
+    that the aggregation is narrow enough to be compiled; its state is one row
+    per column. Rows where either value is missing do not count for a pair.
+    """
     cols = cols or numeric_columns(df)
-    x = {c: nan_to_null(F.col(c)) for c in cols}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    sums = []
-    for a, b in pairs:
-        sums += [
-            F.regr_sxy(x[a], x[b]).alias(f"xy|{a}|{b}"),
-            F.regr_sxx(x[a], x[b]).alias(f"bb|{a}|{b}"),
-            F.regr_syy(x[a], x[b]).alias(f"aa|{a}|{b}"),
-        ]
-    moments = df.agg(*sums)
-
-    def entry(a, b, value):
-        return F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), value.alias("corr"))
-
-    entries = []
-    for a, b in pairs:
-        scale = F.sqrt(F.col(f"`aa|{a}|{b}`") * F.col(f"`bb|{a}|{b}`"))
-        r = F.try_divide(F.col(f"`xy|{a}|{b}`"), scale)
-        entries += [entry(a, b, r), entry(b, a, r)]
-    return moments.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    values = df.select(*[nan_to_null(F.col(c)).alias(c) for c in cols])
+    anchors = F.explode(F.array(*[F.struct(F.lit(c).alias("column_a"), F.col(c).alias("a")) for c in cols]))
+    moments = (
+        values.select(*cols, anchors.alias("anchor"))
+        .select(*cols, "anchor.*")
+        .groupBy("column_a")
+        .agg(
+            *[
+                m(F.col("a"), F.col(c)).alias(f"{tag}_{c}")
+                for c in cols
+                for tag, m in (("ab", F.regr_sxy), ("bb", F.regr_sxx), ("aa", F.regr_syy))
+            ]
+        )
+    )
+
+    def entry(c):
+        scale = F.sqrt(F.col(f"aa_{c}") * F.col(f"bb_{c}"))
+        return F.struct(F.lit(c).alias("column_b"), F.try_divide(F.col(f"ab_{c}"), scale).alias("corr"))
+
+    pairs = moments.select("column_a", F.explode(F.array(*[entry(c) for c in cols])).alias("e"))
+    return pairs.select("column_a", "e.*").where(F.col("column_a") != F.col("column_b"))
 
 
 def quality_gate(df: DataFrame, label: str = "target_aqi") -> DataFrame:

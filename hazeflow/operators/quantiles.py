@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions import nan_to_null
 
-CUTS = 128
+CUT_LEVELS = 7
+
+
+def _bin(df: DataFrame, value: str, edges: str, levels: int) -> DataFrame:
+    """Add ``bin``: how many of the 2**levels - 1 sorted edges are below the value (binary search)."""
+    df = df.withColumn("bin", F.lit(0))
+    for level in reversed(range(levels)):
+        step = 1 << level
+        above = F.get(F.col(edges), F.col("bin") + F.lit(step - 1)) < F.col(value)
+        df = df.withColumn("bin", F.col("bin") + F.when(above, F.lit(step)).otherwise(F.lit(0)))
+    return df
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -23,18 +33,18 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(counts: DataFrame, probs: list[float], cuts: int = CUTS) -> DataFrame:
+def exact_quantiles(counts: DataFrame, probs: list[float], levels: int = CUT_LEVELS) -> DataFrame:
     """(column, p, value): quantiles with linear interpolation, from ``value_counts``.
 
     Approximate quantiles of the distinct values only cut each column into
     ranges; totals per range locate the range that holds a wanted rank, and only
     that range is ordered. The result is exact whatever the cuts are.
     """
+    cuts = 1 << levels
     grid = [i / cuts for i in range(1, cuts)]
     edges = counts.groupBy("column").agg(F.percentile_approx("value", grid, 20 * cuts).alias("edges"))
-    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
     # One row per profiled column.
-    binned = counts.join(F.broadcast(edges), "column").select("column", "value", "n", below.alias("bin"))
+    binned = _bin(counts.join(F.broadcast(edges), "column"), "value", "edges", levels).drop("edges")
 
     per_bin = binned.groupBy("column", "bin").agg(F.sum("n").alias("bin_n"))
     by_column = W.partitionBy("column")

@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import enrich
-from ..sources.payloads import choose_record, decode_cycle
-
-
-def decode_landed(landed: DataFrame) -> DataFrame:
-    """Both records of each fetch cycle, then whole-record fallback."""
-    return landed.transform(decode_cycle).transform(choose_record)
+from ..sources.payloads import decode_cycle
 
 
 def vectors_from_records(records: DataFrame, ts: str, impute_weather: bool = False) -> DataFrame:
@@ -34,7 +29,7 @@ def vectors_from_records(records: DataFrame, ts: str, impute_weather: bool = Fal
 
 def live_vectors(landed: DataFrame, impute_weather: bool = False) -> tuple[DataFrame, DataFrame]:
     """Feature vectors with a label (plus source and label_scale), and rejects with a reason."""
-    decoded = decode_landed(landed)
+    decoded = decode_cycle(landed)
     usable = F.col("source").isNotNull()
     vectors = vectors_from_records(decoded.where(usable), "fetched_at", impute_weather)
     labelled, unlabelled = enrich.split_labelled(vectors)

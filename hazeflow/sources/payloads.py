@@ -34,15 +34,15 @@ WEATHER_LAYOUT = "main STRUCT<temp: VARIANT, humidity: VARIANT>"
 LIVE_FIELDS = ["pm25", "pm10", "temperature", "humidity", "aqi"]
 
 
-def parse_once(df: DataFrame, parsed: dict[str, Column]) -> DataFrame:
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add the given columns so that later filters cannot repeat their computation.
 
     A filter is pushed below a projection together with a copy of the expression
     it uses, which here would parse every payload twice. It is not pushed below
     an explode, and exploding one element changes nothing else.
     """
-    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in parsed.items()]))).alias("_parsed")
-    return df.select("*", one).select(*[F.col(c) for c in df.columns], "_parsed.*")
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select(*df.columns, one).select(*df.columns, "_once.*")
 
 
 def _number(leaf: Column) -> Column:
@@ -59,20 +59,42 @@ def _text_or(leaf: Column, default: str) -> Column:
     return F.when(leaf.isNotNull(), _text(leaf)).otherwise(F.lit(default))
 
 
-def _envelope_error(reply: Column) -> Column:
+def _read_station(df: DataFrame, raw: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The reply's parts as columns ``_s_*``, and the fields of its record in terms of them."""
+    reply = F.col("_reply")
     data = reply.data
-    empty = F.coalesce(data.aqi, data.dominentpol).isNull() & data.city.isNull() & data.iaqi.isNull()
-    return (
+    nothing = F.coalesce(data.aqi, data.dominentpol).isNull() & data.city.isNull() & data.iaqi.isNull()
+    error = (
         F.when(F.coalesce(reply.status.isNull() & data.isNull(), F.lit(True)), F.lit("unreadable"))
         .when(F.coalesce(_text(reply.status), F.lit("")) != "ok", F.lit("status_not_ok"))
-        .when(data.isNull() | empty, F.lit("no_data"))
+        .when(data.isNull() | nothing, F.lit("no_data"))
     )
+    parts = {
+        "_s_error": error,
+        "_s_name": _text_or(data.city.getField("name"), S.STATION_UNKNOWN),
+        "_s_aqi": _number(data.aqi),
+        "_s_pollutant": _text_or(data.dominentpol, S.POLLUTANT_UNKNOWN),
+        **{f"_s_{name}": _number(data.iaqi.getField(key).v) for name, key in STATION_KEYS.items()},
+    }
+    fields = {
+        "station_name": F.col("_s_name"),
+        "aqi": F.col("_s_aqi"),
+        "aqi_target": F.col("_s_aqi"),
+        "dominant_pollutant": F.col("_s_pollutant"),
+        **{name: F.col(f"_s_{name}") for name in STATION_KEYS},
+    }
+    parsed = df.withColumn("_reply", F.from_json(F.col(raw), STATION_LAYOUT))
+    return parsed.select(*df.columns, *[c.alias(n) for n, c in parts.items()]), fields
+
+
+def _struct(fields: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
 def check_envelope(df: DataFrame, raw: str = "station") -> DataFrame:
     """Add ``envelope_error``: why a station reply cannot be used, or NULL if it can."""
-    parsed = parse_once(df, {"_reply": F.from_json(F.col(raw), STATION_LAYOUT)})
-    return parsed.withColumn("envelope_error", _envelope_error(F.col("_reply"))).drop("_reply")
+    read, _ = _read_station(df, raw)
+    return compute_once(read, {"envelope_error": F.col("_s_error")}).select(*df.columns, "envelope_error")
 
 
 def split_rejects(df: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -81,47 +103,40 @@ def split_rejects(df: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
     return df.where(good).drop(reason), df.where(~good)
 
 
-def _station_record(reply: Column) -> Column:
-    data = reply.data
-    record = F.struct(
-        _text_or(data.city.getField("name"), S.STATION_UNKNOWN).alias("station_name"),
-        _number(data.aqi).alias("aqi"),
-        _number(data.aqi).alias("aqi_target"),
-        _text_or(data.dominentpol, S.POLLUTANT_UNKNOWN).alias("dominant_pollutant"),
-        *[_number(data.iaqi.getField(key).v).alias(name) for name, key in STATION_KEYS.items()],
-    )
-    return F.when(_envelope_error(reply).isNull(), record)
+def decode_station(df: DataFrame, raw: str = "station", out: str = "station_record") -> DataFrame:
+    """Add a struct of the station's readings, NULL if the reply cannot be used."""
+    read, fields = _read_station(df, raw)
+    record = F.when(F.col("_s_error").isNull(), _struct(fields))
+    return compute_once(read, {out: record}).select(*df.columns, out)
 
 
-def _pollution_record(pollution: Column, weather: Column) -> Column:
-    entry = F.get(pollution.getField("list"), F.lit(0))
+def _read_pollution(df: DataFrame, pollution: str, weather: str) -> tuple[DataFrame, Column]:
+    """The values of both payloads as columns ``_p_*``, and the record in terms of them."""
+    entry = F.get(F.col("_pollution").getField("list"), F.lit(0))
+    main = F.col("_weather").main
     leaves = {
         "pm25": (entry.components.pm2_5, S.DEFAULT_PM25),
         "pm10": (entry.components.pm10, S.DEFAULT_PM10),
         "aqi": (entry.main.aqi, S.DEFAULT_AQI),
     }
-    temp, hum = _number(weather.main.temp), _number(weather.main.humidity)
-    usable = entry.components.isNotNull() & entry.main.isNotNull() & temp.isNotNull() & hum.isNotNull()
-    for leaf, _ in leaves.values():
-        usable = usable & (leaf.isNull() | _number(leaf).isNotNull())
-    value = {n: F.coalesce(_number(leaf), F.lit(d)).alias(n) for n, (leaf, d) in leaves.items()}
-    return F.when(
-        usable,
-        F.struct(value["pm25"], value["pm10"], temp.alias("temperature"), hum.alias("humidity"), value["aqi"]),
-    )
-
-
-def _parsed_pollution(pollution: str, weather: str) -> dict[str, Column]:
-    return {
-        "_pollution": F.from_json(F.col(pollution), POLLUTION_LAYOUT),
-        "_weather": F.from_json(F.col(weather), WEATHER_LAYOUT),
+    parts = {
+        "_p_levels": entry.components.isNotNull() & entry.main.isNotNull(),
+        "_p_temperature": _number(main.temp),
+        "_p_humidity": _number(main.humidity),
+        # Either the value, or the stand-in if the key is absent; NULL is neither.
+        **{f"_p_{n}": F.when(leaf.isNull(), F.lit(d)).otherwise(_number(leaf)) for n, (leaf, d) in leaves.items()},
     }
-
-
-def decode_station(df: DataFrame, raw: str = "station", out: str = "station_record") -> DataFrame:
-    """Add a struct of the station's readings, NULL if the reply cannot be used."""
-    parsed = parse_once(df, {"_reply": F.from_json(F.col(raw), STATION_LAYOUT)})
-    return parsed.withColumn(out, _station_record(F.col("_reply"))).drop("_reply")
+    fields = {n: F.col(f"_p_{n}") for n in LIVE_FIELDS}
+    usable = F.col("_p_levels")
+    for c in fields.values():
+        usable = usable & c.isNotNull()
+    parsed = df.withColumns(
+        {
+            "_pollution": F.from_json(F.col(pollution), POLLUTION_LAYOUT),
+            "_weather": F.from_json(F.col(weather), WEATHER_LAYOUT),
+        }
+    )
+    return parsed.select(*df.columns, *[c.alias(n) for n, c in parts.items()]), F.when(usable, _struct(fields))
 
 
 def decode_pollution(
@@ -133,45 +148,30 @@ def decode_pollution(
     A value that is present but is no number, or a missing level of the
     payload, rejects the whole record: the struct is then NULL itself.
     """
-    parsed = parse_once(df, _parsed_pollution(pollution, weather))
-    record = _pollution_record(F.col("_pollution"), F.col("_weather"))
-    return parsed.withColumn(out, record).drop("_pollution", "_weather")
+    read, record = _read_pollution(df, pollution, weather)
+    return compute_once(read, {out: record}).select(*df.columns, out)
 
 
 def decode_cycle(df: DataFrame) -> DataFrame:
-    """Add both records of a fetch cycle, ``pollution_record`` and ``station_record``."""
-    columns = {**_parsed_pollution("pollution", "weather"), "_reply": F.from_json(F.col("station"), STATION_LAYOUT)}
-    return (
-        parse_once(df, columns)
-        .withColumns(
-            {
-                "pollution_record": _pollution_record(F.col("_pollution"), F.col("_weather")),
-                "station_record": _station_record(F.col("_reply")),
-            }
-        )
-        .drop(*columns)
-    )
-
-
-def choose_record(df: DataFrame) -> DataFrame:
-    """The pollution record if there is one, else the station's, as plain columns.
+    """Both records of each fetch cycle, then the pollution record if there is one, else the station's.
 
-    ``source`` is NULL, and so is everything else, if neither could be decoded.
-    The label scale differs between the two and is recorded.
+    ``source`` is NULL, and so are all fields, if neither could be decoded. The
+    label scale differs between the two and is recorded.
     """
-    primary, station = F.col("pollution_record"), F.col("station_record")
-    as_live = F.struct(
-        station.pm25.alias("pm25"),
-        F.lit(None).cast("double").alias("pm10"),
-        station.temperature.alias("temperature"),
-        station.humidity.alias("humidity"),
-        F.coalesce(station.aqi, station.aqi_target).alias("aqi"),
-    )
-    chosen = F.coalesce(primary, F.when(station.isNotNull(), as_live))
-    source = F.when(primary.isNotNull(), F.lit("pollution")).when(station.isNotNull(), F.lit("station"))
-    scale = F.when(primary.isNotNull(), F.lit(S.SCALE_INDEX_5)).when(station.isNotNull(), F.lit(S.SCALE_INDEX_500))
-    return (
-        df.withColumns({"_chosen": chosen, "source": source, "label_scale": scale})
-        .withColumns({c: F.col("_chosen").getField(c) for c in LIVE_FIELDS})
-        .drop("_chosen")
-    )
+    read, record = _read_pollution(df, "pollution", "weather")
+    read, station = _read_station(read, "station")
+    as_live = {n: station.get(n, F.lit(None).cast("double")) for n in LIVE_FIELDS}
+    primary = read.withColumn("_record", record)
+    from_station = F.col("_s_error").isNull()
+
+    def by_source(pollution, station):
+        return F.when(F.col("_record").isNotNull(), pollution).when(from_station, station)
+
+    return compute_once(
+        primary,
+        {
+            "source": by_source(F.lit("pollution"), F.lit("station")),
+            "label_scale": by_source(F.lit(S.SCALE_INDEX_5), F.lit(S.SCALE_INDEX_500)),
+            **{n: by_source(F.col("_record").getField(n), as_live[n]) for n in LIVE_FIELDS},
+        },
+    ).select(*df.columns, "source", "label_scale", *LIVE_FIELDS)
