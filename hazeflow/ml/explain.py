@@ -23,7 +23,8 @@ def linear_shap(df: DataFrame, train: DataFrame, coefficients: dict[str, float])
 
 def scaled_coefficients(model: PipelineModel, cols: list[str]) -> dict[str, float]:
     """Coefficients of a ridge pipeline by (scaled) input; the inputs have mean zero."""
-    return dict(zip(cols, model.stages[-1].coefficients.toArray().tolist()))
+    fitted = dict(zip(model.stages[-2].getInputCols(), model.stages[-1].coefficients.toArray().tolist()))
+    return {c: fitted.get(f"z_{c}", 0.0) for c in cols}
 
 
 def tree_importance(model: PipelineModel, cols: list[str]) -> dict[str, float]:

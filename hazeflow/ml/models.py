@@ -54,9 +54,15 @@ def usable(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def fit(train: DataFrame, estimator, scaled: bool, cols: list[str] | None = None) -> PipelineModel:
-    """Scaler (if any), assembler and estimator as one saved unit that scores raw rows."""
-    cols = cols or model_columns()
-    stages = [fit_scaler(train, cols)] if scaled else []
+    """Scaler (if any), assembler and estimator as one saved unit that scores raw rows.
+
+    A linear model gets only the inputs that vary: the others have coefficient 0,
+    and would make its normal equations singular.
+    """
+    cols, stages = cols or model_columns(), []
+    if scaled:
+        scaler, varying = fit_scaler(train, cols)
+        stages, cols = [scaler], varying if isinstance(estimator, LinearRegression) else cols
     return Pipeline(stages=[*stages, assembler(cols, scaled), estimator]).fit(train)
 
 

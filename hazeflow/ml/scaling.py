@@ -41,11 +41,11 @@ def standard_scale(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFram
     )
 
 
-def fit_scaler(train: DataFrame, cols: list[str]) -> SQLTransformer:
-    """A pipeline stage with the fitted statistics written into it, so that it is saved with the model."""
-    stats = {r["column"]: (r["mean"], r["std"] or 1.0) for r in scaler_stats(train, cols).collect()}
-    scaled = ", ".join(f"(`{c}` - {m!r}D) / {s!r}D AS `z_{c}`" for c, (m, s) in stats.items())
-    return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
+def fit_scaler(train: DataFrame, cols: list[str]) -> tuple[SQLTransformer, list[str]]:
+    """A stage with the fitted statistics written into it, saved with the model, and the inputs that vary."""
+    stats = {r["column"]: (r["mean"], r["std"]) for r in scaler_stats(train, cols).collect()}
+    scaled = ", ".join(f"(`{c}` - {m or 0.0!r}D) / {s or 1.0!r}D AS `z_{c}`" for c, (m, s) in stats.items())
+    return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), [c for c in cols if stats[c][1]]
 
 
 def assembler(cols: list[str], scaled: bool = True, handle_invalid: str = "skip") -> VectorAssembler:

@@ -37,7 +37,7 @@ def grid_search(train: DataFrame, test: DataFrame, kind: str, grid: dict | None
     estimator = random_forest() if kind == "forest" else boosted_trees()
     grid = grid or (FOREST_GRID if kind == "forest" else BOOSTED_GRID)
     train = usable(train, cols)
-    prepare = Pipeline(stages=[*([fit_scaler(train, cols)] if scaled else []), assembler(cols, scaled)]).fit(train)
+    prepare = Pipeline(stages=[*([fit_scaler(train, cols)[0]] if scaled else []), assembler(cols, scaled)]).fit(train)
     ready = with_fold(prepare.transform(train), FOLDS).select("features", LABEL_COL, "fold").persist()
     try:
         builder = ParamGridBuilder()
