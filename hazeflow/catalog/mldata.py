@@ -115,7 +115,7 @@ def q_scale(spark, sf_dir):
 def _gram_sql(cols, label, table):
     names = [*cols, label]
     return " UNION ALL ".join(
-        f"SELECT '{a}' AS row, '{b}' AS col, round(sum(CAST({a} AS DOUBLE) * {b}), 2) AS value FROM {table}"
+        f"SELECT '{a}' AS row, '{b}' AS col, round(sum(CAST({a} AS DOUBLE) * {b}) / count(*), 4) AS value FROM {table}"
         for i, a in enumerate(names)
         for b in names[i:]
         if (a, b) != (label, label)
@@ -124,8 +124,11 @@ def _gram_sql(cols, label, table):
 
 @query("gram_matrix", f"WITH {MARKED} {_gram_sql(COLS, 'target_aqi', 'train')}")
 def q_gram(spark, sf_dir):
-    doubled = _parts(spark, sf_dir)[1].withColumns({c: F.col(c).cast("double") for c in COLS})
-    return plain(gram_matrix(doubled, COLS, "target_aqi"), 2)
+    """Per row: the sums themselves have few decimals, and rounding them would meet exact ties."""
+    train = _parts(spark, sf_dir)[1]
+    doubled = train.withColumns({c: F.col(c).cast("double") for c in COLS})
+    n = train.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return plain(gram_matrix(doubled, COLS, "target_aqi").withColumn("value", F.col("value") / n), 4)
 
 
 @query(

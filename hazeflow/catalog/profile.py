@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import fixtures as X
 from ..operators import profile as P
+from ..session import materialize
 from .base import FEATURES, JOINED, plain, query
 from .features import features_of
 
@@ -31,14 +32,18 @@ OUTLIERS = """SELECT col AS "column", CAST(count(*) FILTER (WHERE v < lo OR v >
     FROM long JOIN fences USING (col) GROUP BY col"""
 
 
+def _stored(spark, sf_dir):
+    return materialize(features_of(spark, sf_dir), "features")
+
+
 @query("iqr_bounds", f"WITH {FEATURES}, {_quantiles(FEATURE_NUMERIC, 'features')} {BOUNDS}")
 def q_bounds(spark, sf_dir):
-    return plain(P.iqr_bounds(features_of(spark, sf_dir)), 6)
+    return plain(P.iqr_bounds(_stored(spark, sf_dir)), 6)
 
 
 @query("iqr_outliers", f"WITH {FEATURES}, {_quantiles(FEATURE_NUMERIC, 'features')} {OUTLIERS}")
 def q_outliers(spark, sf_dir):
-    return P.iqr_outliers(features_of(spark, sf_dir))
+    return P.iqr_outliers(_stored(spark, sf_dir))
 
 
 @query("iqr_bounds_lineitem", f"WITH {_quantiles(LINEITEM_NUMERIC, 'lineitem')} {BOUNDS}")

@@ -57,27 +57,27 @@ def horizon_labels(features: DataFrame, horizons: list[int], label: str = "targe
 
 
 def point_in_time_join(
-    labels: DataFrame, features: DataFrame, fields: list[str], label_ts: str = "label_ts", grain: str = "day"
+    labels: DataFrame, features: DataFrame, fields: list[str], label_ts: str = "label_ts", step: str = "hour"
 ) -> DataFrame:
     """For each label row the latest feature row of its city at or before the label time.
 
-    Works on the distinct (city, label time) pairs, since the answer depends on
-    nothing else; the pairs and the feature times are merged within (city, chunk)
-    and the last feature row of earlier chunks is carried in. The labels
-    then pick up their answer by an equi-join, which adaptive execution splits
-    where one pair has very many labels.
+    Feature times are multiples of ``step``, so the answer depends on the city
+    and the step the label falls into, and nothing else. The labels
+    are reduced to those pairs (which combines before the shuffle), the pairs and the feature
+    rows are merged in time order within (city, month), with the last feature row of
+    earlier months carried in, and the labels pick up their answer by an equi-join,
+    which adaptive execution splits where one pair has very many labels.
     """
     answer = F.struct(F.col("event_ts").alias("feature_ts"), *[F.col(f) for f in fields])
-    asked = labels.select("city", F.col(label_ts).alias("ts")).distinct()
+    stepped = labels.withColumn("_step", F.date_trunc(step, F.col(label_ts)))
+    asked = stepped.select("city", F.col("_step").alias("ts")).distinct()
     line = asked.select("city", "ts", F.lit(1).alias("is_label"), F.lit(None).cast(_struct_of(features, fields)).alias("row"))
     line = line.unionByName(
         features.select("city", F.col("event_ts").alias("ts"), F.lit(0).alias("is_label"), answer.alias("row"))
     )
-    known = carry_before(line, "row", keys=["city"], ts="ts", tie="is_label", grain=grain)
-    matched = known.where(F.col("is_label") == 1).select(
-        "city", F.col("ts").alias(label_ts), F.col("row.*")
-    )
-    return labels.join(matched, ["city", label_ts], "left")
+    known = carry_before(line, "row", keys=["city"], ts="ts", tie="is_label", grain="month")
+    matched = known.where(F.col("is_label") == 1).select("city", F.col("ts").alias("_step"), F.col("row.*"))
+    return stepped.join(matched, ["city", "_step"], "left").drop("_step")
 
 
 def _struct_of(features: DataFrame, fields: list[str]) -> T.StructType:

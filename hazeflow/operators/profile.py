@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import nan_to_null
 from ..functions.missing import is_missing
-from .quantiles import approx_quantiles, exact_quantiles, value_counts
+from .quantiles import approx_quantiles, exact_quantiles, long_values
 
 NOT_A_MEASURE = {"timestamp"}
 
@@ -28,53 +28,49 @@ def null_counts(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column", "null_count")
 
 
-def iqr_bounds(df: DataFrame, cols: list[str] | None = None, approx: bool = False, k: float = 1.5) -> DataFrame:
-    """(column, q1, q3, lower_bound, upper_bound) per numeric column."""
+def iqr_bounds(
+    df: DataFrame, cols: list[str] | None = None, approx: bool = False, k: float = 1.5, rounds: int = 1
+) -> DataFrame:
+    """(column, q1, q3, lower_bound, upper_bound) per numeric column; NULLs for a column without values."""
     cols = cols or numeric_columns(df)
-    quantiles = (
-        approx_quantiles(df, cols, [0.25, 0.75]) if approx else exact_quantiles(value_counts(df, cols), [0.25, 0.75])
-    )
-    return _every_column(df, cols, _fences(quantiles, k))
-
-
-def _every_column(df: DataFrame, cols: list[str], found: DataFrame) -> DataFrame:
-    """Also a row for a column without any present value."""
-    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
-    return names.join(found, "column", "left")
-
-
-def _fences(quantiles: DataFrame, k: float) -> DataFrame:
-    q = quantiles.groupBy("column").agg(
+    probs = [0.25, 0.75]
+    found = approx_quantiles(df, cols, probs) if approx else exact_quantiles(df, cols, probs, rounds=rounds)
+    q = found.groupBy("column").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"),
     )
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
     spread = F.lit(k) * (F.col("q3") - F.col("q1"))
-    return q.select("column", "q1", "q3", (F.col("q1") - spread).alias("lower_bound"), (F.col("q3") + spread).alias("upper_bound"))
+    # One row per profiled column.
+    return names.join(F.broadcast(q), "column", "left").select(
+        "column", "q1", "q3", (F.col("q1") - spread).alias("lower_bound"), (F.col("q3") + spread).alias("upper_bound")
+    )
 
 
-def iqr_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> DataFrame:
+def iqr_outliers(
+    df: DataFrame, cols: list[str] | None = None, approx: bool = False, k: float = 1.5, rounds: int = 1
+) -> DataFrame:
     """(column, outlier_count, percentage): values strictly outside the fences.
 
     The percentage is of all rows, those with a missing value included, and NULL
-    for an empty frame. Both passes run on the counted values, so the table is
-    read once for them.
+    for an empty frame.
     """
     cols = cols or numeric_columns(df)
-    counts = value_counts(df, cols)
-    fences = _fences(exact_quantiles(counts, [0.25, 0.75]), k)
+    fences = iqr_bounds(df, cols, approx, k, rounds)
     outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    n_rows = df.agg(F.count(F.lit(1)).alias("n_rows")).scalar()
     # One row per profiled column.
     found = (
-        counts.join(F.broadcast(fences), "column")
+        long_values(df, cols)
+        .join(F.broadcast(fences.select("column", "lower_bound", "upper_bound")), "column")
         .groupBy("column")
-        .agg(F.sum(F.when(outside, F.col("n"))).alias("n_outside"))
+        .agg(F.count_if(outside).alias("n_outside"))
     )
-    share = F.try_divide(F.lit(100.0) * F.col("outlier_count"), n_rows)
+    n_rows = df.agg(F.count(F.lit(1)).alias("n_rows")).scalar()
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
     return (
-        _every_column(df, cols, found)
+        names.join(F.broadcast(found), "column", "left")
         .select("column", F.coalesce("n_outside", F.lit(0).cast("bigint")).alias("outlier_count"))
-        .withColumn("percentage", F.round(share, 2))
+        .withColumn("percentage", F.round(F.try_divide(F.lit(100.0) * F.col("outlier_count"), n_rows), 2))
     )
 
 

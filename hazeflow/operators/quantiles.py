@@ -1,4 +1,11 @@
-"""Exact quantiles of many columns without gathering any column in one place."""
+"""Exact quantiles of many columns without gathering or shuffling whole columns.
+
+Each round reads the columns, cuts the range still in question by approximate
+quantiles and counts per cut, which combines before the shuffle. The counts are exact,
+so they tell for certain between which two values a wanted rank lies. A round leaves
+about one value in 2**levels; only what the last round leaves is
+ordered. More rounds suit larger tables; the result does not depend on them.
+"""
 
 from __future__ import annotations
 
@@ -9,82 +16,107 @@ from pyspark.sql import functions as F
 from ..functions import nan_to_null
 
 CUT_LEVELS = 7
+INFINITY = float("inf")
+
+
+def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value) of the present values."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), nan_to_null(F.col(c)).alias("value")) for c in cols]))
+    return df.select(pairs.alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
 
 
-def _bin(df: DataFrame, value: str, edges: str, levels: int) -> DataFrame:
+def _bin(df: DataFrame, levels: int) -> DataFrame:
     """Add ``bin``: how many of the 2**levels - 1 sorted edges are below the value (binary search)."""
     df = df.withColumn("bin", F.lit(0))
     for level in reversed(range(levels)):
         step = 1 << level
-        above = F.get(F.col(edges), F.col("bin") + F.lit(step - 1)) < F.col(value)
+        above = F.get("edges", F.col("bin") + F.lit(step - 1)) < F.col("value")
         df = df.withColumn("bin", F.col("bin") + F.when(above, F.lit(step)).otherwise(F.lit(0)))
     return df
 
 
-def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value, n) of the present values; combines before the shuffle."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), nan_to_null(F.col(c)).alias("value")) for c in cols]))
-    return (
-        df.select(pairs.alias("p"))
-        .select("p.column", "p.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+def _edges(values: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    cuts = 1 << levels
+    grid = [i / cuts for i in range(1, cuts)]
+    return values.groupBy(*keys).agg(
+        F.percentile_approx("value", grid, 20 * cuts).alias("edges"), F.count("value").alias("n")
     )
 
 
-def exact_quantiles(counts: DataFrame, probs: list[float], levels: int = CUT_LEVELS) -> DataFrame:
-    """(column, p, value): quantiles with linear interpolation, from ``value_counts``.
+def _narrow(values: DataFrame, edges: DataFrame, keys: list[str], asked: DataFrame, levels: int) -> DataFrame:
+    """For each asked rank: a narrower range (low, high] that holds it and the number of values up to low.
 
-    Approximate quantiles of the distinct values only cut each column into
-    ranges; totals per range locate the range that holds a wanted rank, and only
-    that range is ordered. The result is exact whatever the cuts are.
+    ``values`` are those above the ``low`` asked with, and ``below`` counts the others. ``edges`` and ``asked`` have a row per column and probability at most.
     """
-    cuts = 1 << levels
-    grid = [i / cuts for i in range(1, cuts)]
-    edges = counts.groupBy("column").agg(F.percentile_approx("value", grid, 20 * cuts).alias("edges"))
-    # One row per profiled column.
-    binned = _bin(counts.join(F.broadcast(edges), "column"), "value", "edges", levels).drop("edges")
-
-    per_bin = binned.groupBy("column", "bin").agg(F.sum("n").alias("bin_n"))
-    by_column = W.partitionBy("column")
-    placed = per_bin.select(
-        "column",
-        "bin",
-        "bin_n",
-        (F.sum("bin_n").over(by_column.orderBy("bin")) - F.col("bin_n")).alias("start"),
-        F.sum("bin_n").over(by_column).alias("total"),
-    )
-    position = F.col("p") * (F.col("total") - 1)
-    wanted = (
-        placed.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumns({"low_rank": F.floor(position), "fraction": position - F.floor(position)})
-        .withColumn("rank", F.explode(F.array_distinct(F.array("low_rank", F.ceil(position)))))
-        .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("bin_n")))
+    per_bin = (
+        _bin(values.join(F.broadcast(edges), keys), levels)
+        .groupBy(*keys, "bin")
+        .agg(F.count("value").alias("c"), F.max("value").alias("top"))
     )
-    # At most two rows per column and probability.
-    bins_needed = F.broadcast(wanted.select("column", "bin", "start").distinct())
-    in_bin = W.partitionBy("column", "bin").orderBy("value")
-    ordered = binned.join(bins_needed, ["column", "bin"]).select(
-        "column", "bin", "value", "n", (F.col("start") + F.sum("n").over(in_bin)).alias("through")
-    )
-    targets = F.broadcast(wanted.select("column", "bin", "p", "rank", "low_rank", "fraction"))
-    hits = (
-        ordered.join(targets, ["column", "bin"])
-        .where((F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("through") - F.col("n")))
+    in_order = W.partitionBy(*keys).orderBy("bin")
+    placed = per_bin.select(
+        *keys, "top", "c", (F.sum("c").over(in_order) - F.col("c")).alias("before"), F.lag("top").over(in_order).alias("prev")
     )
-    is_low = F.col("rank") == F.col("low_rank")
+    start = F.col("below") + F.col("before")
+
+    def holds(rank):
+        return (F.col(rank) >= start) & (F.col(rank) < start + F.col("c"))
+
     return (
-        hits.groupBy("column", "p")
+        placed.join(F.broadcast(asked), keys)
+        .groupBy("column", "p", "rank", "next_rank", "fraction")
         .agg(
-            F.max(F.when(is_low, F.col("value"))).alias("low"),
-            F.max("value").alias("high"),
-            F.max("fraction").alias("fraction"),
+            F.max(F.when(holds("rank"), F.coalesce("prev", "low"))).alias("low"),
+            F.max(F.when(holds("next_rank"), F.col("top"))).alias("high"),
+            F.max(F.when(holds("rank"), start)).alias("below"),
         )
-        .select("column", "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("fraction")).alias("value"))
     )
 
 
+def exact_quantiles(
+    df: DataFrame, cols: list[str], probs: list[float], levels: int = CUT_LEVELS, rounds: int = 1
+) -> DataFrame:
+    """(column, p, value) with linear interpolation; no row for a column without values.
+
+    ``df`` should be a stored table: it is read twice per round and once more.
+    """
+    values = long_values(df, cols)
+    edges = _edges(values, ["column"], levels)
+    position = F.col("p") * (F.col("n") - 1)
+    asked = edges.select("column", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")).select(
+        "column",
+        "p",
+        F.floor(position).alias("rank"),
+        F.ceil(position).alias("next_rank"),
+        (position - F.floor(position)).alias("fraction"),
+        F.lit(0).cast("bigint").alias("below"),
+        F.lit(-INFINITY).alias("low"),
+    )
+    ranges = _narrow(values, edges.drop("n"), ["column"], asked, levels)
+    for _ in range(rounds - 1):
+        left = _left_in(values, ranges)
+        keys = ["column", "p"]
+        ranges = _narrow(left, _edges(left, keys, levels).drop("n"), keys, ranges.drop("high"), levels)
+
+    counted = _left_in(values, ranges).groupBy("column", "p", "value").agg(F.count("value").alias("c"))
+    through = F.sum("c").over(W.partitionBy("column", "p").orderBy("value")) + F.col("below")
+    ordered = counted.join(F.broadcast(ranges), ["column", "p"]).withColumn("through", through)
+
+    def at(rank):
+        return F.max(F.when((F.col(rank) < F.col("through")) & (F.col(rank) >= F.col("through") - F.col("c")), F.col("value")))
+
+    return (
+        ordered.groupBy("column", "p", "fraction")
+        .agg(at("rank").alias("a"), at("next_rank").alias("b"))
+        .select("column", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("fraction")).alias("value"))
+    )
+
+
+def _left_in(values: DataFrame, ranges: DataFrame) -> DataFrame:
+    inside = values.join(F.broadcast(ranges.select("column", "p", "low", "high")), "column")
+    return inside.where((F.col("value") > F.col("low")) & (F.col("value") <= F.col("high"))).select("column", "p", "value")
+
+
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000) -> DataFrame:
     """(column, p, value) within rank error 1/accuracy, without interpolation, in one pass."""
     stats = df.agg(*[F.percentile_approx(nan_to_null(F.col(c)), probs, accuracy).alias(c) for c in cols])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hazeflow.operators.profile import (
     correlation_matrix, dataset_profile, iqr_bounds, iqr_outliers, null_counts, numeric_columns, quality_gate,
 )
-from hazeflow.operators.quantiles import approx_quantiles, exact_quantiles, value_counts
+from hazeflow.operators.quantiles import approx_quantiles, exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -26,7 +26,7 @@ def frame(seed, n):
 @pytest.mark.parametrize("seed,n", [(0, 1), (1, 2), (2, 101), (3, 5000)])
 def test_quantiles_equal_pandas(spark, seed, n):
     pdf = frame(seed, n)
-    got = exact_quantiles(value_counts(spark.createDataFrame(pdf), list(pdf)), PROBS).toPandas()
+    got = exact_quantiles(spark.createDataFrame(pdf), list(pdf), PROBS).toPandas()
     for col in pdf:
         want = pdf[col].quantile(PROBS)
         mine = got[got.column == col].set_index("p")["value"]
@@ -36,10 +36,11 @@ def test_quantiles_equal_pandas(spark, seed, n):
             assert mine.empty
 
 
-def test_few_cut_levels_stay_exact(spark):
+@pytest.mark.parametrize("levels,rounds", [(1, 1), (1, 3), (2, 2)])
+def test_cuts_and_rounds_do_not_change_the_result(spark, levels, rounds):
     pdf = frame(4, 500)
-    counts = value_counts(spark.createDataFrame(pdf), list(pdf))
-    got = exact_quantiles(counts, [0.25, 0.75], levels=1).toPandas().set_index(["column", "p"])["value"]
+    found = exact_quantiles(spark.createDataFrame(pdf), list(pdf), [0.25, 0.75], levels, rounds)
+    got = found.toPandas().set_index(["column", "p"])["value"]
     for col in pdf:
         for p in (0.25, 0.75):
             assert got[(col, p)] == pytest.approx(pdf[col].quantile(p), rel=1e-12)
