@@ -11,6 +11,7 @@ from ..ml.gram import gram_matrix
 from ..ml.metrics import champion_select, regression_metrics
 from ..ml.scaling import design_columns, design_matrix, scaler_stats, standard_scale
 from ..ml.split import linear_bucket, split, with_fold, with_split
+from ..session import materialize
 from .base import FEATURES, plain, query
 from .features import features_of
 
@@ -36,7 +37,8 @@ def _bucket():
 
 
 def _parts(spark, sf_dir):
-    features = _numbered(features_of(spark, sf_dir))
+    """The stored feature table and its training part; what is fitted and what is transformed read it in turn."""
+    features = _numbered(materialize(features_of(spark, sf_dir), "features"))
     return features, split(features, _bucket())[0]
 
 
@@ -96,7 +98,8 @@ def q_fold_counts(spark, sf_dir):
     ),
 )
 def q_scaler(spark, sf_dir):
-    return plain(scaler_stats(_parts(spark, sf_dir)[1], COLS), 6)
+    train, _ = split(_numbered(features_of(spark, sf_dir)), _bucket())
+    return plain(scaler_stats(train, COLS), 6)
 
 
 @query(

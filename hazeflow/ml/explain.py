@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.once import compute_once
 from ..schema import LABEL_COL
 from .metrics import regression_metrics
 
@@ -16,9 +17,9 @@ ROWS_PER_BUCKET = 10_000
 def linear_shap(df: DataFrame, train: DataFrame, coefficients: dict[str, float]) -> DataFrame:
     """Shapley values of a linear model: coefficient * (x - mean of x), exact."""
     means = train.agg(F.struct(*[F.avg(c).alias(c) for c in coefficients]).alias("means")).scalar()
-    return df.withColumns(
-        {f"shap_{c}": F.lit(float(w)) * (F.col(c) - means.getField(c)) for c, w in coefficients.items()}
-    )
+    mean = F.col("_means")
+    shares = {f"shap_{c}": F.lit(float(w)) * (F.col(c) - mean.getField(c)) for c, w in coefficients.items()}
+    return compute_once(df, {"_means": means}).withColumns(shares).drop("_means")
 
 
 def scaled_coefficients(model: PipelineModel, cols: list[str]) -> dict[str, float]:

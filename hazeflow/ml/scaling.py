@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.once import compute_once
 from ..schema import LABEL_COL, LEAKY_COLS, MODEL_COLS
 
 
@@ -36,9 +37,9 @@ def standard_scale(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFram
         *[F.avg(c).alias(f"mean_{c}") for c in cols],
         *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"std_{c}") for c in cols],
     ).alias("stats")).scalar()
-    return df.withColumns(
-        {c: (F.col(c) - stats.getField(f"mean_{c}")) / stats.getField(f"std_{c}") for c in cols}
-    )
+    known = F.col("_stats")
+    scaled = {c: (F.col(c) - known.getField(f"mean_{c}")) / known.getField(f"std_{c}") for c in cols}
+    return compute_once(df, {"_stats": stats}).withColumns(scaled).drop("_stats")
 
 
 def fit_scaler(train: DataFrame, cols: list[str]) -> tuple[SQLTransformer, list[str]]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..operators.once import compute_once
 
 # The parts of each payload that are used.
 STATION_KEYS = {
@@ -34,17 +35,6 @@ WEATHER_LAYOUT = "main STRUCT<temp: VARIANT, humidity: VARIANT>"
 LIVE_FIELDS = ["pm25", "pm10", "temperature", "humidity", "aqi"]
 
 
-def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add the given columns so that later filters cannot repeat their computation.
-
-    A filter is pushed below a projection together with a copy of the expression
-    it uses, which here would parse every payload twice. It is not pushed below
-    an explode, and exploding one element changes nothing else.
-    """
-    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
-    return df.select(*df.columns, one).select(*df.columns, "_once.*")
-
-
 def _number(leaf: Column) -> Column:
     """A number, also if it is written as text; NULL for anything else."""
     return F.try_variant_get(leaf, "$", "double")
