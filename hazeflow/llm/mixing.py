@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from hazeflow.session import materialize
 
-from .base import n_words, with_columns_of
+from .base import n_words
 
 #: Rows of a source that one key range holds on average.
 RANGE_ROWS = 1000
@@ -58,16 +58,22 @@ def source_targets(sources: DataFrame, ratios: list[float], cap: float) -> DataF
     levels = ranked.withColumn("level", level).withColumn(
         "fits", F.when(F.col("level") <= F.col("most") / F.col("ratio"), F.col("level"))
     )
-    # The first level that fits is the smallest: later levels only grow.
-    target = F.least("most", F.min("fits").over(whole) * F.col("ratio"))
+    # The first level that fits is the highest: from there on, each source taken as full lowers it.
+    target = F.least("most", F.max("fits").over(whole) * F.col("ratio"))
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def sized(docs: DataFrame, quality: Column, seed: int, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    good = F.coalesce(F.when(quality > 0, quality.cast("double")), F.lit(1.0))
-    return docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), good.alias("_quality")
-    ).withColumn("key", sampling_key(F.col("doc_id"), F.col("_quality"), seed)).drop("_quality")
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", n_words().alias("size"))
+
+
+def keyed(rows: DataFrame, quality: DataFrame | None, seed: int) -> DataFrame:
+    """``rows`` with doc_id joined to (doc_id, quality), one row per id at most, and given their sampling keys."""
+    if quality is None:
+        return rows.withColumn("key", sampling_key(F.col("doc_id"), F.lit(1.0), seed))
+    q = quality.select(F.col("doc_id").alias("_q"), F.when(F.col("quality") > 0, F.col("quality").cast("double")).alias("_quality"))
+    joined = rows.join(q, rows["doc_id"] == q["_q"], "left")
+    return joined.withColumn("key", sampling_key(F.col("doc_id"), F.coalesce("_quality", F.lit(1.0)), seed)).drop("_q", "_quality")
 
 
 def cutoffs(rows: DataFrame, ratios: list[float], cap: float) -> DataFrame:
@@ -129,32 +135,28 @@ def _decided(rows: DataFrame, edge: DataFrame) -> DataFrame:
     return rows.join(e, rows["source"].eqNullSafe(e["_s"])).withColumn("copies", copies(e))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, ratios=(1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (words, repeats counted)."""
-    rows = materialize(sized(docs, F.lit(1.0) if quality is None else quality, seed), "mix-rows")
+def mix(docs: DataFrame, quality: DataFrame | None = None, ratios=(1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (words, repeats counted).
+
+    ``quality``: (doc_id, quality), one row per id.
+    """
+    rows = materialize(keyed(sized(docs), quality, seed), "mix-rows")
     return _decided(rows, cutoffs(rows, list(ratios), cap)).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, quality: Column | None = None, ratios=(1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 42) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns as in ``docs``.
-
-    ``quality`` may use any column of ``docs``. Documents without words are only repeated with complete epochs.
-    """
-    quality = F.lit(1.0) if quality is None else quality
-    edge = cutoffs(materialize(sized(docs, quality, seed), "mix-rows"), list(ratios), cap)
-    good = F.coalesce(F.when(quality > 0, quality.cast("double")), F.lit(1.0))
-    wide = docs.select(F.struct("*").alias("_doc"), good.alias("_quality")).select(
-        "_doc", "_quality", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), n_words("_doc.text").alias("size")
-    ).withColumn("key", sampling_key(F.col("doc_id"), F.col("_quality"), seed))
-    taken = _decided(wide, edge).where(F.col("copies") > 0)
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, ratios=(1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 42) -> DataFrame:
+    """The documents of the mix, each as often as it is taken; columns as in ``docs``."""
+    edge = cutoffs(materialize(keyed(sized(docs), quality, seed), "mix-rows"), list(ratios), cap)
+    wide = docs.select(
+        F.struct("*").alias("_doc"), "doc_id", "source", n_words().alias("size")
+    )
+    taken = _decided(keyed(wide, quality, seed), edge).where(F.col("copies") > 0)
     return taken.select("_doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_c")).select("_doc.*")
 
 
-def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``_label_quality``: 2 where some label calls the document good, 0.5 where all call it bad, else null."""
-    per_doc = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_best"))
-    weighed = F.when(F.col("_best") > 0, F.lit(2.0)).when(F.col("_best") == 0, F.lit(0.5))
-    joined = docs.join(per_doc, docs["doc_id"] == per_doc["_id"], "left")
-    return with_columns_of(joined.drop("_id"), _label_quality=weighed).drop("_best")
+def label_quality(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): 2 where some label calls the document good, 0.5 where all that say anything call it bad."""
+    best = labels.groupBy("doc_id").agg(F.max("quality").alias("best"))
+    return best.select("doc_id", F.when(F.col("best") > 0, F.lit(2.0)).when(F.col("best") == 0, F.lit(0.5)).alias("quality"))

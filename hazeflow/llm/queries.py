@@ -34,7 +34,7 @@ levels AS (
 ),
 targets AS (
   SELECT source, source_size,
-         least(most, min(CASE WHEN level <= most / ratio THEN level END) OVER () * ratio) AS target
+         least(most, max(CASE WHEN level <= most / ratio THEN level END) OVER () * ratio) AS target
   FROM levels
 ),
 running AS (
@@ -52,8 +52,8 @@ FROM running
 @query("op4_mixing", MIX_SQL)
 def op4_mixing(spark, sf_dir):
     """Sources of the documents mixed in ratio 1, 2, 3; documents weighted by their labels."""
-    weighed = mixing.quality_of(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
-    return mixing.mix(weighed, F.col("_label_quality")).select("doc_id", "size", "source_size", "target", "taken")
+    quality = mixing.label_quality(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), quality).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op7_sharding")
