@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash, tokens
 from .base import ORACLES, QUERIES, query, table
 
 
@@ -62,3 +62,19 @@ def op7_sharding(spark, sf_dir):
     return sharding.shard_slots(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op1_simhash")
+def op1_simhash(spark, sf_dir):
+    """Fingerprints and near-duplicate components of all documents."""
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op3_packed_tokens")
+def op3_packed_tokens(spark, sf_dir):
+    """Token ids of all documents written in fixed-width bits, and read back."""
+    import public_tokenizers
+
+    _, read = tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read
