@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, tokens
+from . import decontamination, language, mixing, neighbours, quality, sharding, simhash, tokens
 from .base import ORACLES, QUERIES, query, table
 
 
@@ -78,3 +78,51 @@ def op3_packed_tokens(spark, sf_dir):
 
     _, read = tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read
+
+
+LEAK_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+items AS (SELECT item_id, text, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+of_item AS (
+  SELECT DISTINCT item_id, text, k, unnest([array_to_string(w[a:a + k - 1], ' ') FOR a IN range(1, len(w) - k + 2)]) AS s FROM items
+),
+of_doc AS (
+  SELECT DISTINCT doc_id, k, unnest([array_to_string(w[a:a + k - 1], ' ') FOR a IN range(1, len(w) - k + 2)]) AS s
+  FROM d, (SELECT DISTINCT k FROM items) WHERE len(w) >= k
+),
+sizes AS (SELECT item_id, text, count(*) AS n_shingles FROM of_item GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, text, count(*) AS n_shared FROM of_item JOIN of_doc USING (k, s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
+FROM shared JOIN sizes USING (item_id, text) WHERE n_shared >= ceil(0.8 * n_shingles - 1e-9)
+"""
+
+
+@query("op2_quality")
+def op2_quality(spark, sf_dir):
+    """Grades 0 (toxic), 1 (neither) and 2 (good) learned from the labels; every document scored."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).when(F.col("quality") == 0, 1)
+    model = quality.fit(docs, labels.select("doc_id", grade.alias("grade")), 3)
+    scored = quality.score(docs, model, 3)
+    return scored.withColumn("keep", F.coalesce(F.col("p_ge_2") >= 0.5, F.lit(True)))
+
+
+@query("op5_language")
+def op5_language(spark, sf_dir):
+    """The language of every document; a third by id hash is held out of learning."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang"), ~language.held_out())
+    return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_decontamination", LEAK_SQL)
+def op9_decontamination(spark, sf_dir):
+    """Benchmark items of which a document has at least 0.8 of the five-word shingles."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_neighbours")
+def op10_neighbours(spark, sf_dir):
+    """The 5 nearest by cosine of every fiftieth vector."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
