@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, neighbours, quality, sharding, simhash, tokens
+from . import decontamination, language, lines, mixing, neighbours, quality, sharding, simhash, tokens
 from .base import ORACLES, QUERIES, query, table
 
 
@@ -126,3 +126,32 @@ def op9_decontamination(spark, sf_dir):
 def op10_neighbours(spark, sf_dir):
     """The 5 nearest by cosine of every fiftieth vector."""
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+LINE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS place, unnest(string_split(text, chr(10))) AS raw FROM documents
+),
+t AS (SELECT doc_id, place, nullif(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)), '') AS line FROM l),
+firsts AS (SELECT line, min({'doc_id': doc_id, 'place': place}) AS first, length(line) AS n FROM t WHERE line IS NOT NULL GROUP BY line),
+near AS (
+  SELECT DISTINCT a.line FROM firsts a JOIN firsts b
+  ON b.n BETWEEN a.n - 1 AND a.n + 1 AND least(a.n, b.n) >= 20 AND b.first < a.first AND a.line != b.line
+  AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2) OR right(a.line, least(a.n, b.n) - least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) - least(a.n, b.n) // 2))
+  AND levenshtein(a.line, b.line) <= 1
+),
+judged AS (
+  SELECT t.*, first, near.line IS NOT NULL AS near FROM t LEFT JOIN firsts ON t.line = firsts.line LEFT JOIN near ON t.line = near.line
+)
+SELECT doc_id, count(line) AS n_lines,
+       count(*) FILTER (WHERE line IS NOT NULL AND {'doc_id': doc_id, 'place': place} != first) AS n_repeated,
+       count(*) FILTER (WHERE line IS NOT NULL AND {'doc_id': doc_id, 'place': place} = first AND near) AS n_near,
+       coalesce(sum(strlen(line)) FILTER (WHERE {'doc_id': doc_id, 'place': place} = first AND NOT near), 0)::BIGINT AS kept_bytes
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op6_lines", LINE_SQL)
+def op6_lines(spark, sf_dir):
+    """Lines per document, and how many repeat an earlier line exactly or nearly."""
+    return lines.line_counts(table(spark, sf_dir, "documents"))
