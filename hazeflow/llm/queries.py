@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, language, lines, mixing, neighbours, quality, sharding, simhash, tokens
+from . import decontamination, language, lines, mixing, neighbours, quality, repeats, sharding, simhash, tokens
 from .base import ORACLES, QUERIES, query, table
 
 
@@ -155,3 +155,9 @@ FROM judged GROUP BY doc_id
 def op6_lines(spark, sf_dir):
     """Lines per document, and how many repeat an earlier line exactly or nearly."""
     return lines.line_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op8_repeats")
+def op8_repeats(spark, sf_dir):
+    """Bytes of each document that lie in a 100-byte string which starts earlier in the corpus."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
