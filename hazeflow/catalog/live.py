@@ -19,13 +19,13 @@ from .features import _category_sql, features_of
 LANDED = """
 landed AS (
   SELECT event_id, 'st' || (user_id // 25) AS city, ts AS event_ts, user_id, value,
-         event_id % 10 AS p_shape, (event_id // 10) % 5 AS w_shape, event_id % 7 AS s_shape,
+         event_id % 10 AS p_shape, (event_id // 10) % 5 AS w_shape, event_id % 11 AS s_shape,
          CAST(event_id % 5 + 1 AS DOUBLE) AS sent_aqi, CAST(user_id % 40 AS DOUBLE) + 0.5e0 AS sent_temp,
          CAST(event_id % 100 AS DOUBLE) AS sent_hum
   FROM events
 ),
 pollution AS (
-  SELECT *, p_shape NOT IN (6, 7, 8, 9) AND w_shape <> 3 AS p_ok,
+  SELECT *, p_shape NOT IN (2, 6, 7, 8, 9) AND w_shape <> 3 AS p_ok,
          CASE WHEN p_shape = 3 THEN 25e0 ELSE value END AS p_pm25,
          CASE WHEN p_shape = 4 THEN 45e0 ELSE value * 2e0 END AS p_pm10,
          CASE WHEN p_shape = 4 THEN 3e0 ELSE sent_aqi END AS p_aqi
@@ -33,10 +33,11 @@ pollution AS (
 ),
 station AS (
   SELECT *, s_shape NOT IN (2, 3, 6) AS s_ok,
-         CASE WHEN s_shape = 4 THEN 'Unknown' ELSE 'station ' || user_id END AS s_name,
-         CASE WHEN s_shape = 4 THEN 'N/A' WHEN s_shape = 5 THEN NULL ELSE 'pm25' END AS s_pollutant,
-         CASE WHEN s_shape IN (4, 5) THEN NULL ELSE value END AS s_pm25,
-         CASE WHEN s_shape = 5 THEN NULL ELSE sent_aqi END AS s_aqi
+         CASE WHEN s_shape IN (4, 7) THEN 'Unknown' ELSE 'station ' || user_id END AS s_name,
+         CASE WHEN s_shape IN (4, 7) THEN 'N/A' WHEN s_shape = 5 THEN NULL ELSE 'pm25' END AS s_pollutant,
+         CASE WHEN s_shape IN (4, 5, 7, 8) THEN NULL ELSE value END AS s_pm25,
+         CASE WHEN s_shape IN (5, 7, 9) THEN NULL ELSE sent_aqi END AS s_aqi,
+         s_shape NOT IN (2, 3, 6, 7) AS s_full
   FROM pollution
 )"""
 
@@ -51,9 +52,9 @@ def _landed(spark, sf_dir):
     SELECT event_id, s_ok AS decoded,
            CASE WHEN s_ok THEN s_name END AS station_name, CASE WHEN s_ok THEN s_aqi END AS aqi,
            CASE WHEN s_ok THEN s_aqi END AS aqi_target, CASE WHEN s_ok THEN s_pollutant END AS dominant_pollutant,
-           CASE WHEN s_ok THEN s_pm25 END AS pm25, CASE WHEN s_ok THEN sent_temp END AS temperature,
-           CASE WHEN s_ok THEN sent_hum END AS humidity, CASE WHEN s_ok THEN 1010.5e0 END AS pressure,
-           CASE WHEN s_ok THEN 2.25e0 END AS wind_speed, CASE WHEN s_ok THEN sent_temp END AS dew_point
+           CASE WHEN s_ok THEN s_pm25 END AS pm25, CASE WHEN s_full THEN sent_temp END AS temperature,
+           CASE WHEN s_full THEN sent_hum END AS humidity, CASE WHEN s_full THEN 1010.5e0 END AS pressure,
+           CASE WHEN s_full THEN 2.25e0 END AS wind_speed, CASE WHEN s_full THEN sent_temp END AS dew_point
     FROM station""",
 )
 def q_station(spark, sf_dir):

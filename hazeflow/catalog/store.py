@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..operators.joins import horizon_labels, point_in_time_join
-from ..operators.store import latest_per_city, merge_into_table
+from ..operators.store import compact, merge_into_table, month_of, read_online, save_online
 from ..session import materialize, work_dir
 from ..sources.tables import feature_scan
 from .base import FEATURE_SELECT, FEATURES, plain, query
@@ -24,7 +24,7 @@ THREE_DAYS_MS = 3 * 86_400_000
     SELECT {FEATURE_SELECT} FROM corrected""",
 )
 def q_upsert(spark, sf_dir):
-    """A base load, a correction of the last three days, and that correction once more."""
+    """A base load, a correction of the last three days, that correction once more, and its months compacted."""
     path = work_dir(spark, "feature-table")
     base = materialize(features_of(spark, sf_dir), "features")
     newest = base.agg(F.max("timestamp").alias("t")).scalar()
@@ -34,6 +34,7 @@ def q_upsert(spark, sf_dir):
     merge_into_table(base, path, load_seq=0)
     merge_into_table(correction, path, load_seq=1)
     merge_into_table(correction, path, load_seq=1)
+    compact(spark, path, [r[0] for r in correction.select(month_of("timestamp")).distinct().collect()])
     return plain(feature_scan(spark, path), 6, ["humidex"])
 
 
@@ -43,7 +44,9 @@ def q_upsert(spark, sf_dir):
     SELECT {FEATURE_SELECT} FROM features QUALIFY row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) = 1""",
 )
 def q_latest(spark, sf_dir):
-    return plain(latest_per_city(features_of(spark, sf_dir)), 6, ["humidex"])
+    path = work_dir(spark, "online")
+    save_online(features_of(spark, sf_dir), path)
+    return plain(read_online(spark, path), 6, ["humidex"])
 
 
 def _with_event_ts(features):

@@ -89,13 +89,12 @@ VALUES = [c for c in S.FEATURE_COLS if c not in S.KEY_COLS]
 
 @query(
     "stream_features",
-    f"""SELECT {', '.join(S.FEATURE_COLS)} FROM ({LANDED_VECTORS})
-    QUALIFY row_number() OVER (PARTITION BY city, timestamp ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in VALUES)}) = 1""",
+    f"""SELECT {', '.join([*S.FEATURE_COLS, 'label_scale', 'source'])} FROM ({LANDED_VECTORS})
+    QUALIFY row_number() OVER (PARTITION BY city, timestamp ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in [*VALUES, 'label_scale', 'source'])}) = 1""",
 )
 def q_stream_features(spark, sf_dir):
     root = work_dir(spark, "stream-features")
     landed = X.landed(_event_stream(pin_utc(spark), sf_dir)).drop("event_id")
     run_features(landed, f"{root}/table", f"{root}/dead-letters", f"{root}/checkpoint")
-    return feature_scan(spark, f"{root}/table")
-
+    return feature_scan(spark, f"{root}/table", [*S.FEATURE_COLS, "label_scale", "source"])
 

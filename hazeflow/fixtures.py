@@ -72,8 +72,8 @@ def landed(events: DataFrame) -> DataFrame:
     """Raw payloads as three sources would land them, one fetch cycle per event.
 
     They come in all shapes a decoder has to tell apart: complete, with keys left
-    out, with explicit nulls, numbers as text, text that is no number, an empty or
-    a failed envelope, and no JSON at all.
+    out, with explicit nulls, numbers as text, text that is no number or not a finite one, an empty or
+    a failed envelope, one with unknown keys only, and no JSON at all.
     """
     v = F.col("value").cast("string")
     twice = (F.col("value") * 2).cast("string")
@@ -90,7 +90,8 @@ def landed(events: DataFrame) -> DataFrame:
     pm25, pm10, main_aqi = text('"pm2_5":', v), text('"pm10":', twice), text('"aqi":', aqi)
     p_shape = F.col("event_id") % 10
     pollution = (
-        F.when(p_shape == 3, pollution_body(pm10, main_aqi))
+        F.when(p_shape == 2, pollution_body(text('"pm2_5":"NaN",', pm10), main_aqi))
+        .when(p_shape == 3, pollution_body(pm10, main_aqi))
         .when(p_shape == 4, pollution_body(pm25, ""))
         .when(p_shape == 5, pollution_body(text('"pm2_5":"', v, '",', pm10), main_aqi))
         .when(p_shape == 6, pollution_body(text('"pm2_5":null,', pm10), main_aqi))
@@ -113,13 +114,16 @@ def landed(events: DataFrame) -> DataFrame:
         )
 
     name = text('"name":"station ', F.col("user_id").cast("string"), '"')
-    s_shape = F.col("event_id") % 7
+    s_shape = F.col("event_id") % 11
     station = (
         F.when(s_shape == 2, F.lit('{"status":"error","data":"Invalid key"}'))
         .when(s_shape == 3, F.lit('{"status":"ok","data":{}}'))
         .when(s_shape == 4, station_body(aqi, "", "", ""))
         .when(s_shape == 5, station_body("null", ',"dominentpol":null', name, '"pm25":{"v":null},'))
         .when(s_shape == 6, F.lit("gateway timeout"))
+        .when(s_shape == 7, F.lit('{"status":"ok","data":{"idx":7}}'))
+        .when(s_shape == 8, station_body(aqi, ',"dominentpol":"pm25"', name, '"pm25":{"v":"NaN"},'))
+        .when(s_shape == 9, station_body('"Infinity"', ',"dominentpol":"pm25"', name, text('"pm25":{"v":', v, "},")))
         .otherwise(station_body(aqi, ',"dominentpol":"pm25"', name, text('"pm25":{"v":', v, "},")))
     )
     return events.select(

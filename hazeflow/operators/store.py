@@ -1,21 +1,42 @@
-"""The feature table: keyed, partitioned by month, the latest load wins."""
+"""The feature table: keyed, partitioned by month, append-only, the latest load wins.
+
+A load is one commit: its rows are written to a folder of their own, and only then is the
+commit named in the table's log, one row per commit. What is not named is never read, so a write
+that fails half-way leaves the table as it was. Readers take the rows of all named
+commits and keep the latest of each key. ``compact`` writes the latest rows of some
+months as a new commit that replaces the older ones in these months; nothing is overwritten.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import FEATURE_COLS, FEATURE_SCHEMA, KEY_COLS
+from ..schema import FEATURE_COLS, FEATURE_SCHEMA, KEY_COLS, SCALE_INDEX_500
 
 LOAD_SEQ = "load_seq"
 PARTITION = "year_month"
 
+#: What a stored row says of its label, besides the feature columns.
+ORIGIN = {"label_scale": SCALE_INDEX_500, "source": "history"}
+
 STORE_SCHEMA = T.StructType(
-    [*FEATURE_SCHEMA.fields, T.StructField(LOAD_SEQ, T.LongType()), T.StructField(PARTITION, T.StringType())]
+    [
+        *FEATURE_SCHEMA.fields,
+        *[T.StructField(c, T.StringType()) for c in ORIGIN],
+        T.StructField(LOAD_SEQ, T.LongType()),
+        T.StructField(PARTITION, T.StringType()),
+    ]
 )
+COMMIT = "commit"
+LOG_SCHEMA = "commit string, replaces array<string>, months array<string>"
 MAX_RECORDS_PER_FILE = 5_000_000
+#: Files a commit writes per month at most.
+FILES_PER_MONTH = 16
 
 
 def latest_wins(df: DataFrame, keys: list[str] = KEY_COLS, seq: str = LOAD_SEQ) -> DataFrame:
@@ -46,43 +67,104 @@ def latest_per_city(features: DataFrame) -> DataFrame:
     return features.groupBy("city").agg(newest).select("city", "_newest.timestamp", *[f"_newest.{c}" for c in rest])
 
 
+def month_of(timestamp: str) -> Column:
+    return F.date_format(F.timestamp_millis(timestamp), "yyyy-MM")
+
+
 def _month(df: DataFrame) -> DataFrame:
-    return df.withColumn(PARTITION, F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM"))
+    return df.withColumn(PARTITION, month_of("timestamp"))
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def _log(spark: SparkSession, path: str) -> list:
+    """The table's commits: one row per load since the last compaction, and one per compaction."""
     try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
+        return spark.read.schema(LOG_SCHEMA).parquet(f"{path}/log").collect()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return None
+            return []
         raise
 
 
-def merge_into_table(df: DataFrame, path: str, load_seq: int) -> list[str]:
-    """Merge a load of feature rows into the table at ``path``; creates it if absent.
+def _commit(df: DataFrame, path: str, replaces: list[str], months: list[str]) -> None:
+    """Write rows, clustered by month and city, then name them in the log."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    part = F.pmod(F.xxhash64("city"), F.lit(FILES_PER_MONTH))
+    (
+        df.select(*STORE_SCHEMA.names)
+        .repartition(PARTITION, part)
+        .write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        .partitionBy(PARTITION)
+        .parquet(f"{path}/data/{COMMIT}={name}")
+    )
+    entry = spark.createDataFrame([(name, replaces, months)], LOG_SCHEMA)
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def read_store(
+    spark: SparkSession, path: str, months: list[str] | None = None, columns: list[str] | None = None
+) -> DataFrame:
+    """The latest row of each key, with label_scale, source and load_seq; of the given months, or all.
 
-    Only the months the load touches are read and rewritten. Running the same
-    load again changes nothing. The list of touched months (one string each) is
-    the only thing the driver sees, and is returned.
+    With ``columns``, only these and the key are read. A commit holds one row per key, so a
+    choice between equal loads can only be one between repeats of a load.
     """
-    spark = df.sparkSession
-    load = _month(df.select(*FEATURE_COLS).withColumn(LOAD_SEQ, F.lit(load_seq).cast("bigint"))).persist()
-    try:
-        months = sorted(r[0] for r in load.select(PARTITION).distinct().collect())
-        if months:
-            stored = _stored(spark, path)
-            merged = latest_wins(load) if stored is None else upsert(stored.where(F.col(PARTITION).isin(months)), load)
-            (
-                merged.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-                .partitionBy(PARTITION)
-                .parquet(path)
-            )
-        return months
-    finally:
-        load.unpersist()
+    log = _log(spark, path)
+    live = [e for e in log if not any(e.commit in c.replaces and c.months is None for c in log)]
+    kept = STORE_SCHEMA.names if columns is None else list(dict.fromkeys([*KEY_COLS, *columns, LOAD_SEQ, PARTITION]))
+    if not live:
+        return spark.createDataFrame([], STORE_SCHEMA).select(*kept)
+    schema = T.StructType([*STORE_SCHEMA.fields, T.StructField(COMMIT, T.StringType())])
+    reader = spark.read.schema(schema).option("basePath", f"{path}/data").option("ignoreMissingFiles", "false")
+    rows = reader.parquet(*[f"{path}/data/{COMMIT}={e.commit}" for e in live])
+    for e in log:
+        if e.replaces:
+            rows = rows.where(~(F.col(COMMIT).isin(e.replaces) & F.col(PARTITION).isin(e.months)))
+    if months is not None:
+        rows = rows.where(F.col(PARTITION).isin(months))
+    return latest_wins(rows.select(*kept))
+
+
+def merge_into_table(df: DataFrame, path: str, load_seq: int) -> None:
+    """Append a load of feature rows to the table at ``path``; creates it if absent.
+
+    Nothing stored is read or rewritten. Running the same load again changes no
+    result. Rows without a city or timestamp have no key and are left out: see ``keyless``.
+    Rows that do not say their label's scale and source are history on the archive scale.
+    """
+    origin = [F.col(c) if c in df.columns else F.lit(v).alias(c) for c, v in ORIGIN.items()]
+    load = df.where(F.col("city").isNotNull() & F.col("timestamp").isNotNull())
+    rows = _month(load.select(*FEATURE_COLS, *origin).withColumn(LOAD_SEQ, F.lit(load_seq).cast("bigint")))
+    _commit(latest_wins(rows), path, [], [])
+
+
+def keyless(df: DataFrame) -> DataFrame:
+    """Rows that a load leaves out, for the dead letters."""
+    return df.where(F.col("city").isNull() | F.col("timestamp").isNull()).withColumn("reject_reason", F.lit("no_key"))
+
+
+def compact(spark: SparkSession, path: str, months: list[str]) -> None:
+    """Bring the given months down to one row per key, as one new commit.
+
+    Loads that are committed meanwhile are not replaced, and stay. The old files
+    are left for a later clean-up, as readers may still be using them.
+    """
+    seen = [e.commit for e in _log(spark, path)]
+    if seen and months:
+        _commit(read_store(spark, path, months), path, seen, months)
+
+
+def save_online(features: DataFrame, path: str) -> None:
+    """Add the newest row of each city to the online copy at ``path``: a table of its own, one key per city."""
+    newest = latest_per_city(features)
+    merge_into_table(newest, path, 0)
+
+
+def read_online(spark: SparkSession, path: str, cities: list[str] | None = None) -> DataFrame:
+    """The newest row of each city (or of the given ones) that any load has brought."""
+    rows = read_store(spark, path)
+    if cities is not None:
+        rows = rows.where(F.col("city").isin(cities))
+    return latest_per_city(rows.select(*FEATURE_COLS))
 
 
 def save_vectors(df: DataFrame | None, path: str, load_seq: int) -> bool:
@@ -90,4 +172,7 @@ def save_vectors(df: DataFrame | None, path: str, load_seq: int) -> bool:
 
     A failing write raises: a stream has to see it, so that the batch runs again.
     """
-    return df is not None and bool(merge_into_table(df, path, load_seq))
+    if df is None or df.isEmpty():
+        return False
+    merge_into_table(df, path, load_seq)
+    return True

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.missing import finite_or_null
 from ..operators.once import compute_once
 
 # The parts of each payload that are used.
@@ -28,6 +29,7 @@ STATION_LAYOUT = (
     + ", ".join(f"{k}: STRUCT<v: VARIANT>" for k in STATION_KEYS.values())
     + ">>"
 )
+STATION_KEYS_LAYOUT = "data MAP<STRING, VARIANT>"
 POLLUTION_LAYOUT = (
     "list ARRAY<STRUCT<components: STRUCT<pm2_5: VARIANT, pm10: VARIANT>, main: STRUCT<aqi: VARIANT>>>"
 )
@@ -36,8 +38,8 @@ LIVE_FIELDS = ["pm25", "pm10", "temperature", "humidity", "aqi"]
 
 
 def _number(leaf: Column) -> Column:
-    """A number, also if it is written as text; NULL for anything else."""
-    return F.try_variant_get(leaf, "$", "double")
+    """A finite number, also if it is written as text; NULL for anything else, NaN and infinities included."""
+    return finite_or_null(F.try_variant_get(leaf, "$", "double"))
 
 
 def _text(leaf: Column) -> Column:
@@ -53,11 +55,15 @@ def _read_station(df: DataFrame, raw: str) -> tuple[DataFrame, dict[str, Column]
     """The reply's parts as columns ``_s_*``, and the fields of its record in terms of them."""
     reply = F.col("_reply")
     data = reply.data
-    nothing = F.coalesce(data.aqi, data.dominentpol).isNull() & data.city.isNull() & data.iaqi.isNull()
+    known = F.coalesce(data.aqi, data.dominentpol).isNotNull() | data.city.isNotNull() | data.iaqi.isNotNull()
+    # Only a reply without any known key is read a second time, for whether it has others.
+    any_key = F.coalesce(F.size(F.from_json(F.col(raw), STATION_KEYS_LAYOUT).data), F.lit(0)) > 0
     error = (
         F.when(F.coalesce(reply.status.isNull() & data.isNull(), F.lit(True)), F.lit("unreadable"))
         .when(F.coalesce(_text(reply.status), F.lit("")) != "ok", F.lit("status_not_ok"))
-        .when(data.isNull() | nothing, F.lit("no_data"))
+        .when(data.isNull(), F.lit("no_data"))
+        .when(known, F.lit(None))
+        .when(~any_key, F.lit("no_data"))
     )
     parts = {
         "_s_error": error,
@@ -136,7 +142,8 @@ def decode_pollution(
 
     Absent pollution keys have stand-ins and the weather keys are required.
     A value that is present but is no number, or a missing level of the
-    payload, rejects the whole record: the struct is then NULL itself.
+    payload, rejects the whole record: the struct is then NULL itself. So does a
+    number that is not finite.
     """
     read, record = _read_pollution(df, pollution, weather)
     return compute_once(read, {out: record}).select(*df.columns, out)

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import read_store
 from ..schema import FEATURE_COLS, LANDED_SCHEMA
 
 
@@ -38,9 +39,18 @@ def date_range(df: DataFrame, start: str, end: str, city: str | None = None, ts:
     return df.where(keep)
 
 
-def feature_scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """The stored feature table; only the named columns are read."""
-    return spark.read.parquet(path).select(*(columns or FEATURE_COLS))
+def feature_scan(
+    spark: SparkSession, path: str, columns: list[str] | None = None, label_scale: str | None = None, months: list[str] | None = None
+) -> DataFrame:
+    """The stored feature table; only the named columns (and the key) are read.
+
+    Training and alerts name the ``label_scale`` they are meant for: the table may hold both.
+    """
+    wanted = columns or FEATURE_COLS
+    rows = read_store(spark, path, months, [*wanted, "label_scale"] if label_scale else wanted)
+    if label_scale is not None:
+        rows = rows.where(F.col("label_scale") == label_scale)
+    return rows.select(*wanted)
 
 
 def write_dead_letters(df: DataFrame, path: str) -> None:

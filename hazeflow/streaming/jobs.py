@@ -139,7 +139,7 @@ def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def run_upsert(stream: DataFrame, table: str, checkpoint: str, first_seq: int = 0) -> None:
-    """Merge a stream of feature rows into the feature table, later batches winning."""
+    """Append a stream of feature rows to the feature table, later batches winning."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         merge_into_table(batch, table, first_seq + batch_id)
@@ -153,8 +153,10 @@ def run_features(landed: DataFrame, table: str, dead_letters: str, checkpoint: s
     def store(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            vectors, rejects = live_vectors(batch)
+            has_key = F.col("city").isNotNull() & F.col("fetched_at").isNotNull()
+            vectors, rejects = live_vectors(batch.where(has_key))
             merge_into_table(vectors, table, first_seq + batch_id)
+            rejects = rejects.unionByName(batch.where(~has_key).select(*rejects.drop("reject_reason").columns, F.lit("no_key").alias("reject_reason")))
             # At least once: a repeated batch repeats its rejects, told apart by batch_id.
             write_dead_letters(rejects.withColumn("batch_id", F.lit(batch_id)), dead_letters)
         finally:

@@ -22,6 +22,9 @@ POLLUTION_CASES = [
     (pollution('"pm2_5": "n/a", "pm10": 20'), GOOD_WEATHER, None),
     (pollution('"pm2_5": {"v": 1}, "pm10": 20'), GOOD_WEATHER, None),
     (pollution(main='"aqi": null'), GOOD_WEATHER, None),
+    (pollution('"pm2_5": "NaN", "pm10": 20'), GOOD_WEATHER, None),
+    (pollution('"pm2_5": 1, "pm10": "Infinity"'), GOOD_WEATHER, None),
+    (pollution(main='"aqi": "NaN"'), GOOD_WEATHER, None),
     ('{"list":[]}', GOOD_WEATHER, None),
     ('{"list":[{"main":{"aqi":1}}]}', GOOD_WEATHER, None),
     ('{"list":[{"components":{"pm10":1}}]}', GOOD_WEATHER, None),
@@ -54,6 +57,8 @@ STATION_CASES = [
     (station(aqi=150), ("Unknown", 150.0, 150.0, "N/A", None, None, None, None, None, None)),
     (station(aqi=None, dominentpol=None, city={"name": None}, iaqi={"pm25": {}}), (None, None, None, None) + (None,) * 6),
     (station(aqi="-", city={}), ("Unknown", None, None, "N/A", None, None, None, None, None, None)),
+    (station(idx=7), ("Unknown", None, None, "N/A") + (None,) * 6),
+    (station(aqi="NaN", iaqi={"pm25": {"v": "NaN"}}), ("Unknown", None, None, "N/A") + (None,) * 6),
     ('{"status":"error","data":"Invalid key"}', None),
     ('{"status":"ok","data":{}}', None),
     ('{"status":"ok"}', None),
@@ -72,7 +77,7 @@ def test_station_decode_and_envelope(spark):
     good, bad = split_rejects(check_envelope(df), "envelope_error")
     assert {r.i for r in good.collect()} == {i for i, (_, w) in enumerate(STATION_CASES) if w}
     assert {r.i: r.envelope_error for r in bad.collect()} == {
-        4: "status_not_ok", 5: "no_data", 6: "no_data", 7: "status_not_ok", 8: "unreadable", 9: "unreadable",
+        6: "status_not_ok", 7: "no_data", 8: "no_data", 9: "status_not_ok", 10: "unreadable", 11: "unreadable",
     }
 
 
@@ -100,4 +105,5 @@ def test_live_vectors_fall_back_whole_records(spark):
 def test_payloads_are_parsed_once(spark):
     df = spark.createDataFrame([("a", None, "x", "x", "x")], LANDED_SCHEMA)
     plan = live_vectors(df)[0]._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("from_json") == 3
+    # Once per payload, and the keys of a station reply without any known key, inside a CASE.
+    assert plan.count("from_json") == 4

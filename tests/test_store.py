@@ -2,7 +2,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from hazeflow.operators.store import STORE_SCHEMA, latest_per_city, latest_wins, merge_into_table, save_vectors, upsert
+from hazeflow.operators.store import (
+    STORE_SCHEMA, compact, keyless, latest_per_city, latest_wins, merge_into_table, read_online, read_store, save_online, save_vectors, upsert,
+)
 from hazeflow.schema import FEATURE_COLS, FEATURE_SCHEMA
 from hazeflow.sources.tables import feature_scan
 
@@ -19,22 +21,83 @@ def stored(spark, path):
     return {(r.city, r.timestamp): r.target_aqi for r in feature_scan(spark, path).collect()}
 
 
-def test_merge_creates_updates_and_repeats(spark, tmp_path):
+def data_files(path):
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(f"{path}/data") for f in fs}
+
+
+def test_merge_appends_and_repeats(spark, tmp_path):
     path = str(tmp_path / "t")
-    assert merge_into_table(vectors(spark, [("a", JAN, 1.0), ("a", FEB, 2.0)]), path, 0) == ["2024-01", "2024-02"]
-    january = {f: os.path.getmtime(os.path.join(path, "year_month=2024-01", f)) for f in os.listdir(f"{path}/year_month=2024-01")}
+    merge_into_table(vectors(spark, [("a", JAN, 1.0), ("a", FEB, 2.0)]), path, 0)
     change = vectors(spark, [("a", FEB, 3.0), ("b", FEB, 4.0)])
     want = {("a", JAN): 1.0, ("a", FEB): 3.0, ("b", FEB): 4.0}
     for _ in range(2):
-        assert merge_into_table(change, path, 1) == ["2024-02"]
+        before = data_files(path)
+        merge_into_table(change, path, 1)
+        after = data_files(path)
+        # Only the load's own rows are written, nothing is touched.
+        assert before.items() <= after.items() and all("2024-02" in f for f in after.keys() - before.keys() if "year_month" in f)
         assert stored(spark, path) == want
-    assert january == {f: os.path.getmtime(os.path.join(path, "year_month=2024-01", f)) for f in os.listdir(f"{path}/year_month=2024-01")}
     # An older load that arrives late does not win.
     merge_into_table(vectors(spark, [("a", FEB, 9.0)]), path, 0)
     assert stored(spark, path) == want
     assert feature_scan(spark, path).columns == FEATURE_COLS
 
 
+def test_compaction_and_loads_around_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge_into_table(vectors(spark, [("a", JAN, 1.0), ("a", FEB, 2.0)]), path, 0)
+    merge_into_table(vectors(spark, [("a", FEB, 3.0)]), path, 1)
+    compact(spark, path, ["2024-02"])
+    assert stored(spark, path) == {("a", JAN): 1.0, ("a", FEB): 3.0}
+    assert read_store(spark, path, ["2024-02"]).select("target_aqi").collect()[0][0] == 3.0
+    merge_into_table(vectors(spark, [("a", FEB, 4.0), ("a", JAN, 5.0)]), path, 2)
+    compact(spark, path, ["2024-01", "2024-02"])
+    assert stored(spark, path) == {("a", JAN): 5.0, ("a", FEB): 4.0}
+    merge_into_table(vectors(spark, [("a", FEB, 8.0)]), path, 1)
+    assert stored(spark, path) == {("a", JAN): 5.0, ("a", FEB): 4.0}
+
+
+def test_failed_write_leaves_the_table_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge_into_table(vectors(spark, [("a", JAN, 1.0)]), path, 0)
+    broken = vectors(spark, [("a", JAN, 2.0)]).withColumn("pm25", F.expr("CASE WHEN rand() < 2 THEN raise_error('lost') END").cast("double"))
+    for _ in range(2):
+        try:
+            merge_into_table(broken, path, 1)
+        except Exception as e:
+            assert "lost" in str(e)
+        else:
+            raise AssertionError("the write should have failed")
+        assert stored(spark, path) == {("a", JAN): 1.0}
+    merge_into_table(vectors(spark, [("a", JAN, 3.0)]), path, 1)
+    assert stored(spark, path) == {("a", JAN): 3.0}
+
+
+def test_label_scale_is_kept(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge_into_table(vectors(spark, [("a", JAN, 180.0)]), path, 0)
+    live = vectors(spark, [("a", FEB, 2.0)]).withColumns({"label_scale": F.lit("aqi_5"), "source": F.lit("pollution")})
+    merge_into_table(live, path, 1)
+    rows = {r.timestamp: (r.label_scale, r.source) for r in read_store(spark, path).collect()}
+    assert rows == {JAN: ("aqi_500", "history"), FEB: ("aqi_5", "pollution")}
+    assert [r.target_aqi for r in feature_scan(spark, path, label_scale="aqi_500").collect()] == [180.0]
+
+
+def test_rows_without_a_key(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), vectors(spark, [(None, JAN, 1.0), ("a", None, 2.0), ("a", JAN, 3.0)])
+    merge_into_table(rows, path, 0)
+    assert stored(spark, path) == {("a", JAN): 3.0}
+    assert {r.reject_reason for r in keyless(rows).collect()} == {"no_key"} and keyless(rows).count() == 2
+
+
+def test_online_copy(spark, tmp_path):
+    path = str(tmp_path / "o")
+    save_online(vectors(spark, [("a", JAN, 1.0), ("b", FEB, 2.0)]), path)
+    save_online(vectors(spark, [("a", FEB, 3.0), ("b", JAN, 4.0)]), path)
+    assert {r.city: r.target_aqi for r in read_online(spark, path).collect()} == {"a": 3.0, "b": 2.0}
+    assert [r.city for r in read_online(spark, path, ["b"]).collect()] == ["b"]
+
+
 def test_nothing_to_save(spark, tmp_path):
     path = str(tmp_path / "t")
     assert save_vectors(None, path, 0) is False
@@ -46,11 +109,11 @@ def test_scan_reads_only_the_named_columns(spark, tmp_path):
     path = str(tmp_path / "t")
     merge_into_table(vectors(spark, [("a", JAN, 1.0)]), path, 0)
     plan = feature_scan(spark, path, ["city", "pm25"])._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<city:string,pm25:double>" in plan
+    assert "ReadSchema: struct<city:string,timestamp:bigint,pm25:double,load_seq:bigint>" in plan
 
 
 def test_column_order_does_not_matter(spark):
-    a = vectors(spark, [("a", JAN, 1.0)]).withColumns({"load_seq": F.lit(0).cast("bigint"), "year_month": F.lit("2024-01")})
+    a = vectors(spark, [("a", JAN, 1.0)]).withColumns({"label_scale": F.lit("aqi_500"), "source": F.lit("history"), "load_seq": F.lit(0).cast("bigint"), "year_month": F.lit("2024-01")})
     b = a.select(*reversed(a.columns)).withColumns({"load_seq": F.lit(1).cast("bigint"), "target_aqi": F.lit(5.0)})
     out = upsert(a, b).collect()
     assert len(out) == 1 and out[0].target_aqi == 5.0 and set(a.columns) == set(STORE_SCHEMA.names)

@@ -112,12 +112,12 @@ def test_live_stream_equals_batch(spark, tmp_path):
     land(src, [
         [row("a", 0, pollution(), None), row("b", 0, None, station(aqi=99, iaqi={"pm25": {"v": 5}}))],
         [row("a", 1, "broken", "broken"), row("b", 1, pollution(main=""), None)],
-        [row("a", 2, None, station(aqi=None, iaqi={"t": {"v": 1}}))],
+        [row("a", 2, None, station(aqi=None, iaqi={"t": {"v": 1}})), row(None, 2, pollution(), None)],
     ])
     table, dead = str(tmp_path / "t"), str(tmp_path / "dead")
     run_features(read_landed_stream(spark, src, max_files=1), table, dead, str(tmp_path / "cp"))
-    batch = live_vectors(read_landed(spark, src))[0].drop("source", "label_scale")
+    batch = live_vectors(read_landed(spark, src).where("city IS NOT NULL"))[0].drop("source", "label_scale")
     got = feature_scan(spark, table)
     assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty() and got.count() == 3
-    assert {(r.city, r.reject_reason) for r in spark.read.parquet(dead).collect()} == {("a", "no_source"), ("a", "no_label")}
+    assert {(r.city, r.reject_reason) for r in spark.read.parquet(dead).collect()} == {("a", "no_source"), ("a", "no_label"), (None, "no_key")}
     assert LANDED_SCHEMA.names == ["city", "fetched_at", "pollution", "weather", "station"]
