@@ -12,6 +12,7 @@ from ..functions.aqi import CATEGORIES, TOP_CATEGORY
 from ..operators.chunks import difference, fill_series
 from ..operators.enrich import with_humidex
 from ..operators.grid import hourly_grid
+from ..functions.sql import register_sql_functions
 from ..operators.joins import range_join_subindex
 from ..operators.store import merge_into_table
 from ..plans.history import feature_table
@@ -192,6 +193,23 @@ def q_subindex(spark, sf_dir):
     )
 
 
+@query(
+    "sql_functions",
+    f"""WITH {JOINED}
+    SELECT city, event_ts, round({humidex_sql()}, 6) AS humidex, round({subindex_sql('pm25', 'pm25')}, 6) AS pm25_index,
+           round({subindex_sql('pm10', 'pm10')}, 6) AS pm10_index,
+           round(greatest({subindex_sql('pm25', 'pm25')}, {subindex_sql('pm10', 'pm10')}), 6) AS aqi
+    FROM joined""",
+)
+def q_sql_functions(spark, sf_dir):
+    register_sql_functions(spark)
+    out = X.joined(spark, sf_dir).selectExpr(
+        "city", "event_ts", "humidex(temperature, humidity) AS humidex", "aqi_pm25(pm25) AS pm25_index",
+        "aqi_pm10(pm10) AS pm10_index", "aqi_overall(pm25, pm10) AS aqi",
+    )
+    return plain(out, 6)
+
+
 @query(
     "aqi_rangejoin",
     f"""SELECT event_id, round(CASE WHEN event_type IN ('view', 'purchase') THEN {subindex_sql('value', 'pm25')}

@@ -48,8 +48,7 @@ q_boosted = query("gbt_train_eval")(_train_eval("boosted"))
 def q_neural(spark, sf_dir):
     cols = model_columns()
     train, test = split(usable(_stored(spark, sf_dir), cols))
-    n_rows = train.count()
-    model = fit_neural(standard_scale(train, train, cols), cols, n_rows)
+    model = fit_neural(standard_scale(train, train, cols), cols)
     scaled = standard_scale(test, train, cols)
     scored = scaled.withColumn("prediction", model.predict(F.array(*cols)))
     return regression_metrics(scored, "target_aqi").select(F.lit("neural").alias("algo"), "mae", "rmse", "r2")
@@ -98,4 +97,4 @@ def q_batch_score(spark, sf_dir):
 def q_importance(spark, sf_dir):
     train, test = split(_stored(spark, sf_dir))
     model, _ = train_and_evaluate(train, test, "ridge")
-    return permutation_importance(model, test, model_columns(), test.count())
+    return permutation_importance(model, test, model_columns())

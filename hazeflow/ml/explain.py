@@ -11,7 +11,7 @@ from ..operators.once import compute_once
 from ..schema import LABEL_COL
 from .metrics import regression_metrics
 
-ROWS_PER_BUCKET = 10_000
+BUCKETS = 64
 
 
 def linear_shap(df: DataFrame, train: DataFrame, coefficients: dict[str, float]) -> DataFrame:
@@ -32,23 +32,27 @@ def tree_importance(model: PipelineModel, cols: list[str]) -> dict[str, float]:
     return dict(zip(cols, model.stages[-1].featureImportances.toArray().tolist()))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, cols: list[str], n_rows: int, seed: int = 7) -> DataFrame:
+def permutation_importance(model: PipelineModel, df: DataFrame, cols: list[str], seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
     """(feature, r2_drop): loss of R2 when one input is permuted, for all inputs in one job.
 
-    Rows fall into buckets by a hash of their key. In a bucket each row
-    takes the input of the next row in hash order and the last takes that of the
-    first: a permutation of the bucket. Each row is then scored once as it
-    is and once per input.
+    All rows form one ring in the order of a hash of their key, and each takes the input of
+    the next. Buckets are stretches of that order: within one the next row is near, and the last
+    row of a bucket gets the first of the following one from a summary with a row
+    per bucket. So the result does not depend on the number of buckets. Each row is then
+    scored once as it is and once per input.
     """
-    buckets = max(1, n_rows // ROWS_PER_BUCKET)
-    order = F.xxhash64("city", "timestamp", F.lit(seed))
+    order = F.struct(F.xxhash64("city", "timestamp", F.lit(seed)).alias("h"), "city", "timestamp")
+    width = F.lit(float(2**64 // buckets + 1))
+    rows = df.withColumns({"_order": order, "_values": F.struct(*cols)}).withColumn(
+        "_bucket", F.floor((F.col("_order.h").cast("double") + F.lit(float(2**63))) / width)
+    )
+    heads = rows.groupBy("_bucket").agg(F.min_by("_values", "_order").alias("_head"))
+    along = W.orderBy("_bucket")
+    first = F.first("_head").over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    next_head = heads.select("_bucket", F.coalesce(F.lead("_head").over(along), first).alias("_next"))
     ring = W.partitionBy("_bucket").orderBy("_order")
-    values = F.struct(*cols)
-    first = F.first("_values").over(ring.rowsBetween(W.unboundedPreceding, 0))
-    shuffled = (
-        df.withColumns({"_order": order, "_values": values})
-        .withColumn("_bucket", F.pmod(F.xxhash64(F.col("_order"), F.lit(seed + 1)), F.lit(buckets)))
-        .withColumn("_other", F.coalesce(F.lead("_values").over(ring), first))
+    shuffled = rows.withColumn("_lead", F.lead("_values").over(ring)).join(next_head, "_bucket").withColumn(
+        "_other", F.coalesce("_lead", "_next")
     )
     versions = [F.struct(F.lit("").alias("feature"), *[F.col(c).alias(c) for c in cols])]
     for replaced in cols:

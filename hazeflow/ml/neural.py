@@ -30,7 +30,8 @@ PATIENCE = 10
 VALIDATION_PERCENT = 20
 ADAM = {"lr": 0.001, "beta1": 0.9, "beta2": 0.999, "eps": 1e-7}
 
-ROWS_PER_REPLICA = 20_000
+#: Copies of the network that are trained side by side and averaged each round.
+REPLICAS = 2
 
 
 def layer_shapes(n_inputs: int) -> list[tuple[int, int]]:
@@ -140,14 +141,13 @@ def _round(state: np.ndarray, step: int, seed: int, n_inputs: int):
 
 
 def fit_neural(
-    train: DataFrame, inputs: list[str], n_rows: int, seed: int = 42, max_epochs: int = MAX_EPOCHS
+    train: DataFrame, inputs: list[str], replicas: int = REPLICAS, seed: int = 42, max_epochs: int = MAX_EPOCHS
 ) -> NeuralModel:
     """Train on scaled input columns; stops early and keeps the best parameters.
 
-    The number of replicas grows with the rows, so that a replica always sees
-    enough minibatches per round for the average to move.
+    ``replicas`` is a setting of the training, like the size of a minibatch: it is
+    never derived from the number of rows. Set it to the cluster's cores for large tables.
     """
-    replicas = max(1, n_rows // ROWS_PER_REPLICA)
     data = (
         train.select(
             F.array(*inputs).alias("x"),

@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.missing import nan_to_null
 from ..operators.once import compute_once
 from ..schema import LABEL_COL, LEAKY_COLS, MODEL_COLS
 
@@ -50,7 +51,7 @@ def fit_scaler(train: DataFrame, cols: list[str]) -> tuple[SQLTransformer, list[
 
 
 def assembler(cols: list[str], scaled: bool = True, handle_invalid: str = "skip") -> VectorAssembler:
-    """Rows with a missing input are skipped by default; count them with ``count_incomplete``."""
+    """Trainers skip rows with a missing input (see ``count_incomplete``); scoring keeps them, see ``score_with``."""
     inputs = [f"z_{c}" for c in cols] if scaled else cols
     return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid=handle_invalid)
 
@@ -63,11 +64,11 @@ def count_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def design_matrix(df: DataFrame, cols: list[str] = MODEL_COLS, label: str = LABEL_COL) -> DataFrame:
-    """Key, ``features`` vector and ``label``."""
-    return assembler(cols, scaled=False).transform(df).select("city", "timestamp", "features", F.col(label).alias("label"))
+    """Key, ``features`` vector and ``label`` of every row; a missing input is NaN in the vector."""
+    return assembler(cols, scaled=False, handle_invalid="keep").transform(df).select("city", "timestamp", "features", F.col(label).alias("label"))
 
 
 def design_columns(matrix: DataFrame, cols: list[str] = MODEL_COLS) -> DataFrame:
-    """The vector laid out again as one column per input."""
+    """The vector laid out again as one column per input; missing inputs are NULL."""
     values = matrix.withColumn("_x", vector_to_array("features"))
-    return values.select("city", "timestamp", *[F.col("_x")[i].alias(c) for i, c in enumerate(cols)], "label")
+    return values.select("city", "timestamp", *[nan_to_null(F.col("_x")[i]).alias(c) for i, c in enumerate(cols)], "label")

@@ -29,7 +29,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def iqr_bounds(
-    df: DataFrame, cols: list[str] | None = None, approx: bool = False, k: float = 1.5, rounds: int = 1
+    df: DataFrame, cols: list[str] | None = None, approx: bool = False, k: float = 1.5, rounds: int | None = None
 ) -> DataFrame:
     """(column, q1, q3, lower_bound, upper_bound) per numeric column; NULLs for a column without values."""
     cols = cols or numeric_columns(df)
@@ -48,7 +48,7 @@ def iqr_bounds(
 
 
 def iqr_outliers(
-    df: DataFrame, cols: list[str] | None = None, approx: bool = False, k: float = 1.5, rounds: int = 1
+    df: DataFrame, cols: list[str] | None = None, approx: bool = False, k: float = 1.5, rounds: int | None = None
 ) -> DataFrame:
     """(column, outlier_count, percentage): values strictly outside the fences.
 

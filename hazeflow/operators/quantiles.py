@@ -3,8 +3,9 @@
 Each round reads the columns, cuts the range still in question by approximate
 quantiles and counts per cut, which combines before the shuffle. The counts are exact,
 so they tell for certain between which two values a wanted rank lies. A round leaves
-about one value in 2**levels; only what the last round leaves is
-ordered. More rounds suit larger tables; the result does not depend on them.
+about one distinct value in 2**levels; only what the last round leaves is
+ordered. There are as many rounds as leave about ``ORDERED_VALUES`` or fewer in an ordered
+group, whatever the number of rows; the result does not depend on them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import nan_to_null
 
 CUT_LEVELS = 7
-INFINITY = float("inf")
+ORDERED_VALUES = 1_000_000
 
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -46,6 +47,8 @@ def _edges(values: DataFrame, keys: list[str], levels: int) -> DataFrame:
 def _narrow(values: DataFrame, edges: DataFrame, keys: list[str], asked: DataFrame, levels: int) -> DataFrame:
     """For each asked rank: a narrower range (low, high] that holds it and the number of values up to low.
 
+    A null ``low`` is an open end, so that a range can begin with minus infinity.
+
     ``values`` are those above the ``low`` asked with, and ``below`` counts the others. ``edges`` and ``asked`` have a row per column and probability at most.
     """
     per_bin = (
@@ -74,12 +77,16 @@ def _narrow(values: DataFrame, edges: DataFrame, keys: list[str], asked: DataFra
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], levels: int = CUT_LEVELS, rounds: int = 1
+    df: DataFrame, cols: list[str], probs: list[float], levels: int = CUT_LEVELS, rounds: int | None = None
 ) -> DataFrame:
     """(column, p, value) with linear interpolation; no row for a column without values.
 
     ``df`` should be a stored table: it is read twice per round and once more.
     """
+    if rounds is None:
+        rounds, left = 1, df.count() >> levels
+        while left > ORDERED_VALUES:
+            rounds, left = rounds + 1, left >> levels
     values = long_values(df, cols)
     edges = _edges(values, ["column"], levels)
     position = F.col("p") * (F.col("n") - 1)
@@ -90,7 +97,7 @@ def exact_quantiles(
         F.ceil(position).alias("next_rank"),
         (position - F.floor(position)).alias("fraction"),
         F.lit(0).cast("bigint").alias("below"),
-        F.lit(-INFINITY).alias("low"),
+        F.lit(None).cast("double").alias("low"),
     )
     ranges = _narrow(values, edges.drop("n"), ["column"], asked, levels)
     for _ in range(rounds - 1):
@@ -108,13 +115,14 @@ def exact_quantiles(
     return (
         ordered.groupBy("column", "p", "fraction")
         .agg(at("rank").alias("a"), at("next_rank").alias("b"))
-        .select("column", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("fraction")).alias("value"))
+        # Between equal values nothing is interpolated: the difference of infinities is no number.
+        .select("column", "p", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("fraction")).alias("value"))
     )
 
 
 def _left_in(values: DataFrame, ranges: DataFrame) -> DataFrame:
     inside = values.join(F.broadcast(ranges.select("column", "p", "low", "high")), "column")
-    return inside.where((F.col("value") > F.col("low")) & (F.col("value") <= F.col("high"))).select("column", "p", "value")
+    return inside.where((F.col("low").isNull() | (F.col("value") > F.col("low"))) & (F.col("value") <= F.col("high"))).select("column", "p", "value")
 
 
 def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000) -> DataFrame:

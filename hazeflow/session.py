@@ -45,8 +45,10 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="hazeflow-")
-        spark.conf.set("spark.hazeflow.local.dir", base)
+        base = spark.conf.get("spark.hazeflow.local.dir", None)
+        if base is None:
+            base = tempfile.mkdtemp(prefix="hazeflow-")
+            spark.conf.set("spark.hazeflow.local.dir", base)
     return f"{base.rstrip('/')}/hazeflow/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -36,6 +36,23 @@ def test_quantiles_equal_pandas(spark, seed, n):
             assert mine.empty
 
 
+@pytest.mark.parametrize("rounds", [None, 1, 3])
+def test_infinities_and_few_values(spark, rounds):
+    inf = float("inf")
+    cols = {
+        "low": [-inf] * 3 + [0.0, 1.0, 2.0, 3.0, 4.0], "high": [0.0, 1.0, 2.0, 3.0] + [inf] * 4, "both": [-inf] * 4 + [inf] * 4,
+        "same": [7.0] * 8, "two": [1.0] * 5 + [2.0] * 3,
+    }
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols))
+    got = {(r.column, r.p): r.value for r in exact_quantiles(df, list(cols), [0.0, 0.25, 0.75, 1.0], 1, rounds).collect()}
+    for c, values in cols.items():
+        for p in (0.0, 0.25, 0.75, 1.0):
+            at = p * 7
+            a, b = values[int(at)], values[min(7, int(at) + (at % 1 > 0))]
+            want = a if a == b else a + (b - a) * (at % 1)
+            assert got[c, p] == want or (np.isnan(want) and np.isnan(got[c, p]))
+
+
 @pytest.mark.parametrize("levels,rounds", [(1, 1), (1, 3), (2, 2)])
 def test_cuts_and_rounds_do_not_change_the_result(spark, levels, rounds):
     pdf = frame(4, 500)
