@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from ..ml.explain import permutation_importance
-from ..ml.metrics import regression_metrics
-from ..ml.models import train_and_evaluate, usable
+from ..ml.metrics import METRICS, regression_metrics
+from ..ml.models import evaluate, train_and_evaluate, usable
 from ..ml.neural import fit_neural
 from ..ml.registry import load_champion, read_registry, register_model
 from ..ml.scaling import model_columns, standard_scale
 from ..ml.split import split
 from ..ml.tuning import grid_search
-from ..plans.inference import score_with
+from ..operators.joins import horizon_labels
+from ..plans.inference import forecast, score_with
 from ..session import materialize, work_dir
-from .base import query
+from .base import FEATURES, plain, query
 from .features import features_of
+from .mldata import RULES
+from .store import HORIZONS
 
 #: Smaller grids for the registered searches; the full ones are the library's defaults.
 FOREST_SEARCH = {"numTrees": [10, 20], "maxDepth": [5, 10], "minInstancesPerNode": [1]}
@@ -98,3 +103,83 @@ def q_importance(spark, sf_dir):
     train, test = split(_stored(spark, sf_dir))
     model, _ = train_and_evaluate(train, test, "ridge")
     return permutation_importance(model, test, model_columns())
+
+
+# --- rules in place of fitted models: what surrounds a model, with exact twins ---
+
+
+def _rule(expression: str) -> PipelineModel:
+    """A saved unit like any model, whose prediction is a given expression."""
+    return PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, CAST({expression} AS DOUBLE) AS prediction FROM __THIS__")])
+
+
+def _registered_rules(spark, sf_dir):
+    features, root = _stored(spark, sf_dir), work_dir(spark, "rules")
+    for algo, expression in RULES.items():
+        model = _rule(expression)
+        row = evaluate(model, features).first()
+        register_model(spark, root, "aqi", algo, model, {m: row[m] for m in METRICS}, expression)
+    return features, root
+
+
+RULE_SCORES = f"WITH {FEATURES}, scored AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS algo, {v} AS version, city, timestamp, target_aqi AS y, {e} AS p FROM features"
+    for v, (n, e) in enumerate(RULES.items(), 1)
+) + """), scores AS (
+      SELECT algo, version, 1e0 - avg((y - p) * (y - p)) / var_pop(y) AS r2, avg(abs(y - p)) AS mae FROM scored GROUP BY algo, version)"""
+
+
+@query(
+    "rule_registry",
+    RULE_SCORES + """ SELECT 'aqi' AS name, CAST(version AS BIGINT) AS version, algo, round(r2, 6) AS r2, round(mae, 6) AS mae FROM scores""",
+)
+def q_rule_registry(spark, sf_dir):
+    """Four rules saved, registered and listed."""
+    _, root = _registered_rules(spark, sf_dir)
+    listed = read_registry(spark, root)
+    return plain(listed.select("name", "version", "algo", F.col("metrics")["r2"].alias("r2"), F.col("metrics")["mae"].alias("mae")), 6)
+
+
+@query(
+    "rule_score",
+    RULE_SCORES + """ SELECT city, timestamp, round(p, 6) AS prediction FROM scored
+    WHERE algo = (SELECT algo FROM scores ORDER BY r2 DESC, version LIMIT 1)""",
+)
+def q_rule_score(spark, sf_dir):
+    """The best registered rule, loaded and applied to every row."""
+    features, root = _registered_rules(spark, sf_dir)
+    return plain(score_with(load_champion(spark, root, "aqi"), features), 6)
+
+
+@query(
+    "horizon_persistence",
+    f"WITH {FEATURES} " + " UNION ALL ".join(
+        f"""SELECT {h} AS horizon_h, count(*) AS n, round(avg(abs(l.target_aqi - f.target_aqi)), 6) AS mae,
+        round(sqrt(avg((l.target_aqi - f.target_aqi) * (l.target_aqi - f.target_aqi))), 6) AS rmse,
+        round(1e0 - avg((l.target_aqi - f.target_aqi) * (l.target_aqi - f.target_aqi)) / var_pop(l.target_aqi), 6) AS r2
+        FROM features f JOIN features l ON l.city = f.city AND l.event_ts = f.event_ts + INTERVAL {h} HOUR
+        WHERE f.target_aqi IS NOT NULL AND l.target_aqi IS NOT NULL"""
+        for h in HORIZONS
+    ),
+)
+def q_horizon_persistence(spark, sf_dir):
+    """The forecast job at each horizon with the rule that nothing changes, measured against the labels of that hour."""
+    features = _stored(spark, sf_dir)
+    ahead = forecast(features, {h: _rule("target_aqi") for h in HORIZONS})
+    labels = horizon_labels(features.withColumn("event_ts", F.timestamp_millis("timestamp")), HORIZONS)
+    later = labels.select("city", "timestamp", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon_h"), F.col(f"label_{h}h").alias("label")) for h in HORIZONS])).alias("l"))
+    scored = ahead.join(later.select("city", "timestamp", "l.*"), ["city", "timestamp", "horizon_h"])
+    return plain(regression_metrics(scored, by=["horizon_h"]), 6)
+
+
+@query("horizon_forecast")
+def q_horizon_forecast(spark, sf_dir):
+    """A ridge per horizon, fitted on that horizon's label, applied to every row."""
+    features = _stored(spark, sf_dir)
+    labels = horizon_labels(features.withColumn("event_ts", F.timestamp_millis("timestamp")), HORIZONS)
+    both = features.drop("target_aqi").join(labels.select("city", "timestamp", *[f"label_{h}h" for h in HORIZONS]), ["city", "timestamp"])
+    models = {}
+    for h in HORIZONS:
+        train, test = split(materialize(both.withColumnRenamed(f"label_{h}h", "target_aqi"), f"horizon-{h}"))
+        models[h] = train_and_evaluate(train, test, "ridge")[0]
+    return forecast(features, models)
