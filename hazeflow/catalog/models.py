@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..ml.explain import permutation_importance
 from ..ml.metrics import METRICS, regression_metrics
 from ..ml.models import evaluate, train_and_evaluate, usable
-from ..ml.neural import fit_neural
-from ..ml.registry import load_champion, read_registry, register_model
-from ..ml.scaling import model_columns, standard_scale
+from ..ml.neural import NeuralUnit, fit_neural
+from ..ml.registry import NEURAL, load_champion, read_registry, register_model
+from ..ml.scaling import fit_scaler, model_columns, standard_scale
 from ..ml.split import split
 from ..ml.tuning import grid_search
 from ..operators.joins import horizon_labels
@@ -54,9 +54,10 @@ def q_neural(spark, sf_dir):
     cols = model_columns()
     train, test = split(usable(_stored(spark, sf_dir), cols))
     model = fit_neural(standard_scale(train, train, cols), cols)
-    scaled = standard_scale(test, train, cols)
-    scored = scaled.withColumn("prediction", model.predict(F.array(*cols)))
-    return regression_metrics(scored, "target_aqi").select(F.lit("neural").alias("algo"), "mae", "rmse", "r2")
+    unit, root = NeuralUnit(fit_scaler(train, cols)[0], model, cols), work_dir(spark, "registry")
+    register_model(spark, root, "aqi", NEURAL, unit, {"r2": 0.0}, "registered before it is measured")
+    scored = load_champion(spark, root, "aqi").transform(test)
+    return regression_metrics(scored, "target_aqi").select(F.lit(NEURAL).alias("algo"), "mae", "rmse", "r2")
 
 
 def _tune(kind, grid):

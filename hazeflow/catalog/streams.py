@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from .. import schema as S
-from ..session import pin_utc, work_dir
+from ..session import materialize, pin_utc, work_dir
 from ..sources.tables import feature_scan
 from ..streaming import (
     change_rates, dedup_stream, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
@@ -17,17 +17,34 @@ from .features import features_of
 from .live import LANDED_VECTORS
 
 
+#: Micro-batches that a table is fed in.
+SLICES = 4
+
+
 def _event_stream(spark, sf_dir):
-    schema = X.load(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events in the order of their time, a stretch of time per micro-batch: watermarks need that."""
+    return _in_time_order(X.load(spark, sf_dir, "events"), "ts", "events")
 
 
-def _stream_of(df, purpose):
-    """Land a derived table in the shared folder and read it as a stream."""
+def _in_time_order(df, ts, purpose, bounds=None):
+    """Land a table as one file per stretch of time, one after the other, and read it as a stream of micro-batches."""
     spark = pin_utc(df.sparkSession)
     path = work_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    bounds = bounds or _bounds(df, ts)
+    for lower, upper in zip([None, *bounds], [*bounds, None]):
+        part = df
+        if lower is not None:
+            part = part.where(F.col(ts) >= F.lit(lower))
+        if upper is not None:
+            part = part.where(F.col(ts) < F.lit(upper))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _bounds(df, ts):
+    """Inner bounds of SLICES equal stretches of time."""
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    return [lo + (hi - lo) * i // SLICES if isinstance(lo, int) else lo + (hi - lo) * i / SLICES for i in range(1, SLICES)]
 
 
 @query(
@@ -62,8 +79,9 @@ def q_dedup(spark, sf_dir):
 
 @query("stream_join", f"WITH {JOINED} SELECT * FROM joined")
 def q_stream_join(spark, sf_dir):
-    air = _stream_of(X.air(spark, sf_dir), "air")
-    weather = _stream_of(X.weather(spark, sf_dir), "weather")
+    both = [materialize(side(spark, sf_dir), "hourly") for side in (X.air, X.weather)]
+    bounds = _bounds(both[0], "event_ts")
+    air, weather = (_in_time_order(side, "event_ts", "stream-side", bounds) for side in both)
     path = work_dir(spark, "stream-join")
     run_to_table(join_streams(air, weather, "2 hours"), path)
     return plain(spark.read.parquet(f"{path}/data"))
@@ -71,7 +89,7 @@ def q_stream_join(spark, sf_dir):
 
 @query("stream_change_rate", f"WITH {FEATURES} SELECT city, timestamp, target_aqi, aqi_change_rate FROM features")
 def q_stream_rate(spark, sf_dir):
-    stream = _stream_of(features_of(spark, sf_dir), "features")
+    stream = _in_time_order(materialize(features_of(spark, sf_dir), "features"), "timestamp", "feature-stream")
     path = work_dir(spark, "stream-rate")
     run_to_table(change_rates(stream), path)
     return spark.read.parquet(f"{path}/data")
@@ -80,7 +98,7 @@ def q_stream_rate(spark, sf_dir):
 @query("stream_upsert", f"WITH {FEATURES} SELECT {FEATURE_SELECT} FROM features")
 def q_stream_upsert(spark, sf_dir):
     root = work_dir(spark, "stream-upsert")
-    run_upsert(_stream_of(features_of(spark, sf_dir), "features"), f"{root}/table", f"{root}/checkpoint")
+    run_upsert(_in_time_order(materialize(features_of(spark, sf_dir), "features"), "timestamp", "feature-stream"), f"{root}/table", f"{root}/checkpoint")
     return plain(feature_scan(spark, f"{root}/table"), 6, ["humidex"])
 
 

@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import KEY_COLS, LABEL_COL
@@ -106,6 +107,41 @@ class NeuralModel:
         return run(inputs)
 
 
+@dataclass
+class NeuralUnit:
+    """A fitted network with its scaler: saved, registered and applied as one, like a pipeline."""
+
+    scaler: SQLTransformer
+    model: NeuralModel
+    inputs: list[str]
+
+    #: Nothing that would have to be told to keep rows: a missing input gives a NULL prediction here.
+    stages = ()
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        known = F.lit(True)
+        for c in self.inputs:
+            known = known & F.col(c).isNotNull()
+        scaled = [F.coalesce(F.col(f"z_{c}"), F.lit(0.0)) for c in self.inputs]
+        out = self.scaler.transform(df).withColumn("prediction", self.model.predict(F.array(*scaled)))
+        return out.withColumn("prediction", F.when(known, F.col("prediction"))).drop(*[f"z_{c}" for c in self.inputs])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Parameters and names as a one-row table beside the scaler; nothing is overwritten."""
+        row = [(self.inputs, self.model.parameters.tolist(), [float(x) for x in self.model.history])]
+        spark.createDataFrame(row, NEURAL_SCHEMA).coalesce(1).write.parquet(f"{path}/network")
+        self.scaler.write().save(f"{path}/scaler")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NeuralUnit:
+        row = spark.read.schema(NEURAL_SCHEMA).parquet(f"{path}/network").first()
+        model = NeuralModel(np.array(row.parameters), len(row.inputs), list(row.history))
+        return cls(SQLTransformer.load(f"{path}/scaler"), model, list(row.inputs))
+
+
+NEURAL_SCHEMA = "inputs array<string>, parameters array<double>, history array<double>"
+
+
 def _round(state: np.ndarray, step: int, seed: int, n_inputs: int):
     """One pass over a partition: measure, then train; emits one summed vector."""
     size = (len(state)) // 3

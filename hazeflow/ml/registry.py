@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .metrics import champion_select
+from .neural import NeuralUnit
+
+NEURAL = "neural"
 
 REGISTRY_SCHEMA = T.StructType(
     [
@@ -39,7 +42,7 @@ def read_registry(spark: SparkSession, root: str) -> DataFrame:
 
 
 def register_model(
-    spark: SparkSession, root: str, name: str, algo: str, model: PipelineModel, metrics: dict, description: str
+    spark: SparkSession, root: str, name: str, algo: str, model: PipelineModel | NeuralUnit, metrics: dict, description: str
 ) -> int:
     """Save the model in a folder of its own, then append its entry; returns the version.
 
@@ -50,7 +53,10 @@ def register_model(
     newest = read_registry(spark, root).where(F.col("name") == name).agg(F.max("version")).first()[0]
     version = (newest or 0) + 1
     path = f"{root}/models/{name}/{uuid.uuid4().hex}"
-    model.write().save(path)
+    if algo == NEURAL:
+        model.save(spark, path)
+    else:
+        model.write().save(path)
     entry = spark.createDataFrame(
         [(name, version, algo, {k: float(v) for k, v in metrics.items()}, description, path, None)], REGISTRY_SCHEMA
     ).withColumn("created_at", F.current_timestamp())
@@ -58,8 +64,8 @@ def register_model(
     return read_registry(spark, root).where(F.col("path") == path).first()["version"]
 
 
-def load_champion(spark: SparkSession, root: str, name: str, metric: str = "r2") -> PipelineModel:
+def load_champion(spark: SparkSession, root: str, name: str, metric: str = "r2") -> PipelineModel | NeuralUnit:
     best = champion_select(read_registry(spark, root).where(F.col("name") == name), metric).first()
     if best is None:
         raise LookupError(f"no registered model named {name}")
-    return PipelineModel.load(best["path"])
+    return NeuralUnit.load(spark, best["path"]) if best["algo"] == NEURAL else PipelineModel.load(best["path"])

@@ -112,8 +112,13 @@ def change_rates(stream: DataFrame) -> DataFrame:
     )
 
 
-def run_to_table(stream: DataFrame, path: str) -> None:
-    """Append a stream's results to Parquet files until all landed input is done."""
+def _dropped(query) -> int:
+    """Rows that came behind the watermark, as the query's progress counts them (its last 100 micro-batches)."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def run_to_table(stream: DataFrame, path: str) -> int:
+    """Append a stream's results to Parquet files until all landed input is done; returns the rows dropped as late."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/data")
@@ -122,15 +127,16 @@ def run_to_table(stream: DataFrame, path: str) -> None:
         .start()
     )
     query.awaitTermination()
+    return _dropped(query)
 
 
-def run_updates(stream: DataFrame, path: str) -> None:
-    """Append each micro-batch's changed rows under its batch id; ``read_updates`` settles them."""
+def run_updates(stream: DataFrame, path: str) -> int:
+    """Append each micro-batch's changed rows under its batch id; ``read_updates`` settles them. Returns the rows dropped as late."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("load_seq", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(f"{path}/data")
 
-    _run_batches(stream.writeStream.outputMode("update"), append, f"{path}/checkpoint")
+    return _run_batches(stream.writeStream.outputMode("update"), append, f"{path}/checkpoint")
 
 
 def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -165,8 +171,9 @@ def run_features(landed: DataFrame, table: str, dead_letters: str, checkpoint: s
     _run_batches(landed.writeStream, store, checkpoint)
 
 
-def _run_batches(writer, handle, checkpoint: str) -> None:
+def _run_batches(writer, handle, checkpoint: str) -> int:
     query = (
         writer.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return _dropped(query)

@@ -7,7 +7,7 @@ from hazeflow.ml.explain import linear_shap, permutation_importance, scaled_coef
 from hazeflow.ml.gram import ridge_from_gram
 from hazeflow.ml.metrics import champion_select, regression_metrics
 from hazeflow.ml.models import fit, ridge, score, train_and_evaluate
-from hazeflow.ml.neural import fit_neural, gradient, forward, initial_parameters, layer_shapes
+from hazeflow.ml.neural import NeuralUnit, fit_neural, gradient, forward, initial_parameters, layer_shapes
 from hazeflow.ml.registry import load_champion, read_registry, register_model
 from hazeflow.ml.scaling import count_incomplete, design_columns, design_matrix, fit_scaler, model_columns, scaler_stats, standard_scale
 from hazeflow.ml.split import hash_bucket, split, split_by_time, with_fold
@@ -216,13 +216,21 @@ def test_neural_gradient_matches_differences():
 
 
 @pytest.mark.parametrize("replicas", [1, 2])
-def test_neural_finds_the_signal(parts, replicas):
+def test_neural_finds_the_signal(spark, parts, replicas, tmp_path):
     """One replica, and several whose parameters are averaged."""
     train, test = parts
     model = fit_neural(standard_scale(train, train, MODEL_COLS), MODEL_COLS, replicas, max_epochs=40)
     scored = standard_scale(test, train, MODEL_COLS).withColumn("prediction", model.predict(F.array(*MODEL_COLS)))
     assert regression_metrics(scored, "target_aqi").first().r2 > 0.5
     assert min(model.history) < model.history[0] / 2
+    # Saved and registered with its scaler, it gives the same predictions on raw rows, and NULL where an input is missing.
+    unit, root = NeuralUnit(fit_scaler(train, MODEL_COLS)[0], model, MODEL_COLS), str(tmp_path)
+    register_model(spark, root, "aqi", "neural", unit, {"r2": 0.9}, "test")
+    again = score_with(load_champion(spark, root, "aqi"), test.withColumn("pm10", F.when(F.col("timestamp") % 7200000 == 0, F.col("pm10"))))
+    a = {(r.city, r.timestamp): r.prediction for r in scored.collect()}
+    b = {(r.city, r.timestamp): r.prediction for r in again.collect()}
+    assert a.keys() == b.keys() and {k for k, p in b.items() if p is None} == {k for k in a if k[1] % 7200000}
+    assert all(p is None or p == pytest.approx(a[k]) for k, p in b.items())
 
 
 def test_bucket_is_the_documented_hash(spark):
