@@ -11,7 +11,7 @@ commits the manifest; files of lost or repeated attempts are named in no manifes
 never read. File positions become corpus positions by a running sum over the manifest, one row per file.
 
 Encoding. Tokens of these vocabularies never span white space, so a text is split there
-and each distinct piece is encoded once per task; a bounded cache keeps the ids.
+and each distinct piece is encoded once per Python worker; a bounded cache keeps the ids.
 
 Defined results. Null or empty text: only the end id. Null ids come first. Rows with equal ids are
 kept, in order of a hash of their text. Empty table: no files, no rows.
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,7 +46,7 @@ TAIL = struct.Struct("<IIQQQQ8s")
 BLOCK_IDS = 1 << 16
 #: A file is closed after the document that brings it to so many ids.
 FILE_IDS = 1 << 24
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 
 # Control characters that Python's split takes for white space and the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -236,9 +237,19 @@ class Encoder:
         return bits_for(max(self.tokenizer.get_vocab_size(), self.end_id + 1))
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One per Python worker, so that tasks that follow one another share its cache."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def _slices(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
     cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
     for a, b in zip([0, *cut], [*cut, batch.num_rows]):
         yield batch.slice(int(a), int(b - a))
@@ -255,7 +266,7 @@ def write_packed(docs: DataFrame, vocabulary: str, end_id: int, folder: str) ->
     dealt = rows.repartitionByRange(parts(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, attempt = Encoder(vocabulary, end_id), TaskContext.get().partitionId(), uuid.uuid4().hex
+        encoder, part, attempt = encoder_of(vocabulary, end_id), TaskContext.get().partitionId(), uuid.uuid4().hex
         system, root = pafs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         done, writer = [], None
