@@ -25,7 +25,7 @@ def targets(sizes, cap=3.0):
         fixed |= {s: cap * sizes[s] for s in above}
 
 
-def plain(rows):
+def plain(rows, quality={}):
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
     sources = {}
     for r, n in zip(rows, size):
@@ -40,7 +40,7 @@ def plain(rows):
             if r[3] == s:
                 name = "null" if r[0] is None else str(r[0])
                 u = (int(hashlib.md5(f"42:{name}".encode()).hexdigest()[:13], 16) + 1) / 2**52
-                own.append((-math.log(u), -1 if r[0] is None else r[0], n))
+                own.append((-math.log(u) / quality.get(r[0], 1.0), -1 if r[0] is None else r[0], n))
         for key, d, n in sorted(own):
             upto += n
             out.append((d, n, sources[s], round(want[s], 6), n * (epochs + (2 * upto - n <= 2 * rest and rest > 0))))
