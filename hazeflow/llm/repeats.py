@@ -43,7 +43,7 @@ LENGTH = 100
 GRAM = 16
 HOT_SHARE = 20_000
 #: Bytes of text handled at once; positions must fit into 26 bits.
-SLICE = 1 << 23
+SLICE = 1 << 21
 #: Bytes of context sorted at once (a larger group of one anchor is sorted whole).
 CHUNK = 1 << 21
 LAST = np.iinfo(np.int64).max
@@ -111,6 +111,14 @@ def runs_of(texts: list[bytes]) -> Runs:
     return Runs(data, begin, doc[new], start[new], start[end], least[new], grams[least[new]])
 
 
+def _grams_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The anchors' hashes, as ``PrefixHash`` has them."""
+    out = np.zeros(len(at), np.uint64)
+    for j, power in enumerate(_powers(_STEP[0], GRAM)):
+        out += _TABLES[0][data[at + j]] * power
+    return out
+
+
 # --- where contexts meet ---
 
 
@@ -232,12 +240,15 @@ def repeated_windows(c: Contexts) -> np.ndarray:
 _KINDS = "kind int, bucket int, blob binary"
 
 
+_TYPES = ["u1", "u4", "i8", "u8"]
+
+
 def _pack(**columns: np.ndarray) -> bytes:
     """Arrays of one blob, compressed."""
     head = [np.array([len(columns)], "<i8")]
     for values in columns.values():
-        head.append(np.array([len(values), {"u1": 1, "u2": 2, "i4": 3, "i8": 4, "u8": 5}[values.dtype.str[1:]]], "<i8"))
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in (*head, *columns.values())))
+        head.append(np.array([len(values), _TYPES.index(values.dtype.str[1:])], "<i8"))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(x.tobytes() for x in (*head, *columns.values())))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -246,7 +257,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     shape = np.frombuffer(raw, "<i8", 2 * k, 8).reshape(k, 2)
     out, at = [], 8 + 16 * k
     for n, kind in shape.tolist():
-        dtype = np.dtype(["<u1", "<u2", "<i4", "<i8", "<u8"][kind - 1])
+        dtype = np.dtype(f"<{_TYPES[kind]}")
         out.append(np.frombuffer(raw, dtype, n, at))
         at += n * dtype.itemsize
     return out
@@ -282,11 +293,10 @@ def _rank(*columns: np.ndarray) -> np.ndarray:
 
 
 def _spans(ids, marks, starts, stops) -> pa.RecordBatch:
+    """Start and stop of a span share a long, since many spans are shuffled."""
     known = ids != LAST
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64(), mask=~known), pa.array(marks, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
-        names=["doc_id", "t", "start", "stop"],
-    )
+    span = (starts << 32) | stops
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=~known), pa.array(marks, pa.int64()), pa.array(span, pa.int64())], names=["doc_id", "t", "span"])
 
 
 def _row(kind: int, bucket: int, blob: bytes) -> pa.RecordBatch:
@@ -326,15 +336,18 @@ def _cut(hot: np.ndarray, n_buckets: int):
             least = np.repeat(p[head], np.diff(np.r_[head, len(s)]))
             later, kept = cold[order[p > least]], np.sort(cold[order[head]])
             if len(later):
-                yield _row(SETTLED, 0, _pack(i=ids[r.doc[later]], m=marks[r.doc[later]], a=place[later], b=place[later] + r.last[later] - r.first[later] + LENGTH))
+                yield _row(SETTLED, int(marks[0] % n_buckets), _pack(i=ids[r.doc[later]], m=marks[r.doc[later]], a=place[later], b=place[later] + r.last[later] - r.first[later] + LENGTH))
             for bucket, at in _dealt((_mixed(r.hash[kept] + np.uint64(5)) % np.uint64(n_buckets)).astype(np.int64)):
                 at = kept[at]
                 size = r.last[at] - r.first[at] + LENGTH
                 where = np.repeat(r.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                docs, of = np.unique(r.doc[at], return_inverse=True)
+                docs, begin, count = np.unique(r.doc[at], return_index=True, return_counts=True)
+                # Places as steps from the one before in the document; the anchor's hash can be had from the bytes.
+                step = np.diff(place[at], prepend=0)
+                step[begin] = place[at[begin]]
                 yield _row(CONTEXTS, bucket, _pack(
-                    i=ids[docs], m=marks[docs], of=of.astype("<i4"), place=place[at], size=size.astype("<u2"),
-                    left=(r.anchor - r.first)[at].astype("<u2"), h=r.hash[at], data=r.data[where],
+                    i=ids[docs], m=marks[docs], count=count.astype("<u4"), step=step.astype("<u4"), more=(size - LENGTH).astype("<u1"),
+                    left=(r.anchor - r.first)[at].astype("<u1"), data=r.data[where],
                 ))
             warm = np.flatnonzero(is_hot)
             if len(warm):
@@ -354,7 +367,7 @@ def _window_rows(ids, marks, place, a, b, n_buckets) -> Iterator[pa.RecordBatch]
     head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     later = np.sort(order[p > np.repeat(p[head], np.diff(np.r_[head, len(s)]))])
     if len(later):
-        yield _row(SETTLED, 0, _merged(ids[later], marks[later], place[later]))
+        yield _row(SETTLED, int(marks[0] % n_buckets), _merged(ids[later], marks[later], place[later]))
     first = np.sort(order[head])
     for bucket, at in _dealt((_mixed(a[first] + np.uint64(3)) % np.uint64(n_buckets)).astype(np.int64)):
         at = first[at]
@@ -382,11 +395,17 @@ def _merged(ids, marks, place) -> bytes:
 
 def _settle_contexts(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     cols = [_unpack(b) for b in blobs]
-    ids = np.concatenate([c[0][c[2]] for c in cols])
-    marks = np.concatenate([c[1][c[2]] for c in cols])
-    place, size, left, h = (np.concatenate([c[k] for c in cols]).astype(t) for k, t in ((3, np.int64), (4, np.int64), (5, np.int64), (6, np.uint64)))
-    data = np.concatenate([c[7] for c in cols])
+    ids = np.concatenate([np.repeat(c[0], c[2]) for c in cols])
+    marks = np.concatenate([np.repeat(c[1], c[2]) for c in cols])
+    step, more, left = (np.concatenate([c[k] for c in cols]).astype(np.int64) for k in (3, 4, 5))
+    count = np.concatenate([c[2] for c in cols]).astype(np.int64)
+    first = np.cumsum(count) - count
+    along = np.cumsum(step)
+    place = along - np.repeat(along[first] - step[first], count)
+    data = np.concatenate([c[6] for c in cols])
+    size = more + LENGTH
     begin = np.cumsum(size) - size
+    h = _grams_at(data, begin + left)
     order = np.argsort(h, kind="stable")
     head = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]][: len(h)])
     group = np.diff(np.r_[head, len(h)])
@@ -415,7 +434,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         if key is None:
             return
-        if key[0] == CONTEXTS:
+        if key[0] == SETTLED:
+            for blob in held:
+                yield _spans(*_unpack(blob))
+        elif key[0] == CONTEXTS:
             for found in _settle_contexts(held):
                 yield _spans(*found)
         else:
@@ -437,12 +459,6 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            yield _spans(*_unpack(blob))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("t", F.xxhash64("text"))
 
@@ -468,29 +484,37 @@ def hot_anchors(keyed: DataFrame) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, start, stop): stretches of repeated bytes, some overlapping; t is the text's hash."""
+    """(doc_id, t, span): stretches of repeated bytes, some overlapping; t is the text's hash, span is start * 2^32 + stop."""
     spark, keyed = docs.sparkSession, _keyed(docs)
     hot = hot_anchors(keyed)
-    n_buckets = 4 * parts(spark)
-    rows = materialize(keyed.select("doc_id", "t", "text").mapInArrow(_cut(hot, n_buckets), _KINDS), "repeat-contexts")
-    meet = rows.where(F.col("kind") != SETTLED).repartition(n_buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    schema = "doc_id long, t long, start long, stop long"
-    return rows.where(F.col("kind") == SETTLED).mapInArrow(_settled, schema).unionByName(meet.mapInArrow(_settle, schema))
+    n_buckets = parts(spark)
+    rows = keyed.select("doc_id", "t", "text").mapInArrow(_cut(hot, n_buckets), _KINDS)
+    meet = rows.repartition(n_buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    return meet.mapInArrow(_settle, "doc_id long, t long, span long")
 
 
 def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("d"), F.col("t").alias("s")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    keyed = _keyed(docs)
+    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("d"), F.col("t").alias("s")).agg(F.collect_set("span").alias("spans"))
+
+    def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            raw = [pack.compress(x.as_py().encode("utf-8", "surrogatepass")) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(raw, pa.binary())], names=["doc_id", "t", "raw"])
+
+    # Texts meet their spans compressed.
+    keyed = _keyed(docs).select("doc_id", "t", "text").mapInArrow(shrunk, "doc_id long, t long, raw binary")
     wide = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["d"]) & (keyed["t"] == spans["s"]), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for x, spans in zip(b.column("text"), b.column("spans")):
-                raw, kept, at, n, removed = x.as_py().encode("utf-8", "surrogatepass"), [], 0, 0, 0
+            for x, spans in zip(b.column("raw"), b.column("spans")):
+                raw, kept, at, n, removed = unpack.decompress(x.as_py()), [], 0, 0, 0
                 edge = -1
-                for s in sorted((s["start"], s["stop"]) for s in spans.as_py() or ()):
+                for s in sorted((s >> 32, s & 0xFFFFFFFF) for s in spans.as_py() or ()):
                     if s[0] > edge:
                         n += 1
                         kept.append(raw[at : s[0]])
@@ -505,5 +529,5 @@ def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = wide.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = wide.select("doc_id", "raw", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
