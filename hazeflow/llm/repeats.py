@@ -406,6 +406,7 @@ def _settle_contexts(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     size = more + LENGTH
     begin = np.cumsum(size) - size
     h = _grams_at(data, begin + left)
+    del cols, step, more, along  # the unpacked blobs are not needed any more
     order = np.argsort(h, kind="stable")
     head = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]][: len(h)])
     group = np.diff(np.r_[head, len(h)])
