@@ -164,7 +164,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     rows = materialize(rows.where(F.size("v") == usual["d"]).withColumn("h", F.xxhash64("v")), "ann-rows")
     few = F.dense_rank().over(W.partitionBy("h", "v").orderBy("vec_id"))
     members = rows.select("h", "v", "vec_id").withColumn("r", few).where(F.col("r") <= k + 1).select("vec_id", "v").distinct()
-    sample = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]
+    members = materialize(members, "ann-members")
+    # Of the members, as the index has them: a repeated row would make the bound of the k-th nearest too tight.
+    sample = [r.v for r in members.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").collect()]
     lists = Lists(np.array(sample, np.float64), min(MOST_LISTS, math.ceil(math.sqrt(usual["n"]))))
     index = spark.sparkContext.broadcast(lists)
 

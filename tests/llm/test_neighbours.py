@@ -57,3 +57,18 @@ def test_copies_ties_and_odd_rows(spark):
     assert plain(rows)[50] == [(-1.0, j) for j in (40, 41, 42, 43, 44)]
     assert got(spark, rows[:3] + [(0, b)]) == plain(rows[:3] + [(0, b)])
     assert got(spark, []) == {} and got(spark, odd) == {} and got(spark, [(1, a)]) == {} and got(spark, [(50, a)]) == {}
+
+
+@pytest.mark.parametrize("which", ["all twice", "one for a third"])
+def test_repeated_rows_do_not_tighten_the_bound(spark, which):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8)]) for i in range(600)]
+    if which == "all twice":
+        repeated = rows + rows
+    else:
+        repeated = rows + [rows[50]] * 300  # a query of its own, and near others
+    want, found = plain(rows), got(spark, repeated)
+    assert want.keys() == found.keys() and all(len(x) == 5 for x in found.values())
+    hits = sum(len({j for _, j in want[q]} & {j for _, j in found[q]}) for q in want)
+    assert hits / (5 * len(want)) >= 0.9
+    assert found == got(spark, rows)
