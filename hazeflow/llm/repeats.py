@@ -6,7 +6,7 @@ Anchors bring equal strings together. Of the 16-byte grams of a 100-byte window
 window's anchor (minimizer). Equal windows have equal anchors at equal places, and neighbouring windows mostly
 share theirs. A task cuts its documents into the runs of windows that share an anchor; the bytes such a run spans are
 its context, and contexts are sent to the task of their anchor's hash. A context that a document before it in the same task has too is settled
-there and not sent.
+there and not sent. A long text is worked on in pieces that overlap by 99 bytes, so that no text is too long.
 
 Suffix sort. Where contexts meet, those of one anchor are sorted from the anchor to the right, and from the anchor to the left,
 by merging. Two suffixes are compared by their common extension, found by binary search on prefix
@@ -42,7 +42,7 @@ from .base import parts, text_of
 LENGTH = 100
 GRAM = 16
 HOT_SHARE = 20_000
-#: Bytes of text handled at once; positions must fit into 26 bits.
+#: Bytes of text handled at once. A slice stays below twice that and a window, so positions fit into 26 bits.
 SLICE = 1 << 21
 #: Bytes of context sorted at once (a larger group of one anchor is sorted whole).
 CHUNK = 1 << 21
@@ -263,21 +263,30 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(ids, hashes of text, texts) of about SLICE bytes; a null id is LAST."""
-    ids, marks, texts, size = [], [], [], 0
+def _pieces(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of pieces of a text. They overlap by one byte less than a window, so each window is in one piece."""
+    for at in range(0, max(1, len(raw) - LENGTH + 1), SLICE):
+        yield at, raw[at : at + SLICE + LENGTH - 1]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(ids, hashes of text, offsets in it, pieces of text) of about SLICE bytes; a null id is LAST."""
+    rows, size = [], 0
+
+    def columns():
+        ids, marks, offsets, texts = zip(*rows)
+        return np.array(ids, np.int64), np.array(marks, np.int64), np.array(offsets, np.int64), list(texts)
+
     for b in batches:
         for d, t, x in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("text")):
-            raw = x.as_py().encode("utf-8", "surrogatepass")
-            ids.append(LAST if d is None else d)
-            marks.append(t)
-            texts.append(raw)
-            size += len(raw)
-            if size >= SLICE:
-                yield np.array(ids, np.int64), np.array(marks, np.int64), texts
-                ids, marks, texts, size = [], [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), np.array(marks, np.int64), texts
+            for offset, piece in _pieces(x.as_py().encode("utf-8", "surrogatepass")):
+                rows.append((LAST if d is None else d, t, offset, piece))
+                size += len(piece)
+                if size >= SLICE:
+                    yield columns()
+                    rows, size = [], 0
+    if rows:
+        yield columns()
 
 
 def _rank(*columns: np.ndarray) -> np.ndarray:
@@ -316,12 +325,12 @@ CONTEXTS, WINDOWS, SETTLED = 0, 1, 2
 
 def _cut(hot: np.ndarray, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, marks, texts in _slices(batches):
+        for ids, marks, offsets, texts in _slices(batches):
             r = runs_of(texts)
             if not len(r.doc):
                 continue
             is_hot = np.isin(r.hash, hot)
-            place = r.first - r.begin[r.doc]
+            place = r.first - r.begin[r.doc] + offsets[r.doc]
             prior = _rank(ids[r.doc], marks[r.doc], place)
             # Contexts that stand earlier in this task are settled.
             cold = np.flatnonzero(~is_hot)
@@ -355,7 +364,7 @@ def _cut(hot: np.ndarray, n_buckets: int):
                 start = np.repeat(r.first[warm] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 doc = np.repeat(r.doc[warm], n)
                 a, b = whole.of(start, LENGTH), second.of(start, LENGTH)
-                yield from _window_rows(ids[doc], marks[doc], start - r.begin[doc], a, b, n_buckets)
+                yield from _window_rows(ids[doc], marks[doc], start - r.begin[doc] + offsets[doc], a, b, n_buckets)
 
     return run
 
@@ -471,7 +480,7 @@ def hot_anchors(keyed: DataFrame) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in _slices(batches):
+        for *_, texts in _slices(batches):
             h, n = np.unique(runs_of(texts).hash, return_counts=True)
             report = n * 2 * HOT_SHARE >= n.sum()
             rows = [np.r_[h[report].view(np.int64), 0], np.r_[n[report], 0], np.r_[np.zeros(report.sum(), np.int64), n.sum()]]

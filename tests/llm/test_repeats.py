@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -99,3 +100,36 @@ def test_anchors_are_those_of_the_window_alone():
         for s in (f, z):
             alone = repeats.runs_of([text[s : s + 100]])
             assert alone.anchor[0] == a - s
+
+
+def removed_here(rows, hot):
+    """Places of repeated bytes of (doc_id, text) rows with distinct ids, by the tasks' functions in this process."""
+    ids, texts = zip(*rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([0] * len(ids), pa.int64()), pa.array(texts)], names=["doc_id", "t", "text"])
+    sent = sorted(repeats._cut(hot, 3)(iter([batch])), key=lambda b: (b.column("kind")[0].as_py(), b.column("bucket")[0].as_py()))
+    gone = {d: np.zeros(len(t.encode()), bool) for d, t in rows}
+    for found in repeats._settle(iter(sent)):
+        for d, span in zip(found.column("doc_id").to_pylist(), found.column("span").to_pylist()):
+            gone[d][span >> 32 : span & 0xFFFFFFFF] = True
+    return gone
+
+
+@pytest.mark.parametrize("hot", ["none", "all"])
+def test_a_text_longer_than_the_positions_hold(monkeypatch, hot):
+    rnd = random.Random(5)
+    passage = "".join(rnd.choice("abcdé") for _ in range(300))
+    noise = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    rows = [(1, noise(700) + passage + noise(9000) + passage + noise(6000) + passage[50:] + noise(1977)), (2, noise(2000) + passage[:180]), (3, noise(1099)), (4, "")]
+    monkeypatch.setattr(repeats, "SLICE", 1000)
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64((1 << 12) - 1))
+    known = np.unique(np.concatenate([repeats.runs_of([t.encode()[a : a + 1200]]).hash for _, t in rows for a in range(0, 20_000, 1000)]))
+    gone = removed_here(rows, known if hot == "all" else known[:0])
+    seen = set()
+    for d, text in rows:
+        raw, want = text.encode(), np.zeros(len(text.encode()), bool)
+        for a in range(len(raw) - 99):
+            if raw[a : a + 100] in seen:
+                want[a : a + 100] = True
+            seen.add(raw[a : a + 100])
+        assert (gone[d] == want).all()
+    assert gone[1].sum() > 500 and gone[2].sum() >= 180
