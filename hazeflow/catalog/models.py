@@ -13,7 +13,7 @@ from ..ml.neural import NeuralUnit, fit_neural
 from ..ml.registry import NEURAL, load_champion, read_registry, register_model
 from ..ml.scaling import fit_scaler, model_columns, standard_scale
 from ..ml.split import split
-from ..ml.tuning import grid_search
+from ..ml.tuning import BOOSTED_GRID, FOREST_GRID, grid_search
 from ..operators.joins import horizon_labels
 from ..plans.inference import forecast, score_with
 from ..session import materialize, work_dir
@@ -22,10 +22,6 @@ from .features import features_of
 from .mldata import RULES
 from .store import HORIZONS
 
-#: Smaller grids for the registered searches; the full ones are the library's defaults.
-FOREST_SEARCH = {"numTrees": [10, 20], "maxDepth": [5, 10], "minInstancesPerNode": [1]}
-BOOSTED_SEARCH = {"maxIter": [10], "stepSize": [0.05, 0.1], "maxDepth": [3], "subsamplingRate": [0.8, 1.0]}
-
 
 def _stored(spark, sf_dir):
     """The feature table, written once: trainers read it many times."""
@@ -70,8 +66,8 @@ def _tune(kind, grid):
     return run
 
 
-q_tune_forest = query("rf_tune")(_tune("forest", FOREST_SEARCH))
-q_tune_boosted = query("gbt_tune")(_tune("boosted", BOOSTED_SEARCH))
+q_tune_forest = query("rf_tune")(_tune("forest", FOREST_GRID))
+q_tune_boosted = query("gbt_tune")(_tune("boosted", BOOSTED_GRID))
 
 
 def _registered(spark, sf_dir):

@@ -191,6 +191,33 @@ def test_full_grids_and_a_small_search(parts):
     assert metrics["r2"] > 0.5
 
 
+def test_registered_searches_run_the_full_grids(spark, parts, monkeypatch):
+    from hazeflow.catalog import models
+
+    ran = []
+    monkeypatch.setattr(models, "_stored", lambda *_: parts[0].unionByName(parts[1]))
+    monkeypatch.setattr(models, "grid_search", lambda train, test, kind, grid: ran.append((kind, grid)) or (None, {"r2": 0.0}, [({"a": 1}, 0.0)]))
+    for run in (models.q_tune_forest, models.q_tune_boosted):
+        assert run(spark, "").count() == 1
+    assert ran == [("forest", FOREST_GRID), ("boosted", BOOSTED_GRID)]
+
+
+def test_shared_fits_score_as_fits_of_their_own(parts, monkeypatch):
+    from hazeflow.ml import tuning
+
+    fits, own = [], tuning._fit
+    monkeypatch.setattr(tuning, "_fit", lambda *a, **k: fits.append(k) or own(*a, **k))
+    few, many = {"maxDepth": [3], "subsamplingRate": [0.8], "maxIter": [2]}, {"maxDepth": [3], "subsamplingRate": [0.8], "maxIter": [2, 5]}
+    together = grid_search(*parts, "boosted", many)[2]
+    assert len(fits) == 4 and [s["maxIter"] for s, _ in together] == [2, 5]
+    alone = grid_search(*parts, "boosted", few)[2] + grid_search(*parts, "boosted", {**few, "maxIter": [5]})[2]
+    assert [s for s, _ in together] == [s for s, _ in alone]
+    assert [r for _, r in together] == pytest.approx([r for _, r in alone], abs=1e-9)
+    small, large = grid_search(*parts, "forest", {"numTrees": [2, 8], "maxDepth": [6]})[2]
+    assert [small[1]] == pytest.approx([r for _, r in grid_search(*parts, "forest", {"numTrees": [2], "maxDepth": [6]})[2]], abs=1e-9)
+    assert large[0]["numTrees"] == 8 and large[1] > small[1]
+
+
 def test_neural_gradient_matches_differences():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(7, 10)), rng.normal(size=7)
