@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, language, lines, mixing, neighbours, quality, repeats, sharding, simhash, tokens
+from . import bpe, decontamination, filter_audit, language, lines, mixing, neighbours, quality, repeats, sharding, simhash, tokens
 from .base import ORACLES, QUERIES, query, table
 
 
@@ -207,3 +207,16 @@ FROM walked
 def op11_filter_audit(spark, sf_dir):
     """What each step of each order of five filters keeps, removes and loses, per source."""
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark, sf_dir):
+    """All documents encoded with a byte-level vocabulary, and decoded again: digests of both."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
