@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, filter_audit, language, lines, mixing, neighbours, quality, repeats, sharding, simhash, tokens
+from . import bpe, conversations, decontamination, filter_audit, language, lines, mixing, neighbours, quality, repeats, sharding, simhash, tokens
 from .base import ORACLES, QUERIES, query, table
 
 
@@ -220,3 +220,10 @@ def op12_bpe(spark, sf_dir):
     return decoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
+
+
+@query("op13_conversations")
+def op13_conversations(spark, sf_dir):
+    """The conversations with planted faults, and the cheapest repair of each."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
