@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fragments a worker keeps, their bytes, and bytes of text it takes at a time.
-CACHE_FRAGMENTS = 400_000
+CACHE_FRAGMENTS = 250_000
 CACHE_BYTES = 16 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: The library's results are large objects: so many exist at a time.
+ENCODED_AT_ONCE = 4096
 
 # Last bytes of the white space characters beyond ASCII, with the lead bytes they go with.
 _SPACE_ENDS = [*range(0x80, 0x8B), 0x8E, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
@@ -119,10 +121,12 @@ class Encoder:
 
     def _settle(self) -> None:
         waiting, self.numbers.waiting = self.numbers.waiting, []
-        for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in waiting], add_special_tokens=False):
-            self.starts.append(len(self.flat))
-            self.sizes.append(len(e.ids))
-            self.flat.extend(e.ids)
+        for a in range(0, len(waiting), ENCODED_AT_ONCE):
+            few = [w.decode("utf-8", "replace") for w in waiting[a : a + ENCODED_AT_ONCE]]
+            for ids in (e.ids for e in self.tokenizer.encode_batch_fast(few, add_special_tokens=False)):
+                self.starts.append(len(self.flat))
+                self.sizes.append(len(ids))
+                self.flat.extend(ids)
         self.held += sum(map(len, waiting))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
