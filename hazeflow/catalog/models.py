@@ -1,4 +1,4 @@
-"""Model training, tuning, registry and scoring. Results of iterative fits have no SQL twin."""
+"""Model training, tuning, registry and scoring. Results of iterative fits have no SQL twin, but one round of boosting has."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from ..ml.neural import NeuralUnit, fit_neural
 from ..ml.registry import NEURAL, load_champion, read_registry, register_model
 from ..ml.scaling import fit_scaler, model_columns, standard_scale
 from ..ml.split import split
-from ..ml.tuning import BOOSTED_GRID, FOREST_GRID, grid_search
+from ..ml.search import grid_search
+from ..ml.trees import PENALTY, Spec, fit_trees
+from ..ml.tuning import BOOSTED_GRID, FOREST_GRID
 from ..operators.joins import horizon_labels
 from ..plans.inference import forecast, score_with
 from ..session import materialize, work_dir
@@ -70,6 +72,55 @@ q_tune_forest = query("rf_tune")(_tune("forest", FOREST_GRID))
 q_tune_boosted = query("gbt_tune")(_tune("boosted", BOOSTED_GRID))
 
 
+def _tree_eval(algo, spec):
+    def run(spark, sf_dir):
+        train, test = split(_stored(spark, sf_dir))
+        scored = fit_trees(train, model_columns(), spec).transform(test)
+        return regression_metrics(scored, "target_aqi").select(F.lit(algo).alias("algo"), "mae", "rmse", "r2")
+
+    return run
+
+
+# The settings of the two tree models outside the searches.
+q_tree_forest = query("tree_forest_eval")(_tree_eval("forest", Spec(200, forest=True)))
+q_tree_boosted = query("tree_boosted_eval")(_tree_eval("boosted", Spec(100, 5, 0.1)))
+
+# A first boosting round of depth 1 on the calendar inputs: each of their values is a bin of its own.
+STUMP_INPUTS = ["hour", "day", "month", "day_of_week"]
+STUMP_RATE = 0.1
+STUMP_SQL = f"""WITH {FEATURES},
+usable AS (SELECT {", ".join(STUMP_INPUTS)}, target_aqi FROM features WHERE target_aqi IS NOT NULL),
+base AS (SELECT avg(target_aqi) AS base, count(*) AS n, sum(target_aqi) AS total FROM usable),
+bins AS (""" + " UNION ALL ".join(
+    f"SELECT {i} AS place, '{c}' AS input, CAST({c} AS DOUBLE) AS threshold, count(*) AS h, sum(base - target_aqi) AS g FROM usable, base GROUP BY {c}"
+    for i, c in enumerate(STUMP_INPUTS)
+) + f"""),
+lefts AS (
+  SELECT place, input, threshold, sum(h) OVER w AS hl, sum(g) OVER w AS gl, sum(h) OVER (PARTITION BY place) AS h, sum(g) OVER (PARTITION BY place) AS g
+  FROM bins WINDOW w AS (PARTITION BY place ORDER BY threshold)
+),
+gains AS (
+  SELECT *, gl * gl / (hl + {PENALTY}e0) + (g - gl) * (g - gl) / (h - hl + {PENALTY}e0) - g * g / (h + {PENALTY}e0) AS gain FROM lefts WHERE h > hl
+),
+best AS (SELECT * FROM gains ORDER BY gain DESC, place, threshold LIMIT 1)
+SELECT 0 AS node, input, threshold, round(gain, 3) AS gain, CAST(h AS BIGINT) AS n_rows, round(-g / (h + {PENALTY}e0) * {STUMP_RATE}e0, 6) + 0e0 AS value FROM best
+UNION ALL SELECT 1, NULL, NULL, 0e0, CAST(hl AS BIGINT), round(-gl / (hl + {PENALTY}e0) * {STUMP_RATE}e0, 6) + 0e0 FROM best
+UNION ALL SELECT 2, NULL, NULL, 0e0, CAST(h - hl AS BIGINT), round(-(g - gl) / (h - hl + {PENALTY}e0) * {STUMP_RATE}e0, 6) + 0e0 FROM best"""
+
+
+@query("boosted_stump", STUMP_SQL)
+def q_stump(spark, sf_dir):
+    """The node table of one round: split, second-order gain and leaf values with the penalty."""
+    rows = _stored(spark, sf_dir).dropna(subset=[*STUMP_INPUTS, "target_aqi"])
+    model = fit_trees(rows, STUMP_INPUTS, Spec(1, 1, STUMP_RATE))
+    inner = F.col("feature") >= 0
+    nodes = model.node_table(spark).select(
+        "node", F.when(inner, F.get(F.array(*map(F.lit, STUMP_INPUTS)), F.col("feature"))).alias("input"), F.when(inner, F.col("threshold")).alias("threshold"),
+        "gain", F.col("rows").alias("n_rows"), "value",
+    )
+    return plain(plain(nodes, 3, ["gain"]), 6, ["value"])
+
+
 def _registered(spark, sf_dir):
     """Two ridge models of different penalty in a fresh registry."""
     features = _stored(spark, sf_dir)

@@ -21,9 +21,8 @@ from .models import DEEPEST, boosted_trees, evaluate, random_forest, usable
 from .scaling import assembler, fit_scaler, model_columns
 from .split import with_fold
 
-# The search grids. Depth 30 stands for unlimited, and a smallest
-# leaf of 1 or 2 rows for a smallest split of 2 or 5, which MLlib does not have.
-FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [15, 25, DEEPEST], "minInstancesPerNode": [1, 2]}
+# The search grids. No depth means unlimited.
+FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [15, 25, None], "minSamplesSplit": [2, 5]}
 BOOSTED_GRID = {
     "maxIter": [100, 200],
     "stepSize": [0.01, 0.05, 0.1],
@@ -40,6 +39,11 @@ SEED_STEP = 1_000_003
 
 
 def _fit(estimator, ready: DataFrame, **values):
+    """MLlib has no unlimited depth and no smallest split: depth 30 stands for the one, half as large a smallest leaf for the other."""
+    if "minSamplesSplit" in values:
+        values["minInstancesPerNode"] = max(1, values.pop("minSamplesSplit") // 2)
+    if "maxDepth" in values:
+        values["maxDepth"] = DEEPEST if values["maxDepth"] is None else values["maxDepth"]
     return estimator.copy({estimator.getParam(n): v for n, v in values.items()}).fit(ready)
 
 

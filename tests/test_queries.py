@@ -9,7 +9,7 @@ from check_oracles import compare
 from hazeflow.schema import FEATURE_COLS
 
 # Model fits: covered by tests/test_ml.py with small settings.
-SLOW = {"rf_train_eval", "gbt_train_eval", "mlp_train_eval", "rf_tune", "gbt_tune"}
+SLOW = {"rf_train_eval", "gbt_train_eval", "mlp_train_eval", "rf_tune", "gbt_tune", "tree_forest_eval", "tree_boosted_eval"}
 
 
 @pytest.fixture(scope="module")
