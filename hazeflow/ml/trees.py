@@ -312,7 +312,7 @@ class Growth:
         self.scale = 2.0 ** min(30, 56 - int(np.ceil(np.log2(n + 2))) - int(np.ceil(np.log2(4 * most))))
         n_blocks = stored.count()
         self.groups = max(1, min(len(specs), -(-self.parts // max(1, n_blocks))))
-        units = stored.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("group"), F.lit(None).cast("binary").alias("margin"))
+        units = stored.select("n", "key", "bins", "y", "fold", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("group"), F.lit(None).cast("binary").alias("margin"))
         self.units = units.repartition(self.parts).persist()
         self.offset, self.since = 0, {m: [] for m in range(len(specs))}
         self.levels = 0
@@ -375,11 +375,10 @@ class Growth:
     def _level(self, growing: dict[int, int], frontier: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """(frontier, the best split of each of its nodes): one shuffle."""
         self.levels += 1
-        shared = self.spark.sparkContext.broadcast(self._state(growing, frontier))
         of_node = self.model_of[self.nodes.tree[frontier]]
         penalty = np.array([s.penalty for s in self.specs])[of_node]
         least = np.array([0.0 if s.forest else LEAST_GAIN for s in self.specs])[of_node]
-        limits = self.spark.sparkContext.broadcast((penalty, least))
+        shared = self.spark.sparkContext.broadcast((self._state(growing, frontier), penalty, least))
         # Tasks as the sums may need: a node has at most BINS of every input.
         n_parts = max(1, min(self.parts, len(frontier) * self.n_inputs * BINS // TASK_SUMS))
         n_inputs, scale, models_in = self.n_inputs, self.scale, [self._models_in(k) for k in range(self.groups)]
@@ -388,7 +387,7 @@ class Growth:
             for batch in batches:
                 for row in batch.to_pylist():
                     block = Block.of(row, n_inputs, models_in[row["group"]])
-                    key, sums = histograms(block, row["group"], shared.value)
+                    key, sums = histograms(block, row["group"], shared.value[0])
                     to = key // (BINS * n_inputs) % n_parts
                     for p in np.unique(to):
                         own = to == p
@@ -412,14 +411,13 @@ class Growth:
                         waiting, size = [], 0
             key, sums = merge() if waiting else (key, sums)
             if len(key):
-                found = best_splits(key, sums, n_inputs, scale, *limits.value)
+                found = best_splits(key, sums, n_inputs, scale, *shared.value[1:])
                 kinds = {"feature": pa.int32(), "bin": pa.int32(), "gain": pa.float64()}
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in found.items()], names=list(found))
 
-        sums = self.units.select("group", "n", "key", "bins", "y", "fold", "margin").mapInArrow(add_up, SUMS)
+        sums = self.units.mapInArrow(add_up, SUMS)
         table = sums.repartition(n_parts, "p").mapInArrow(choose, SPLIT).toArrow().sort_by("slot")
         shared.destroy()
-        limits.destroy()
         return frontier, {c: table.column(c).to_numpy() for c in table.column_names}
 
     def _split(self, level: tuple[np.ndarray, dict[str, np.ndarray]]) -> np.ndarray:

@@ -207,7 +207,7 @@ def test_odd_rows(spark, rows, tmp_path):
     assert again.nodes.equals(model.nodes) and again.base == model.base
     assert sum(model.importance().values()) == pytest.approx(1.0)
     empty = fit_trees(rows.where("false"), COLS, Spec(2, 2))
-    assert (empty.nodes["value"] == 0).all() and len(empty.nodes) == 1 and empty.transform(rows).where("prediction = 0").count() == rows.count()
+    assert (empty.nodes["value"] == 0).all() and len(empty.nodes) == 2 and empty.transform(rows).where("prediction = 0").count() == rows.count()
     constant = fit_trees(rows.withColumn("target_aqi", F.lit(7.0)), COLS, Spec(3, forest=True))
     assert len(constant.nodes) == 3 and constant.transform(rows).where("abs(prediction - 7) < 1e-9").count() == rows.count()
     assert r2_of(0.0, 2.0, 2.0, 2) == 1.0 and r2_of(1.0, 2.0, 2.0, 2) == 0.0 and np.isnan(r2_of(0.0, 0.0, 0.0, 0))
