@@ -196,13 +196,13 @@ class Encoder:
         return _PIECES.findall(text) if _SEPARATORS.search(text) else text.split()
 
     def _settle(self) -> None:
-        """Encode what waits. A word and the punctuation mark behind it are separate tokens."""
+        """Encode what waits. An ASCII word and the punctuation mark behind it are separate tokens; others may end in a mark once normalised."""
         waiting, whole, joined = self.numbers.waiting, [], {}
         first = len(self.starts)
         k = 0
         while k < len(waiting):
             w = waiting[k]
-            if len(w) > 1 and w[-1] in ".,;:!?" and w[:-1].isalpha():
+            if len(w) > 1 and w[-1] in ".,;:!?" and w.isascii() and w[:-1].isalpha():
                 joined[k] = (self.numbers[w[:-1]], self.numbers[w[-1]])
             else:
                 whole.append(k)

@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from hazeflow.llm import tokens
@@ -60,3 +62,14 @@ def test_packing(width):
 
 def test_vocabulary_bits():
     assert [tokens.bits_for(n) for n in (1, 2, 3, 256, 257, 49408)] == [1, 1, 2, 8, 9, 16]
+
+
+#: Letters that the tokenizer's normal form or lower case turns into a letter and a mark, marks, and punctuation.
+PIECES = ["\u0130", "\u095c", "\u09dc", "\ufb2a", "i\u0307", "\u0301", "e", "\u00e9", "\u017f", "\u1e9e", "\u4e00", "ab", "X", "1", ";", ",", ".", "!?", "'s", "<|endoftext|>", " ", "\u00a0", "\n"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
+def test_same_ids_as_direct_encoding(text):
+    encoder = tokens.encoder_of(PATH, 2)
+    assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
