@@ -53,7 +53,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters. The pattern also takes numerals that are neither digits nor letters (fractions, circled ones); these part words."""
+    words = _WORD.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for x in words for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:

@@ -68,3 +68,10 @@ def test_odd_rows(make_docs):
     empty = make_docs([])
     assert language.fit(empty, F.lit(True)) is None and language.predict(empty, None).count() == 0
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
+
+
+def test_numerals_are_no_letters(make_docs):
+    assert language.words_of("½ ② ³ Ⅷ 12 _ ٣") == [] and language.words_of("ab½cd x² Ünï_ö") == ["ab", "cd", "x", "ünï", "ö"]
+    model = language.fit(make_docs(ODD), F.lit(True))
+    rows = language.predict(make_docs([(1, "½ ② ³"), (2, "tie ½")]), model).collect()
+    assert {r.doc_id: (r.lang_pred, r.score) for r in rows}[1] == ("und", 0.0) and {r.doc_id: r.lang_pred for r in rows}[2] != "und"
