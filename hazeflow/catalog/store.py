@@ -49,6 +49,21 @@ def q_latest(spark, sf_dir):
     return plain(read_online(spark, path), 6, ["humidex"])
 
 
+@query(
+    "online_correction",
+    f"""WITH {FEATURES},
+    newest AS (SELECT * FROM features QUALIFY row_number() OVER (PARTITION BY city ORDER BY timestamp DESC) = 1)
+    SELECT {FEATURE_SELECT.replace("target_aqi", "target_aqi - 1e0 AS target_aqi")} FROM newest""",
+)
+def q_online_correction(spark, sf_dir):
+    """The online copy after a correction of the newest hour to smaller values, followed by a repeat of the first load."""
+    path, features = work_dir(spark, "online"), materialize(features_of(spark, sf_dir), "features")
+    save_online(features, path, 0)
+    save_online(features.withColumn("target_aqi", F.col("target_aqi") - 1.0), path, 1)
+    save_online(features, path, 0)
+    return plain(read_online(spark, path), 6, ["humidex"])
+
+
 def _with_event_ts(features):
     return features.withColumn("event_ts", F.timestamp_millis("timestamp"))
 

@@ -153,10 +153,13 @@ def compact(spark: SparkSession, path: str, months: list[str]) -> None:
         _commit(read_store(spark, path, months), path, seen, months)
 
 
-def save_online(features: DataFrame, path: str) -> None:
-    """Add the newest row of each city to the online copy at ``path``: a table of its own, one key per city."""
+def save_online(features: DataFrame, path: str, load_seq: int = 0) -> None:
+    """Add the newest row of each city to the online copy at ``path``: a table of its own, one key per city.
+
+    Of two loads of the same hour the one with the larger ``load_seq`` holds, as in the table itself.
+    """
     newest = latest_per_city(features)
-    merge_into_table(newest, path, 0)
+    merge_into_table(newest, path, load_seq)
 
 
 def read_online(spark: SparkSession, path: str, cities: list[str] | None = None) -> DataFrame:
