@@ -4,7 +4,8 @@ A load is one commit: its rows are written to a folder of their own, and only th
 commit named in the table's log, one row per commit. What is not named is never read, so a write
 that fails half-way leaves the table as it was. Readers take the rows of all named
 commits and keep the latest of each key. ``compact`` writes the latest rows of some
-months as a new commit that replaces the older ones in these months; nothing is overwritten.
+months as a new commit that replaces the older ones in these months; nothing is overwritten. The log says which
+months a commit holds: when all are replaced, its folder is neither listed nor read any more.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ STORE_SCHEMA = T.StructType(
     ]
 )
 COMMIT = "commit"
-LOG_SCHEMA = "commit string, replaces array<string>, months array<string>"
+LOG_SCHEMA = "commit string, replaces array<string>, months array<string>, holds array<string>"
 MAX_RECORDS_PER_FILE = 5_000_000
 #: Files a commit writes per month at most.
 FILES_PER_MONTH = 16
@@ -96,10 +97,21 @@ def _commit(df: DataFrame, path: str, replaces: list[str], months: list[str]) ->
         .partitionBy(PARTITION)
         .parquet(f"{path}/data/{COMMIT}={name}")
     )
-    entry = spark.createDataFrame([(name, replaces, months)], LOG_SCHEMA)
+    written = spark.read.schema(STORE_SCHEMA).parquet(f"{path}/data/{COMMIT}={name}")
+    holds = sorted(r[0] for r in written.select(PARTITION).distinct().collect())
+    entry = spark.createDataFrame([(name, replaces, months, holds)], LOG_SCHEMA)
     entry.coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 
+def live_commits(log: list) -> list:
+    """The commits that readers need: those with a month that no compaction has replaced."""
+    replaced: dict[str, set] = {}
+    for c in log:
+        for name in c.replaces:
+            replaced.setdefault(name, set()).update(c.months)
+    return [e for e in log if e.holds is None or set(e.holds) - replaced.get(e.commit, set())]
+
+
 def read_store(
     spark: SparkSession, path: str, months: list[str] | None = None, columns: list[str] | None = None
 ) -> DataFrame:
@@ -109,16 +121,17 @@ def read_store(
     choice between equal loads can only be one between repeats of a load.
     """
     log = _log(spark, path)
-    live = [e for e in log if not any(e.commit in c.replaces and c.months is None for c in log)]
+    live = live_commits(log)
     kept = STORE_SCHEMA.names if columns is None else list(dict.fromkeys([*KEY_COLS, *columns, LOAD_SEQ, PARTITION]))
     if not live:
         return spark.createDataFrame([], STORE_SCHEMA).select(*kept)
     schema = T.StructType([*STORE_SCHEMA.fields, T.StructField(COMMIT, T.StringType())])
     reader = spark.read.schema(schema).option("basePath", f"{path}/data").option("ignoreMissingFiles", "false")
     rows = reader.parquet(*[f"{path}/data/{COMMIT}={e.commit}" for e in live])
+    names = {e.commit for e in live}
     for e in log:
-        if e.replaces:
-            rows = rows.where(~(F.col(COMMIT).isin(e.replaces) & F.col(PARTITION).isin(e.months)))
+        if still := [c for c in e.replaces if c in names]:
+            rows = rows.where(~(F.col(COMMIT).isin(still) & F.col(PARTITION).isin(e.months)))
     if months is not None:
         rows = rows.where(F.col(PARTITION).isin(months))
     return latest_wins(rows.select(*kept))

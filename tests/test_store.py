@@ -130,3 +130,27 @@ def test_latest_wins_combines_before_the_shuffle(spark):
 def test_latest_per_city(spark):
     df = vectors(spark, [("a", JAN, 1.0), ("a", FEB, 2.0), ("b", JAN, 3.0)])
     assert {r.city: (r.timestamp, r.target_aqi) for r in latest_per_city(df).collect()} == {"a": (FEB, 2.0), "b": (JAN, 3.0)}
+
+
+def test_compaction_retires_commits(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for seq, value in enumerate((1.0, 2.0, 3.0)):
+        merge_into_table(vectors(spark, [("a", JAN, value), ("a", FEB, value)]), path, seq)
+    folders = lambda: {f.split("commit=")[1].split("/")[0] for f in read_store(spark, path).inputFiles()}
+    assert len(folders()) == 3
+    compact(spark, path, ["2024-01"])
+    assert len(folders()) == 4  # February still lies in the loads
+    compact(spark, path, ["2024-01", "2024-02"])
+    assert len(folders()) == 1
+    merge_into_table(vectors(spark, [("a", FEB, 4.0)]), path, 3)
+    assert len(folders()) == 2 and {r.target_aqi for r in read_store(spark, path).collect()} == {3.0, 4.0}
+    merge_into_table(vectors(spark, []), path, 4)
+    assert len(folders()) == 2
+
+
+def test_online_copy_takes_the_later_load(spark, tmp_path):
+    path = str(tmp_path / "o")
+    save_online(vectors(spark, [("a", FEB, 90.0)]), path, 0)
+    save_online(vectors(spark, [("a", FEB, 20.0)]), path, 1)
+    save_online(vectors(spark, [("a", FEB, 90.0)]), path, 0)
+    assert read_online(spark, path).first().target_aqi == 20.0
