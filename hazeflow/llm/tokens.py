@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -152,6 +153,11 @@ class PackedFile:
             i = j
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether it still does in normal form C and lower case; there some letters become a letter and a mark."""
+    return word.isascii() or unicodedata.normalize("NFC", word).lower()[-1].isalpha()
+
+
 class _Pieces(dict):
     """Piece -> number; a new piece gets the next number and waits to be encoded."""
 
@@ -196,13 +202,13 @@ class Encoder:
         return _PIECES.findall(text) if _SEPARATORS.search(text) else text.split()
 
     def _settle(self) -> None:
-        """Encode what waits. An ASCII word and the punctuation mark behind it are separate tokens; others may end in a mark once normalised."""
+        """Encode what waits. A word and the punctuation mark behind it are separate tokens if the word ends in a letter once normalised."""
         waiting, whole, joined = self.numbers.waiting, [], {}
         first = len(self.starts)
         k = 0
         while k < len(waiting):
             w = waiting[k]
-            if len(w) > 1 and w[-1] in ".,;:!?" and w.isascii() and w[:-1].isalpha():
+            if len(w) > 1 and w[-1] in ".,;:!?" and w[:-1].isalpha() and _ends_in_letter(w[:-1]):
                 joined[k] = (self.numbers[w[:-1]], self.numbers[w[-1]])
             else:
                 whole.append(k)
