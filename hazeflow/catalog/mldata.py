@@ -10,7 +10,7 @@ from ..ml.explain import linear_shap
 from ..ml.gram import gram_matrix
 from ..ml.metrics import champion_select, regression_metrics
 from ..ml.scaling import design_columns, design_matrix, scaler_stats, standard_scale
-from ..ml.split import linear_bucket, split, with_fold, with_split
+from ..ml.split import linear_bucket, split, with_exact_fold, with_exact_split, with_fold, with_split
 from ..session import materialize
 from .base import FEATURES, plain, query
 from .features import features_of
@@ -89,6 +89,57 @@ def q_fold_counts(spark, sf_dir):
     return folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Orders both engines can compute: one in which many rows are tied, one that tells all of them apart, and one with equal rows only.
+TIED_ORDER, KEY_ORDER = "(l_orderkey * 31 + l_linenumber * 17 + 42) % 1000", "l_orderkey * 8 + l_linenumber"
+KIND_ORDER = "l_linenumber % 3, ascii(l_returnflag), ascii(l_linestatus), l_linenumber"
+
+RANKED = f"""ranked AS (
+  SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {TIED_ORDER}, {KEY_ORDER}) AS place, count(*) OVER () AS n FROM lineitem
+)"""
+
+
+def _exact_lines(spark, sf_dir, *extra):
+    """Reading lineitem again is what a written table would cost."""
+    return X.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *extra)
+
+
+@query(
+    "split_exact",
+    f"WITH {RANKED} SELECT l_orderkey, l_linenumber, CASE WHEN place <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split FROM ranked",
+)
+def q_split_exact(spark, sf_dir):
+    """The side of every line: a fifth, rounded up, is for testing, however many are tied where the cut lies."""
+    return with_exact_split(_exact_lines(spark, sf_dir), order=[F.expr(TIED_ORDER), F.expr(KEY_ORDER)])
+
+
+@query(
+    "fold_exact",
+    f"""WITH {RANKED}, numbered AS (
+      SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY place) - 1 AS i, count(*) OVER () AS m FROM ranked WHERE place > ceil(0.2 * n))
+    SELECT l_orderkey, l_linenumber, CAST(CASE WHEN i < (m // 3) + least(1, m % 3) THEN 0 WHEN i < 2 * (m // 3) + least(2, m % 3) THEN 1 ELSE 2 END AS INTEGER) AS fold
+    FROM numbered""",
+)
+def q_fold_exact(spark, sf_dir):
+    """Three folds of the lines to train on, equal but for one row."""
+    order = [F.expr(TIED_ORDER), F.expr(KEY_ORDER)]
+    marked = materialize(with_exact_split(_exact_lines(spark, sf_dir), order=order), "exact-split")
+    return with_exact_fold(marked.where("split = 'train'").drop("split"), order=order)
+
+
+@query(
+    "split_ties",
+    f"""WITH ranked AS (
+      SELECT l_returnflag, l_linestatus, l_linenumber, row_number() OVER (ORDER BY {KIND_ORDER}) AS place, count(*) OVER () AS n FROM lineitem)
+    SELECT l_returnflag, l_linestatus, l_linenumber, CASE WHEN place <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split, count(*) AS n_rows
+    FROM ranked GROUP BY ALL""",
+)
+def q_split_ties(spark, sf_dir):
+    """The cut goes through thousands of rows that are equal in all columns; counted per kind of row."""
+    kinds = X.load(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    marked = with_exact_split(kinds, order=[F.expr(e) for e in KIND_ORDER.split(", ")])
+    return marked.groupBy(*kinds.columns, "split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(
     "scaler_stats",
     f"WITH {MARKED} "
