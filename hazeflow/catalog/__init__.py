@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["features", "live", "profile", "store", "mldata", "models", "streams"]
+MODULES = ["features", "live", "profile", "store", "mldata", "models", "explain", "streams"]
 
 for _m in MODULES:
     import_module(f"{__name__}.{_m}")
