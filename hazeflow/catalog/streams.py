@@ -9,12 +9,13 @@ from .. import schema as S
 from ..session import materialize, pin_utc, work_dir
 from ..sources.tables import feature_scan
 from ..streaming import (
-    change_rates, dedup_stream, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
+    alert_episodes, change_rates, dedup_stream, fallback_streams, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
     run_upsert,
 )
 from .base import FEATURE_SELECT, FEATURES, JOINED, READINGS, plain, query
-from .features import features_of
-from .live import LANDED_VECTORS
+from ..operators.grid import hourly_measures
+from .features import _category_sql, features_of
+from .live import HAZARD_THRESHOLD, LANDED_VECTORS
 
 
 #: Micro-batches that a table is fed in.
@@ -87,6 +88,48 @@ def q_stream_join(spark, sf_dir):
     return plain(spark.read.parquet(f"{path}/data"))
 
 
+# What waits for a partner is given when both feeds are two hours past it.
+@query(
+    "stream_fallback",
+    f"""WITH {READINGS},
+    p AS (SELECT city, event_ts, max(value) AS peak, count(*) AS n FROM readings WHERE event_type = 'view' GROUP BY city, event_ts),
+    s AS (SELECT city, event_ts, max(value) AS peak, count(*) AS n FROM readings WHERE event_type = 'click' GROUP BY city, event_ts),
+    reached AS (SELECT least((SELECT max(event_ts) FROM p), (SELECT max(event_ts) FROM s)) - INTERVAL 2 HOUR AS mark)
+    SELECT coalesce(p.city, s.city) AS city, coalesce(p.event_ts, s.event_ts) AS event_ts,
+           CASE WHEN p.city IS NOT NULL THEN 'primary' ELSE 'secondary' END AS source,
+           CASE WHEN p.city IS NOT NULL THEN p.peak ELSE s.peak END AS peak, CASE WHEN p.city IS NOT NULL THEN p.n ELSE s.n END AS n
+    FROM p FULL JOIN s ON p.city = s.city AND p.event_ts = s.event_ts, reached
+    WHERE (p.city IS NOT NULL AND s.city IS NOT NULL) OR coalesce(p.event_ts, s.event_ts) <= mark""",
+)
+def q_stream_fallback(spark, sf_dir):
+    r = X.readings(spark, sf_dir)
+    measures = {"peak": F.max("value"), "n": F.count(F.lit(1))}
+    both = [materialize(hourly_measures(r.where(F.col("event_type") == t), measures), "hourly") for t in ("view", "click")]
+    bounds = _bounds(both[0], "event_ts")
+    view, click = (_in_time_order(side, "event_ts", "fallback-side", bounds) for side in both)
+    path = work_dir(spark, "stream-fallback")
+    run_to_table(fallback_streams(view, click, ["peak", "n"], "2 hours"), path)
+    return plain(spark.read.parquet(f"{path}/data"))
+
+
+@query(
+    "stream_alerts",
+    f"""WITH {FEATURES},
+    high AS (SELECT city, event_ts, target_aqi FROM features WHERE target_aqi >= {HAZARD_THRESHOLD}e0),
+    starts AS (SELECT *, CASE WHEN event_ts - lag(event_ts) OVER (PARTITION BY city ORDER BY event_ts) <= INTERVAL 90 MINUTE THEN 0 ELSE 1 END AS fresh FROM high),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY city ORDER BY event_ts) AS island FROM starts),
+    episodes AS (SELECT city, min(event_ts) AS started_at, max(event_ts) AS ended_at, count(*) AS hours, max(target_aqi) AS peak FROM islands GROUP BY city, island)
+    SELECT *, {_category_sql('peak')} AS category FROM episodes
+    WHERE ended_at + INTERVAL 90 MINUTE <= (SELECT max(event_ts) FROM features) - INTERVAL 2 HOUR""",
+)
+def q_stream_alerts(spark, sf_dir):
+    """Episodes that have ended: what may still grow when the input ends is not given."""
+    features = features_of(spark, sf_dir).select("city", F.timestamp_millis("timestamp").alias("event_ts"), "target_aqi")
+    path = work_dir(spark, "stream-alerts")
+    run_to_table(alert_episodes(_in_time_order(materialize(features, "features"), "event_ts", "alert-stream"), "event_ts", "2 hours", "target_aqi", HAZARD_THRESHOLD), path)
+    return plain(spark.read.parquet(f"{path}/data"))
+
+
 @query("stream_change_rate", f"WITH {FEATURES} SELECT city, timestamp, target_aqi, aqi_change_rate FROM features")
 def q_stream_rate(spark, sf_dir):
     stream = _in_time_order(materialize(features_of(spark, sf_dir), "features"), "timestamp", "feature-stream")

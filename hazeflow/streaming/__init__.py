@@ -1,8 +1,10 @@
 """The live path as Structured Streaming jobs."""
 
 from .jobs import (
+    alert_episodes,
     change_rates,
     dedup_stream,
+    fallback_streams,
     hourly_stream,
     join_streams,
     read_updates,
@@ -13,8 +15,10 @@ from .jobs import (
 )
 
 __all__ = [
+    "alert_episodes",
     "change_rates",
     "dedup_stream",
+    "fallback_streams",
     "hourly_stream",
     "join_streams",
     "read_updates",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import aqi_category
 from ..operators.store import latest_wins, merge_into_table
 from ..plans.live import live_vectors
 from ..sources.tables import write_dead_letters
@@ -61,6 +62,47 @@ def join_streams(air: DataFrame, weather: DataFrame, delay: str) -> DataFrame:
     return left.join(right, same, "inner").drop("weather_city", "weather_ts")
 
 
+def fallback_streams(primary: DataFrame, secondary: DataFrame, fields: list[str], delay: str) -> DataFrame:
+    """``source_fallback`` between two hourly streams: the primary record of a (city, hour), else the secondary.
+
+    Where both records come, in whatever order, the primary is given at once. A record whose partner is missing is given when the watermark, that of the
+    slower feed, has reached its hour: until then the partner may still come, and a secondary record given early could not be taken back.
+    A record is taken whole, as in the batch form. Records behind the watermark are dropped and counted by the job. Rows without a city
+    or hour have no partner and no time to wait for, so they are left out. State holds only the hours within the delay.
+    """
+    keys = ["city", "event_ts"]
+
+    def side(stream: DataFrame, mark: str) -> DataFrame:
+        keyed = stream.where(F.col("city").isNotNull() & F.col("event_ts").isNotNull())
+        own = keyed.select(F.col("city").alias(f"{mark}_city"), F.col("event_ts").alias(f"{mark}_ts"), F.struct(*fields).alias(f"{mark}_record"))
+        return own.withWatermark(f"{mark}_ts", delay)
+
+    same = (F.col("first_city") == F.col("second_city")) & (F.col("first_ts") == F.col("second_ts"))
+    both = side(primary, "first").join(side(secondary, "second"), same, "full_outer")
+    is_first, record = F.col("first_record").isNotNull(), F.coalesce("first_record", "second_record")
+    return both.select(
+        *[F.coalesce(f"first_{short}", f"second_{short}").alias(k) for k, short in zip(keys, ("city", "ts"))],
+        F.when(is_first, F.lit("primary")).otherwise(F.lit("secondary")).alias("source"),
+        *[record.getField(f).alias(f) for f in fields],
+    )
+
+
+def alert_episodes(stream: DataFrame, ts: str, delay: str, column: str, threshold: float = 151.0, gap: str = "90 minutes") -> DataFrame:
+    """One alert per episode of a city: (city, started_at, ended_at, hours, peak, category of the peak).
+
+    Rows at or above the threshold belong together while less than ``gap`` lies between them; a late row within the delay extends an episode
+    or joins two. An episode is given once, when the watermark has passed its last row by ``gap``: it cannot grow any more. Rows below the
+    threshold advance the watermark, so an episode also ends when a city goes quiet while others report. For a notice
+    at the first hour there is ``hazard_alerts``, which works row by row on the same stream.
+    """
+    # A filter would move below the watermark, and then only high rows would advance it. A session of no length is none.
+    length = F.when(F.col(column) >= threshold, F.lit(gap)).otherwise(F.lit("0 seconds"))
+    found = stream.withWatermark(ts, delay).groupBy("city", F.session_window(ts, length).alias("_session")).agg(
+        F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count(F.lit(1)).alias("hours"), F.max(column).alias("peak")
+    )
+    return found.select("city", "started_at", "ended_at", "hours", "peak", aqi_category(F.col("peak")).alias("category"))
+
+
 class _ChangeRate(StatefulProcessor):
     """Keeps (timestamp, label) of the newest row per city."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hazeflow.schema import LANDED_SCHEMA
 from hazeflow.sources.tables import feature_scan, read_landed, read_landed_stream
 from hazeflow.streaming import (
-    change_rates, dedup_stream, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
+    alert_episodes, change_rates, dedup_stream, fallback_streams, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
     run_upsert,
 )
 from hazeflow.plans.live import live_vectors
@@ -121,3 +121,39 @@ def test_live_stream_equals_batch(spark, tmp_path):
     assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty() and got.count() == 3
     assert {(r.city, r.reject_reason) for r in spark.read.parquet(dead).collect()} == {("a", "no_source"), ("a", "no_label"), (None, "no_key")}
     assert LANDED_SCHEMA.names == ["city", "fetched_at", "pollution", "weather", "station"]
+
+
+def test_fallback_between_streams(spark, tmp_path):
+    """Partners in either order and in different micro-batches; a partner that never comes; one that comes too late."""
+    row = lambda city, h, v: {"city": city, "event_ts": ts(h), "v": v}
+    land(str(tmp_path / "first"), [
+        [row("a", 0, 1.0), row("b", 0, None), row(None, 0, 5.0)], [row("a", 1, 2.0), row("a", 6, 3.0)], [row("b", 9, 4.0)], [row("a", 30, 0.0), row("a", 2, 8.0)],
+    ])
+    land(str(tmp_path / "second"), [
+        [row("a", 1, 20.0), row("b", 0, 11.0)], [row("a", 0, 10.0), row("c", 5, 30.0)], [row("a", 9, 40.0), {"city": "a", "v": 1.0}], [row("a", 31, 0.0)],
+    ])
+    first, second = (stream(spark, str(tmp_path / side), "city string, event_ts timestamp, v double") for side in ("first", "second"))
+    out = str(tmp_path / "out")
+    dropped = run_to_table(fallback_streams(first, second, ["v"], "2 hours"), out)
+    got = sorted((r.city, (r.event_ts - T0).total_seconds() / 3600, r.source, r.v) for r in spark.read.parquet(f"{out}/data").collect())
+    assert got == [
+        ("a", 0, "primary", 1.0), ("a", 1, "primary", 2.0), ("a", 6, "primary", 3.0), ("a", 9, "secondary", 40.0),
+        ("b", 0, "primary", None), ("b", 9, "primary", 4.0), ("c", 5, "secondary", 30.0),
+    ]
+    assert dropped == 1
+
+
+def test_alert_episodes(spark, tmp_path):
+    """A late hour joins two stretches; a quiet city's episode ends by the others' time; an open one is not given."""
+    row = lambda city, h, v: {"city": city, "event_ts": ts(h), "aqi": v}
+    land(str(tmp_path / "in"), [
+        [row("a", 0, 160.0), row("a", 2, 310.0), row("b", 1, 151.0), row("b", 2, 150.9)],
+        [row("a", 1, 200.0), row("a", 3, 100.0), row("a", 5, 155.0), row("b", 5, None)],
+        [row("c", 12, 20.0)],
+        [row("c", 20, 170.0), row("b", 21, 10.0)],
+    ])
+    out = str(tmp_path / "out")
+    run_to_table(alert_episodes(stream(spark, str(tmp_path / "in"), "city string, event_ts timestamp, aqi double"), "event_ts", "2 hours", "aqi"), out)
+    hour = lambda t: (t - T0).total_seconds() / 3600
+    got = sorted((r.city, hour(r.started_at), hour(r.ended_at), r.hours, r.peak) for r in spark.read.parquet(f"{out}/data").collect())
+    assert got == [("a", 0, 2, 3, 310.0), ("a", 5, 5, 1, 155.0), ("b", 1, 1, 1, 151.0)]
