@@ -3,7 +3,7 @@
 With ``split`` and ``with_fold`` a row's side depends on its key alone: not on the order or partitioning of the
 table, nor on which other rows are there. ``exact_split`` and ``with_exact_fold`` cut the table, in the order of that hash, into parts of
 a given size instead. Where to cut is found by counting rows per stretch of the hash and looking closer at the stretch
-that holds a cut, 16 bits at a time: narrow aggregates, no sort, and no row moves.
+that holds a cut, 16 bits at a time: narrow aggregates, no sort, and no row moves. Bits that all rows of a stretch share need no pass.
 """
 
 from __future__ import annotations
@@ -81,45 +81,59 @@ class _Cut:
             own = own & (F.col(name) == value)
         return own if self.shift == 64 else own & (F.shiftright(level[len(self.known)], self.shift) == self.prefix)
 
-    def narrow(self, counts: dict[int, int], shift: int, levels: int) -> None:
-        """Take the stretch that holds row ``k``, given the counts of stretches."""
-        for prefix in sorted(counts):
-            if self.below + counts[prefix] >= self.k:
-                self.prefix, self.shift = prefix, shift
+    def narrow(self, found: dict[int, tuple[int, list[tuple[int, int]]]], shift: int) -> None:
+        """Take the stretch that holds row ``k``, given per stretch its number of rows and the least and largest value in each column."""
+        for prefix in sorted(found):
+            count, ranges = found[prefix]
+            if self.below + count >= self.k:
                 break
-            self.below += counts[prefix]
-        if self.below + counts[self.prefix] == self.k:
+            self.below += count
+        if self.below + count == self.k:
             # The stretch ends at the cut.
-            last = (self.prefix << shift) + (1 << shift) - 1
-            self.known, self.done = (*self.known, last, *[LONGEST] * (levels - len(self.known) - 1)), True
-        elif shift == 0:
-            self.known, self.prefix, self.shift = (*self.known, self.prefix), 0, 64
-            self.done = self.tied = len(self.known) == levels
+            last = (prefix << shift) + (1 << shift) - 1
+            self.known, self.done = (*self.known, last, *[LONGEST] * (len(ranges) - len(self.known) - 1)), True
+            return
+        # Columns with one value in the stretch are known, and so are the leading bits that all values of the next one share.
+        while len(self.known) < len(ranges) and len(set(ranges[len(self.known)])) == 1:
+            self.known = (*self.known, ranges[len(self.known)][0])
+        self.done = self.tied = len(self.known) == len(ranges)
+        if not self.done:
+            low, high = ranges[len(self.known)]
+            self.shift = 64 if low < 0 <= high else (low ^ high).bit_length()
+            self.prefix = low >> self.shift
+
+
+def _stretches(rows: DataFrame, level: list[str], depth: int, shift: int) -> list[tuple[tuple[int, ...], int, tuple[int, list[tuple[int, int]]]]]:
+    """(values of the columns before, leading bits of the next, (rows, ranges)) of all stretches."""
+    ranges = F.array(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")) for c in level])
+    grouped = rows.groupBy(*level[:depth], F.shiftright(level[depth], shift).alias("digit"))
+    found = grouped.agg(F.count(F.lit(1)).alias("n"), ranges.alias("ranges")).collect()
+    return [(tuple(r[:depth]), r["digit"], (r["n"], [tuple(x) for x in r["ranges"]])) for r in found]
 
 
 def _cuts(rows: DataFrame, level: list[str], sizes: Callable[[int], list[int]]) -> list[_Cut]:
     """A cut behind each of the given numbers of rows; ``sizes`` gets the number of all rows."""
-    first = {r[0]: r[1] for r in rows.groupBy(F.shiftright(level[0], 64 - DIGIT)).count().collect()}
-    n = sum(first.values())
+    first = {digit: told for _, digit, told in _stretches(rows, level, 0, 64 - DIGIT)}
+    n = sum(count for count, _ in first.values())
     cuts = [_Cut(min(max(k, 0), n)) for k in sizes(n)]
     for cut in cuts:
         if cut.k in (0, n):
             cut.known, cut.done = (), True
         else:
-            cut.narrow(first, 64 - DIGIT, len(level))
+            cut.narrow(first, 64 - DIGIT)
     while any(not c.done for c in cuts):
-        # Cuts at the same place of the search share a pass; in general all do.
+        # Cuts that know equally much share a pass.
         opened = {}
         for cut in (c for c in cuts if not c.done):
             opened.setdefault((len(cut.known), cut.shift), []).append(cut)
         for (depth, shift), own in opened.items():
-            finer, near = shift - DIGIT, F.lit(False)
+            finer, near = max(0, shift - DIGIT), F.lit(False)
             for cut in own:
                 near = near | cut.group(level)
-            found = rows.where(near).groupBy(*level[:depth], F.shiftright(level[depth], finer).alias("digit")).count().collect()
+            found = _stretches(rows.where(near), level, depth, finer)
             for cut in own:
-                mine = {r["digit"]: r["count"] for r in found if tuple(r[:depth]) == cut.known and (shift == 64 or r["digit"] >> DIGIT == cut.prefix)}
-                cut.narrow(mine, finer, len(level))
+                mine = {d: told for known, d, told in found if known == cut.known and (shift == 64 or d >> (shift - finer) == cut.prefix)}
+                cut.narrow(mine, finer)
     return cuts
 
 
@@ -137,8 +151,8 @@ def in_parts(df: DataFrame, sizes: Callable[[int], list[int]], order: list[Colum
 
     ``order`` are integer columns, compared in turn; a null comes first. Rows that are equal in all of them follow a hash of all their columns, so that
     which other rows are in a task never matters. Repeated rows count each: where a cut goes through them, as many as fit go to either side.
-    An empty table has no part. A column called ``name`` is replaced. ``df`` is read up to four times per column of the order, and these
-    columns only, so it should be a written table.
+    An empty table has no part. A column called ``name`` is replaced. ``df`` is read, these columns only, until the rows
+    about a cut are told apart: three times for a hash of 10^12 keys. So it should be a written table.
     """
     df = df.drop(name)
     level = [f"_order_{i}" for i in range(len(order) + 1)]
