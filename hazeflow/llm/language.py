@@ -5,7 +5,9 @@ marginal over its words, and the score is that mean. Word features are affixes,
 and its membership in each language's lexicon; transitions are learned. Marginals come from
 forward-backward, so a text that switches languages is labelled in spans.
 
-Fit on at most ``MOST_LABELLED`` documents per language, those with the smallest hash of their id. They are dealt into
+Fit on a bounded sample: about ``MOST_LABELLED`` documents per language, chosen by a hash of their id, and of each at most ``SAMPLE_WORDS`` words, in even
+stretches from its first word to its last. Of more than ``MOST_LABELS`` languages the most frequent are learned, which bounds the model; both are parameters of
+``fit``. Sampled documents are dealt into
 ``SLOTS`` fixed slots. A slot makes code-switched sequences from its documents (stretches of words
 of one language after another), so that staying and switching are both seen, and improves the common parameters;
 the slots' results are averaged each round. Lexicons hold the most frequent words of the same sample that
@@ -36,7 +38,7 @@ from hazeflow.session import materialize
 DIM = 1 << 15
 MOST_LABELLED = 1500
 MOST_LABELS = 500
-#: Words of a labelled document that sequences are cut from.
+#: Words of a labelled document that sequences are cut from, in stretches spread over the whole text.
 SAMPLE_WORDS = 400
 LEXICON = 300
 SLOTS = 4
@@ -60,6 +62,14 @@ def words_of(text: str | None) -> list[str]:
     return [w for x in words for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
+def spread(words: list[str], most: int = SAMPLE_WORDS) -> list[str]:
+    """At most ``most`` of the words: stretches of ``STRETCH`` at even distances, the first at the start, the last at the end."""
+    if len(words) <= most:
+        return words
+    starts = np.linspace(0, len(words) - STRETCH, most // STRETCH).astype(int)
+    return [w for a in starts.tolist() for w in words[a : a + STRETCH]]
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return ((h ^ (h >> np.uint64(32))) % np.uint64(DIM)).astype(np.int64)
@@ -249,11 +259,14 @@ def local_fit(model: Model, sequences: list[list[str]], gold: np.ndarray, steps:
     return tuple(x.reshape(s) for x, s in zip(np.split(p, cut), shapes))
 
 
-def fit(docs: DataFrame, usable: Column, most: int = MOST_LABELLED) -> Model | None:
-    """A model from the rows of (doc_id, text, lang) for which ``usable`` holds; None if no text is labelled."""
+def fit(docs: DataFrame, usable: Column, most: int = MOST_LABELLED, most_labels: int = MOST_LABELS) -> Model | None:
+    """A model from the rows of (doc_id, text, lang) for which ``usable`` holds; None if no text is labelled.
+
+    It is fitted on ``most`` documents per language on average, and knows the ``most_labels`` most frequent languages, ties by name.
+    """
     spark = docs.sparkSession
     rows = docs.where(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()
     if not counts:
         return None
     labels = sorted(r.lang for r in counts)
@@ -264,7 +277,7 @@ def fit(docs: DataFrame, usable: Column, most: int = MOST_LABELLED) -> Model | N
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [words_of(t.as_py())[:SAMPLE_WORDS] for t in b.column("text")]
+            words = [spread(words_of(t.as_py())) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "lang", "words"])
 
     sample = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").mapInArrow(cut, "doc_id long, lang string, words array<string>")

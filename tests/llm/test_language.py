@@ -75,3 +75,16 @@ def test_numerals_are_no_letters(make_docs):
     model = language.fit(make_docs(ODD), F.lit(True))
     rows = language.predict(make_docs([(1, "½ ② ³"), (2, "tie ½")]), model).collect()
     assert {r.doc_id: (r.lang_pred, r.score) for r in rows}[1] == ("und", 0.0) and {r.doc_id: r.lang_pred for r in rows}[2] != "und"
+
+
+def test_training_words_come_from_the_whole_text(make_docs):
+    words = [str(i) for i in range(12_345)]
+    got = language.spread(words)
+    assert language.spread(words[:400]) == words[:400] and len(got) == language.SAMPLE_WORDS and got[0] == "0" and got[-1] == "12344"
+    assert max(int(b) - int(a) for a, b in zip(got, got[1:])) < 12_345 / 39 and len(set(got)) == len(got)
+    assert len(language.spread(words[:405])) == 400
+    # The language of a text that begins with 500 foreign words is learned from what follows.
+    en, de = "the house and tree near river ", "das haus und baum am fluss "
+    docs = make_docs([(i, en * 100 + de * 900, "de") for i in range(8)] + [(i, en * 50, "en") for i in range(8, 16)])
+    model = language.fit(docs.select("doc_id", "text", "lang"), F.lit(True))
+    assert "haus" in model.lexicon and language.fit(docs, F.lit(True), most_labels=1).labels == ["de"]
