@@ -6,10 +6,14 @@ that fails half-way leaves the table as it was. Readers take the rows of all nam
 commits and keep the latest of each key. ``compact`` writes the latest rows of some
 months as a new commit that replaces the older ones in these months; nothing is overwritten. The log says which
 months a commit holds: when all are replaced, its folder is neither listed nor read any more.
+
+Every commit is a version that can be read again: ``read_store(..., as_of=commit)``. ``retain`` gives up the versions before
+a commit, and ``vacuum`` then removes the folders that only these needed and folds the log into one file.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -34,7 +38,8 @@ STORE_SCHEMA = T.StructType(
     ]
 )
 COMMIT = "commit"
-LOG_SCHEMA = "commit string, replaces array<string>, months array<string>, holds array<string>"
+#: ``at`` orders the commits (microseconds, made larger than all seen); ``oldest`` is the first ``at`` still readable, ``drops`` the commits given up.
+LOG_SCHEMA = "commit string, replaces array<string>, months array<string>, holds array<string>, at bigint, oldest bigint, drops array<string>"
 MAX_RECORDS_PER_FILE = 5_000_000
 #: Files a commit writes per month at most.
 FILES_PER_MONTH = 16
@@ -77,17 +82,26 @@ def _month(df: DataFrame) -> DataFrame:
 
 
 def _log(spark: SparkSession, path: str) -> list:
-    """The table's commits: one row per load since the last compaction, and one per compaction."""
+    """The table's commits, oldest first: one row per load, compaction and retention that ``vacuum`` has not folded."""
     try:
-        return spark.read.schema(LOG_SCHEMA).parquet(f"{path}/log").collect()
+        rows = spark.read.schema(LOG_SCHEMA).parquet(f"{path}/log").collect()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
+    # While a log is folded an entry can stand in two files.
+    return sorted({r.commit: r for r in rows}.values(), key=lambda r: (r.at or 0, r.commit))
+
+
+def _name(spark: SparkSession, path: str, commit: str, replaces=(), months=(), holds=(), oldest=None, drops=()) -> None:
+    """Append an entry to the log, later than all that are there."""
+    at = max([time.time_ns() // 1000, *[(e.at or 0) + 1 for e in _log(spark, path)]])
+    entry = spark.createDataFrame([(commit, list(replaces), list(months), list(holds), at, oldest, list(drops))], LOG_SCHEMA)
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 
-def _commit(df: DataFrame, path: str, replaces: list[str], months: list[str]) -> None:
-    """Write rows, clustered by month and city, then name them in the log."""
+def _commit(df: DataFrame, path: str, replaces: list[str], months: list[str]) -> str:
+    """Write rows, clustered by month and city, then name them in the log; returns the commit."""
     spark, name = df.sparkSession, uuid.uuid4().hex
     part = F.pmod(F.xxhash64("city"), F.lit(FILES_PER_MONTH))
     (
@@ -99,8 +113,8 @@ def _commit(df: DataFrame, path: str, replaces: list[str], months: list[str]) ->
     )
     written = spark.read.schema(STORE_SCHEMA).parquet(f"{path}/data/{COMMIT}={name}")
     holds = sorted(r[0] for r in written.select(PARTITION).distinct().collect())
-    entry = spark.createDataFrame([(name, replaces, months, holds)], LOG_SCHEMA)
-    entry.coalesce(1).write.mode("append").parquet(f"{path}/log")
+    _name(spark, path, name, replaces, months, holds)
+    return name
 
 
 def live_commits(log: list) -> list:
@@ -112,15 +126,33 @@ def live_commits(log: list) -> list:
     return [e for e in log if e.holds is None or set(e.holds) - replaced.get(e.commit, set())]
 
 
+def _until(log: list, as_of: str | None) -> list:
+    """The entries of the version ``as_of``; ValueError if there is none such, or not any more."""
+    if as_of is None:
+        return log
+    at = next((e.at or 0 for e in log if e.commit == as_of), None)
+    if at is None or at < max([e.oldest or 0 for e in log]):
+        raise ValueError(f"version {as_of} is not kept")
+    return [e for e in log if (e.at or 0) <= at]
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(commit, microseconds since 1970) of the versions that can be read, oldest first."""
+    log = _log(spark, path)
+    oldest = max([e.oldest or 0 for e in log], default=0)
+    return [(e.commit, e.at or 0) for e in log if (e.at or 0) >= oldest and not e.drops and e.oldest is None]
+
+
 def read_store(
-    spark: SparkSession, path: str, months: list[str] | None = None, columns: list[str] | None = None
+    spark: SparkSession, path: str, months: list[str] | None = None, columns: list[str] | None = None, as_of: str | None = None
 ) -> DataFrame:
     """The latest row of each key, with label_scale, source and load_seq; of the given months, or all.
 
     With ``columns``, only these and the key are read. A commit holds one row per key, so a
-    choice between equal loads can only be one between repeats of a load.
+    choice between equal loads can only be one between repeats of a load. With ``as_of``, a commit that a load or compaction
+    has returned, the table is read as it was right after that commit.
     """
-    log = _log(spark, path)
+    log = _until(_log(spark, path), as_of)
     live = live_commits(log)
     kept = STORE_SCHEMA.names if columns is None else list(dict.fromkeys([*KEY_COLS, *columns, LOAD_SEQ, PARTITION]))
     if not live:
@@ -137,8 +169,8 @@ def read_store(
     return latest_wins(rows.select(*kept))
 
 
-def merge_into_table(df: DataFrame, path: str, load_seq: int) -> None:
-    """Append a load of feature rows to the table at ``path``; creates it if absent.
+def merge_into_table(df: DataFrame, path: str, load_seq: int) -> str:
+    """Append a load of feature rows to the table at ``path``; creates it if absent. Returns the commit.
 
     Nothing stored is read or rewritten. Running the same load again changes no
     result. Rows without a city or timestamp have no key and are left out: see ``keyless``.
@@ -147,7 +179,7 @@ def merge_into_table(df: DataFrame, path: str, load_seq: int) -> None:
     origin = [F.col(c) if c in df.columns else F.lit(v).alias(c) for c, v in ORIGIN.items()]
     load = df.where(F.col("city").isNotNull() & F.col("timestamp").isNotNull())
     rows = _month(load.select(*FEATURE_COLS, *origin).withColumn(LOAD_SEQ, F.lit(load_seq).cast("bigint")))
-    _commit(latest_wins(rows), path, [], [])
+    return _commit(latest_wins(rows), path, [], [])
 
 
 def keyless(df: DataFrame) -> DataFrame:
@@ -155,15 +187,58 @@ def keyless(df: DataFrame) -> DataFrame:
     return df.where(F.col("city").isNull() | F.col("timestamp").isNull()).withColumn("reject_reason", F.lit("no_key"))
 
 
-def compact(spark: SparkSession, path: str, months: list[str]) -> None:
-    """Bring the given months down to one row per key, as one new commit.
+def compact(spark: SparkSession, path: str, months: list[str]) -> str | None:
+    """Bring the given months down to one row per key, as one new commit, which is returned.
 
     Loads that are committed meanwhile are not replaced, and stay. The old files
-    are left for a later clean-up, as readers may still be using them.
+    are left for ``retain`` and ``vacuum``, as readers may still be using them.
     """
-    seen = [e.commit for e in _log(spark, path)]
-    if seen and months:
-        _commit(read_store(spark, path, months), path, seen, months)
+    log = _log(spark, path)
+    if not (log and months):
+        return None
+    # Of the version seen: what is loaded meanwhile must not be in what replaces it.
+    return _commit(read_store(spark, path, months, as_of=log[-1].commit), path, [e.commit for e in log], months)
+
+
+def retain(spark: SparkSession, path: str, oldest: str) -> list[str]:
+    """Give up all versions before the commit ``oldest``; returns the commits that no kept version needs.
+
+    Nothing is removed yet: that is for ``vacuum``, once the readers of the versions given up have ended.
+    """
+    seen = _until(_log(spark, path), oldest)
+    live = {e.commit for e in live_commits(seen)}
+    drops = [e.commit for e in seen if e.commit not in live and e.holds]
+    _name(spark, path, uuid.uuid4().hex, oldest=seen[-1].at or 0, drops=drops)
+    return drops
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Remove the folders of the commits given up, and fold the log into one file.
+
+    The folded log is written before the old entries go, and entries are told apart by their commit, so a run that
+    ends half-way can be repeated. Commits made meanwhile are not touched. A reader that has just listed the log may find an entry
+    gone and has to read again.
+    """
+    log_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log")
+    fs = log_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in fs.listStatus(log_path) if f.getPath().getName().endswith(".parquet")]
+    log = _log(spark, path)
+    dropped = {name for e in log for name in e.drops or []}
+    for name in dropped:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/{COMMIT}={name}"), True)
+    kept = [e for e in log if e.commit not in dropped]
+    names = {e.commit for e in kept}
+    oldest = max([e.oldest or 0 for e in log], default=0)
+    marks = {max((e for e in kept if e.oldest is not None), key=lambda e: e.oldest).commit} if oldest else set()
+    rows = [
+        (e.commit, [c for c in e.replaces if c in names], e.months, e.holds, e.at, e.oldest, [])
+        for e in kept
+        if e.oldest is None or e.commit in marks
+    ]
+    if rows:
+        spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/log")
+        for file in old:
+            fs.delete(file, False)
 
 
 def save_online(features: DataFrame, path: str, load_seq: int = 0) -> None:

@@ -40,14 +40,15 @@ def date_range(df: DataFrame, start: str, end: str, city: str | None = None, ts:
 
 
 def feature_scan(
-    spark: SparkSession, path: str, columns: list[str] | None = None, label_scale: str | None = None, months: list[str] | None = None
+    spark: SparkSession, path: str, columns: list[str] | None = None, label_scale: str | None = None, months: list[str] | None = None,
+    as_of: str | None = None,
 ) -> DataFrame:
-    """The stored feature table; only the named columns (and the key) are read.
+    """The stored feature table, as of a commit if one is given; only the named columns (and the key) are read.
 
     Training and alerts name the ``label_scale`` they are meant for: the table may hold both.
     """
     wanted = columns or FEATURE_COLS
-    rows = read_store(spark, path, months, [*wanted, "label_scale"] if label_scale else wanted)
+    rows = read_store(spark, path, months, [*wanted, "label_scale"] if label_scale else wanted, as_of)
     if label_scale is not None:
         rows = rows.where(F.col("label_scale") == label_scale)
     return rows.select(*wanted)
