@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from .. import schema as S
 from ..session import materialize, pin_utc, work_dir
+from ..operators.store import latest_per_city, merge_into_table
 from ..sources.tables import feature_scan
 from ..streaming import (
-    alert_episodes, change_rates, dedup_stream, fallback_streams, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
+    alert_episodes, change_rates, change_rates_in_time, dedup_stream, fallback_streams, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
     run_upsert,
 )
 from .base import FEATURE_SELECT, FEATURES, JOINED, READINGS, plain, query
@@ -28,7 +29,7 @@ def _event_stream(spark, sf_dir):
 
 
 def _in_time_order(df, ts, purpose, bounds=None):
-    """Land a table as one file per stretch of time, one after the other, and read it as a stream of micro-batches."""
+    """Land a table as one file per stretch of time, one after the other, and read it as a stream of micro-batches. Rows without a time come first."""
     spark = pin_utc(df.sparkSession)
     path = work_dir(spark, purpose)
     bounds = bounds or _bounds(df, ts)
@@ -37,7 +38,7 @@ def _in_time_order(df, ts, purpose, bounds=None):
         if lower is not None:
             part = part.where(F.col(ts) >= F.lit(lower))
         if upper is not None:
-            part = part.where(F.col(ts) < F.lit(upper))
+            part = part.where((F.col(ts) < F.lit(upper)) | (F.col(ts).isNull() if lower is None else F.lit(False)))
         part.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -130,6 +131,33 @@ def q_stream_alerts(spark, sf_dir):
     return plain(spark.read.parquet(f"{path}/data"))
 
 
+LATE_HOURS = 6
+HOUR_MS = 3_600_000
+
+
+@query(
+    "stream_rate_in_time",
+    f"""WITH {FEATURES},
+    span AS (SELECT min(timestamp) AS lo, max(timestamp) AS hi FROM features)
+    SELECT city, timestamp, target_aqi, aqi_change_rate FROM features, span
+    WHERE timestamp >= lo + (hi - lo) // 3 AND timestamp <= hi - {LATE_HOURS * HOUR_MS}""",
+)
+def q_rate_in_time(spark, sf_dir):
+    """The last two thirds arrive up to six hours late, in any order, behind an archive of the first third; rates are those of the whole history."""
+    features = materialize(features_of(spark, sf_dir), "features")
+    lo, hi = features.agg(F.min("timestamp"), F.max("timestamp")).first()
+    live = F.col("timestamp") >= lo + (hi - lo) // 3
+    table = work_dir(spark, "rate-archive")
+    merge_into_table(features.where(~live), table, load_seq=0)
+    late = F.pmod(F.xxhash64("city", "timestamp"), F.lit(LATE_HOURS * HOUR_MS))
+    arriving = features.where(live).select("city", "timestamp", "target_aqi", (F.col("timestamp") + late).alias("arrives"))
+    stream = _in_time_order(materialize(arriving, "arrivals"), "arrives", "late-stream")
+    path = work_dir(spark, "stream-rate-in-time")
+    archive = latest_per_city(feature_scan(spark, table, ["city", "timestamp", "target_aqi"]))
+    run_to_table(change_rates_in_time(stream, f"{LATE_HOURS} hours", archive), path)
+    return spark.read.parquet(f"{path}/data")
+
+
 @query("stream_change_rate", f"WITH {FEATURES} SELECT city, timestamp, target_aqi, aqi_change_rate FROM features")
 def q_stream_rate(spark, sf_dir):
     stream = _in_time_order(materialize(features_of(spark, sf_dir), "features"), "timestamp", "feature-stream")
@@ -158,4 +186,3 @@ def q_stream_features(spark, sf_dir):
     landed = X.landed(_event_stream(pin_utc(spark), sf_dir)).drop("event_id")
     run_features(landed, f"{root}/table", f"{root}/dead-letters", f"{root}/checkpoint")
     return feature_scan(spark, f"{root}/table", [*S.FEATURE_COLS, "label_scale", "source"])
-

@@ -3,6 +3,7 @@
 from .jobs import (
     alert_episodes,
     change_rates,
+    change_rates_in_time,
     dedup_stream,
     fallback_streams,
     hourly_stream,
@@ -17,6 +18,7 @@ from .jobs import (
 __all__ = [
     "alert_episodes",
     "change_rates",
+    "change_rates_in_time",
     "dedup_stream",
     "fallback_streams",
     "hourly_stream",

@@ -154,6 +154,88 @@ def change_rates(stream: DataFrame) -> DataFrame:
     )
 
 
+class _RateInTime(StatefulProcessor):
+    """Holds a city's rows until the watermark has passed them, then gives them in the order of their time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._held = handle.getListState("held", "timestamp long, target_aqi double")
+        self._last = handle.getValueState("last", "timestamp long, target_aqi double")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        newest = initialState.loc[initialState["timestamp"].idxmax()]
+        label = newest["target_aqi"]
+        self._last.update((int(newest["timestamp"]), None if pd.isna(label) else float(label)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            labels = [None if pd.isna(y) else float(y) for y in part["target_aqi"]]
+            times = part["timestamp"].tolist()
+            self._held.appendList(list(zip(times, labels)))
+            first = min(times) if first is None else min(first, *times)
+        if first is not None:
+            self._handle.registerTimer(first)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self._held.get(), key=lambda r: (r[0], r[1] is not None, r[1] or 0.0)) if self._held.exists() else []
+        rest = [tuple(r) for r in held if r[0] > mark]
+        ripe = held[: len(held) - len(rest)]
+        if not ripe:
+            return
+        if rest:
+            self._held.put(rest)
+            self._handle.registerTimer(rest[0][0])
+        else:
+            self._held.clear()
+        out = pd.DataFrame([tuple(r) for r in ripe], columns=["timestamp", "target_aqi"]).astype({"timestamp": "int64", "target_aqi": "float64"})
+        state = self._last.get() if self._last.exists() else None
+        covered = out["timestamp"] <= state[0] if state else pd.Series(False, index=out.index)
+        fresh = out[~covered]
+        rate = pd.Series(np.nan, index=out.index)
+        if len(fresh):
+            diff = fresh["target_aqi"].diff()
+            if state and state[1] is not None:
+                diff.iloc[0] = fresh["target_aqi"].iloc[0] - state[1]
+            rate[~covered] = diff.fillna(0.0)
+            newest = fresh["target_aqi"].iloc[-1]
+            self._last.update((int(fresh["timestamp"].iloc[-1]), None if pd.isna(newest) else float(newest)))
+        out.insert(0, "city", key[0])
+        yield out.assign(aqi_change_rate=rate)
+
+    def close(self) -> None:
+        pass
+
+
+def change_rates_in_time(stream: DataFrame, delay: str, history: DataFrame | None = None) -> DataFrame:
+    """(city, timestamp, target_aqi, aqi_change_rate) in the order of the rows' own time, however they arrive within ``delay``.
+
+    A row is given when the watermark has passed it: until then an earlier one may still come. So a late row gets its difference, and so does the row
+    after it. State holds a city's rows within the delay. ``history`` (city, timestamp, target_aqi; the newest row of each city,
+    as ``latest_per_city`` of the stored table) starts the state, so the first live row continues the archive; a row that the archive already covers gets a NULL
+    rate and leaves the state alone. Rows without city or timestamp have no place in time and are left out; rows behind the watermark (which starts at 1970) are dropped and counted by the job. Two rows of
+    one hour follow each other, the smaller label first. What lies within the delay when the input ends is not given.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    keyed = stream.where(F.col("city").isNotNull() & F.col("timestamp").isNotNull())
+    timed = keyed.select("city", "timestamp", F.col("target_aqi").cast("double").alias("target_aqi"), F.timestamp_millis("timestamp").alias("event_ts"))
+    start = None
+    if history is not None:
+        known = history.where(F.col("city").isNotNull() & F.col("timestamp").isNotNull())
+        start = known.select("city", "timestamp", F.col("target_aqi").cast("double").alias("target_aqi")).groupBy("city")
+    rates = timed.withWatermark("event_ts", delay).groupBy("city").transformWithStateInPandas(
+        statefulProcessor=_RateInTime(),
+        outputStructType="city string, timestamp long, target_aqi double, aqi_change_rate double",
+        outputMode="Append",
+        timeMode="EventTime",
+        initialState=start,
+    )
+    # Pandas has no NULL in a float column.
+    return rates.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("target_aqi", "aqi_change_rate")})
+
+
 def _dropped(query) -> int:
     """Rows that came behind the watermark, as the query's progress counts them (its last 100 micro-batches)."""
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

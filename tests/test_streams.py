@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hazeflow.schema import LANDED_SCHEMA
 from hazeflow.sources.tables import feature_scan, read_landed, read_landed_stream
 from hazeflow.streaming import (
-    alert_episodes, change_rates, dedup_stream, fallback_streams, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
+    alert_episodes, change_rates, change_rates_in_time, dedup_stream, fallback_streams, hourly_stream, join_streams, read_updates, run_features, run_to_table, run_updates,
     run_upsert,
 )
 from hazeflow.plans.live import live_vectors
@@ -157,3 +157,34 @@ def test_alert_episodes(spark, tmp_path):
     hour = lambda t: (t - T0).total_seconds() / 3600
     got = sorted((r.city, hour(r.started_at), hour(r.ended_at), r.hours, r.peak) for r in spark.read.parquet(f"{out}/data").collect())
     assert got == [("a", 0, 2, 3, 310.0), ("a", 5, 5, 1, 155.0), ("b", 1, 1, 1, 151.0)]
+
+
+def test_change_rate_in_event_time(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    hour = lambda h: 1722470400000 + 3_600_000 * h
+    row = lambda c, h, y: {"city": c, "timestamp": None if h is None else hour(h), "target_aqi": y}
+    land(src, [
+        [row("a", 3, 13.0), row("a", 1, 11.0), row("b", 2, 5.0), row("a", None, 1.0), row(None, 1, 1.0)],
+        [row("a", 2, 20.0), row("b", 4, None), row("a", 4, 14.0), row("a", -1, 7.0)],
+        [row("b", 3, 4.0), row("b", 5, 1.0), row("a", 5, 10.0), row("c", 5, 9.0)],
+        [row("a", 12, 99.0)],
+        [row("a", 13, 1.0)],
+        [row("a", 4, 1000.0)],
+    ])
+    history = spark.createDataFrame([("a", hour(0), 10.0), ("b", hour(1), None)], "city string, timestamp long, target_aqi double")
+    s = stream(spark, src, "city string, timestamp bigint, target_aqi double")
+    dropped = run_to_table(change_rates_in_time(s, "6 hours", history), out)
+    got = sorted((r.city, (r.timestamp - hour(0)) // 3_600_000, r.target_aqi, r.aqi_change_rate) for r in spark.read.parquet(f"{out}/data").collect())
+    assert got == [
+        ("a", -1, 7.0, None), ("a", 1, 11.0, 1.0), ("a", 2, 20.0, 9.0), ("a", 3, 13.0, -7.0), ("a", 4, 14.0, 1.0), ("a", 5, 10.0, -4.0),
+        ("b", 2, 5.0, 0.0), ("b", 3, 4.0, -1.0), ("b", 4, None, 0.0), ("b", 5, 1.0, 0.0), ("c", 5, 9.0, 0.0),
+    ]
+    assert dropped == 1  # the second row of hour 4: its hour was given before
+
+
+def test_change_rate_in_event_time_without_history_or_rows(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    land(src, [[{"city": "a", "timestamp": 3_600_000 * h, "target_aqi": float(y)} for h, y in ((3, 4), (1, 1), (31, 9), (1, 1), (-5, 3))]])
+    run_to_table(change_rates_in_time(stream(spark, src, "city string, timestamp bigint, target_aqi double"), "1 hour"), out)
+    rows = sorted((r.timestamp // 3_600_000, r.aqi_change_rate) for r in spark.read.parquet(f"{out}/data").collect())
+    assert rows == [(1, 0.0), (1, 0.0), (3, 3.0)]
