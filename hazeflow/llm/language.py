@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -48,8 +49,10 @@ SEQUENCES, SEQUENCE_WORDS, STRETCH = 1000, 60, 10
 RIDGE = 1e-4
 RATE = 0.1
 BLOCK = 32
-SLICE_CHARS = 3_000_000
-CACHE = 300_000
+#: Characters tagged at once, and new words weighed at once: they bound a task's memory beside the words it keeps.
+SLICE_CHARS = 600_000
+EMIT_WORDS = 1 << 14
+CACHE = 200_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -342,8 +345,8 @@ class Tagger:
         lists = [words_of(t) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         numbers = np.fromiter((n for ws in lists for n in map(self.words.__getitem__, ws)), np.int64, int(counts.sum()))
-        if self.words.waiting:
-            self.known = np.concatenate((self.known, self.model.emissions(self.words.waiting)))
+        if new := self.words.waiting:
+            self.known = np.concatenate([self.known, *[self.model.emissions(new[a : a + EMIT_WORDS]) for a in range(0, len(new), EMIT_WORDS)]])
             self.words.waiting = []
         if not len(numbers):
             return [np.zeros((0, len(self.model.labels)))] * len(texts)
@@ -351,21 +354,23 @@ class Tagger:
         return np.split(found, np.cumsum(counts)[:-1])
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in stretches of about SLICE_CHARS, one at a time as Python strings."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
     a, chars = 0, 0
-    for i, t in enumerate(texts):
+    for i, n in enumerate(sizes.tolist()):
         if chars > SLICE_CHARS:
-            yield a, i
+            yield texts[a:i].to_pylist()
             a, chars = i, 0
-        chars += len(t or "")
+        chars += n
     if a < len(texts):
-        yield a, len(texts)
+        yield texts[a:].to_pylist()
 
 
-def _predicted(tagger: Tagger | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def _predicted(tagger: Tagger | None, texts: pa.Array) -> tuple[list[str], list[float]]:
     labels, scores = [], []
-    for a, b in _slices(texts):
-        for m in tagger.tag(texts[a:b]) if tagger else [()] * (b - a):
+    for some in _slices(texts):
+        for m in tagger.tag(some) if tagger else [()] * len(some):
             mean = m.mean(axis=0) if len(m) else None
             best = UNKNOWN if mean is None else tagger.model.labels[int(mean.argmax())]
             labels.append(best)
@@ -380,7 +385,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value) if shared.value else None
         for b in batches:
-            labels, scores = _predicted(tagger, b.column("text").to_pylist())
+            labels, scores = _predicted(tagger, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -394,9 +399,9 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for b in batches:
-            texts, rows = b.column("text").to_pylist(), []
-            for x, y in _slices(texts):
-                for m in tagger.tag(texts[x:y]):
+            rows = []
+            for some in _slices(b.column("text")):
+                for m in tagger.tag(some):
                     best = m.argmax(axis=1)
                     at = np.flatnonzero(np.r_[True, best[1:] != best[:-1]][: len(best)])
                     n = np.diff(np.r_[at, len(best)])
@@ -415,7 +420,7 @@ def recognised(docs: DataFrame, model: Model | None, least: float = 0.5) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value) if shared.value else None
         for b in batches:
-            labels, scores = _predicted(tagger, b.column(at).to_pylist())
+            labels, scores = _predicted(tagger, b.column(at))
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(labels, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,7 +1,9 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hazeflow.llm import language
@@ -88,3 +90,17 @@ def test_training_words_come_from_the_whole_text(make_docs):
     docs = make_docs([(i, en * 100 + de * 900, "de") for i in range(8)] + [(i, en * 50, "en") for i in range(8, 16)])
     model = language.fit(docs.select("doc_id", "text", "lang"), F.lit(True))
     assert "haus" in model.lexicon and language.fit(docs, F.lit(True), most_labels=1).labels == ["de"]
+
+
+def test_memory_of_a_tagging_task_is_bounded():
+    """A batch of texts is tagged in stretches: new words and word weights of all of it never stand in memory together."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, 8))) for _ in range(2500)) for _ in range(120)]
+    model = language.Model(list("abcd"), {}, rng.standard_normal((language.DIM, 4)), np.zeros((5, 4)), np.zeros((4, 4)))
+    tracemalloc.start()
+    labels, scores = language._predicted(language.Tagger(model), pa.array([*texts, None]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(labels) == 121 and (labels[-1], scores[-1]) == ("und", 0.0)
+    alone = [language._predicted(language.Tagger(model), pa.array([t])) for t in texts[::40]]
+    assert [x[0][0] for x in alone] == labels[:-1:40] and np.allclose([x[1][0] for x in alone], scores[:-1:40])
