@@ -5,6 +5,10 @@ growing, of all models, is one aggregate over (node, input, bin): a block adds u
 occurs, and the sums of a node meet in one task, which returns the node's best split. Only nodes reach the
 driver, one row each. Tasks get the nodes back and find every row's place by walking down.
 
+A node of at most ``NEAR_ROWS`` rows is grown to its end at once: its rows meet in one task, which goes on by the same sums and splits. So the number of jobs
+follows from how often the rows must be halved to get there, not from the depth of the trees. A forest's small nodes wait for each other and end in one job. Boosters do so
+up to ``NEAR_MODEL`` training rows; beyond, a level's sums are less to send than its rows.
+
 Sums are integers: gradients are rounded to a fixed point that fits the number of rows. So they do not depend on the order of
 addition, and trees not on partitioning, failures or the size of blocks. Equal gains go to the earlier input, then the lower bin.
 
@@ -46,6 +50,8 @@ PENALTY, LEAST_CHILD, LEAST_GAIN = 1.0, 1.0, 1e-6
 MARGIN_TREES = 8
 #: Sums that one task takes before another one is used.
 TASK_SUMS = 1 << 20
+#: Rows of a node that one task takes, training rows up to which boosters do so too, rows that a task grows side by side, and that it takes before another one is used.
+NEAR_ROWS, NEAR_MODEL, NEAR_CHUNK, TASK_ROWS = 1 << 14, 1 << 17, 1 << 15, 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,6 +161,10 @@ def row_weights(key: np.ndarray, spec: Spec, number: int) -> np.ndarray:
     return (chance(key, number, spec.seed) < spec.share).astype(np.int64)
 
 
+def _deepest(spec: Spec) -> int:
+    return np.iinfo(np.int16).max if spec.depth is None else spec.depth
+
+
 # --- nodes ---
 
 
@@ -227,25 +237,43 @@ class Level:
         return margin
 
 
-SUMS = "p int, key binary, g binary, h binary, rows binary"
+#: What a task sends of a block: sums by key, or rows (their places, gradients, weights and bins) of nodes that are grown to their end.
+SUMS = "p int, near boolean, key binary, g binary, h binary, rows binary, bins binary"
 
 
 def _merged(key: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sums of equal keys, in order of key."""
     if not len(key):
         return key, sums
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     return key[first], [np.add.reduceat(s[order], first) for s in sums]
 
 
-def histograms(block: Block, group: int, level: Level) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(key, [G, H, rows]) of a block; key is (place in the frontier, input, bin)."""
+def histogram(slot: np.ndarray, n_slots: int, bins: np.ndarray, g: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(key, [G, H, rows]) in order of key; key is (slot, input, bin). Large nodes count into all their bins, small ones are sorted."""
+    n, n_inputs = bins.shape
+    if n_slots * BINS > 2 * n:
+        key = ((slot[:, None] * n_inputs + np.arange(n_inputs)) * BINS + bins).ravel()
+        return _merged(key, [np.repeat(x, n_inputs) for x in (g, w, np.ones(n, np.int64))])
+    # Counting adds up doubles: gradients go in two parts, whose sums are exact.
+    parts, size = (g >> 24, g & 0xFFFFFF, w, None), n_slots * BINS
+    dense = np.empty((4, n_slots, n_inputs, BINS), np.int64)
+    for f in range(n_inputs):
+        key = slot * BINS + bins[:, f]
+        for k, x in enumerate(parts):
+            dense[k, :, f] = np.bincount(key, x, size).reshape(n_slots, BINS)
+    high, low, h, rows = dense.reshape(4, -1)
+    key = np.flatnonzero(rows)
+    return key, [(high[key] << 24) + low[key], h[key], rows[key]]
+
+
+def contributions(block: Block, group: int, level: Level, near: np.ndarray) -> Iterator[tuple[bool, np.ndarray, list[np.ndarray], np.ndarray | None]]:
+    """(near, key, sums, bins) of a block, tree by tree: sums by (place in the frontier, input, bin), and the rows of ``near`` places as they are."""
     place = np.full(len(level.left), -1, np.int64)
     place[level.frontier - level.offset] = np.arange(len(level.frontier))
-    keys, sums, margins = [], [[], [], []], {}
-    inputs = np.arange(level.n_inputs)[None, :]
+    margins = {}
     for model, number, root in level.growing:
         if model % level.groups != group:
             continue
@@ -258,16 +286,111 @@ def histograms(block: Block, group: int, level: Level) -> tuple[np.ndarray, list
             continue
         if model not in margins:
             margins[model] = np.rint((level.margin(block, model) - block.y) * level.scale).astype(np.int64)
-        own, w = margins[model][rows], weight[rows]
-        keys.append(((slot[:, None] * level.n_inputs + inputs) * BINS + block.bins[rows]).ravel())
-        for to, values in zip(sums, (own * w, w, np.ones(len(rows), np.int64))):
-            to.append(np.repeat(values, level.n_inputs))
-    if not keys:
-        return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 3
-    return _merged(np.concatenate(keys), [np.concatenate(s) for s in sums])
+        w, close = weight[rows], near[slot]
+        own = margins[model][rows] * w
+        if close.any():
+            yield True, slot[close], [own[close], w[close], np.zeros(0, np.int64)], block.bins[rows[close]]
+        if not close.all():
+            far = ~close
+            places, at = np.unique(slot[far], return_inverse=True)
+            key, sums = histogram(at, len(places), block.bins[rows[far]], own[far], w[far])
+            stretch = level.n_inputs * BINS
+            yield False, places[key // stretch] * stretch + key % stretch, sums, None
+
+
+@dataclass
+class Limits:
+    """Of the places of a frontier: penalty, smallest gain, levels still allowed below, smallest split, and whether one task ends them."""
+
+    penalty: np.ndarray
+    least: np.ndarray
+    deeper: np.ndarray
+    fewest: np.ndarray
+    near: np.ndarray
+
+    def of(self, places: np.ndarray) -> Limits:
+        return Limits(*(getattr(self, f)[places] for f in ("penalty", "least", "deeper", "fewest", "near")))
+
 
+GROWN = "slot int, node int, left int, depth short, feature short, bin short, gain double, g long, h long, n long"
+GROWN_TYPES = {"slot": np.int32, "node": np.int32, "left": np.int32, "depth": np.int16, "feature": np.int16, "bin": np.int16, "gain": np.float64, "g": np.int64, "h": np.int64, "n": np.int64}
 
-SPLIT = "slot long, feature int, bin int, gain double, gl long, hl long, nl long, g long, h long, n long"
+
+class Part:
+    """Nodes below places of a frontier as a task finds them. ``node`` numbers them within their place, 0 is the place itself; children are ``left`` and ``left + 1``."""
+
+    def __init__(self, n_places: int) -> None:
+        self.found, self.count = [], np.ones(n_places, np.int64)
+
+    def enter(self, place: np.ndarray, node: np.ndarray, depth: int, s: dict[str, np.ndarray], limits: Limits) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Add nodes with the split of each; returns (whether it is made, (place, node, g, h, rows) of the children, in pairs). Nodes come in order of place."""
+        made = (s["feature"] >= 0) & (depth < limits.deeper[place]) & (s["n"] >= limits.fewest[place])
+        parent = place[made]
+        rank = np.arange(len(parent)) - np.searchsorted(parent, parent)
+        child = self.count[parent] + 2 * rank
+        self.count += 2 * np.bincount(parent, minlength=len(self.count))
+        left = np.full(len(place), -1, np.int64)
+        left[made] = child
+        self._add(place, node, left, depth, np.where(made, s["feature"], -1), np.where(made, s["bin"], 0), np.where(made, s["gain"], 0.0), s["g"], s["h"], s["n"])
+        both = lambda a, b: np.stack((a, b), axis=1).ravel()
+        below = [both(s[c + "l"][made], s[c][made] - s[c + "l"][made]) for c in "ghn"]
+        return made, (np.repeat(parent, 2), both(child, child + 1), *below)
+
+    def leaves(self, place: np.ndarray, node: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, depth: int) -> None:
+        none = np.full(len(place), -1, np.int64)
+        self._add(place, node, none, depth, none, none + 1, np.zeros(len(place)), g, h, n)
+
+    def _add(self, place, node, left, depth, *rest) -> None:
+        self.found.append([x.astype(t) for x, t in zip((place, node, left, np.full(len(place), depth), *rest), GROWN_TYPES.values())])
+
+    def batch(self, slots: np.ndarray) -> pa.RecordBatch:
+        """The nodes, those of a place together and in order of their number."""
+        columns = [np.concatenate(x) for x in zip(*self.found)]
+        order = np.lexsort((columns[1], columns[0]))
+        columns[0] = slots[columns[0]].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0][order]), *[pa.array(x[order]) for x in columns[1:]]], names=list(GROWN_TYPES))
+
+
+def one_level(key: np.ndarray, sums: list[np.ndarray], n_inputs: int, scale: float, limits: Limits) -> pa.RecordBatch:
+    """The nodes of the sums, each with its best split and children."""
+    s = best_splits(key, sums, n_inputs, scale, limits.penalty, limits.least)
+    slots = s["slot"]
+    part, place = Part(len(slots)), np.arange(len(slots))
+    _, (of, node, g, h, n) = part.enter(place, np.zeros(len(slots), np.int64), 0, s, limits.of(slots))
+    part.leaves(of, node, g, h, n, 1)
+    return part.batch(slots)
+
+
+def to_the_end(slot: np.ndarray, bins: np.ndarray, g: np.ndarray, w: np.ndarray, scale: float, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """All nodes below the places of these rows, some places at a time."""
+    order = np.argsort(slot, kind="stable")
+    slots, first = np.unique(slot[order], return_index=True)
+    ends, a = np.r_[first[1:], len(order)], 0
+    while a < len(slots):
+        b = max(a + 1, int(np.searchsorted(ends, first[a] + NEAR_CHUNK, "right")))
+        rows = order[first[a] : ends[b - 1]]
+        yield _grown(np.searchsorted(slots[a:b], slot[rows]), bins[rows], g[rows], w[rows], scale, limits.of(slots[a:b])).batch(slots[a:b])
+        a = b
+
+
+def _grown(at: np.ndarray, bins: np.ndarray, g: np.ndarray, w: np.ndarray, scale: float, limits: Limits) -> Part:
+    n_places = len(limits.least)
+    part, place, node, depth = Part(n_places), np.arange(n_places), np.zeros(n_places, np.int64), 0
+    while len(place):
+        key, sums = histogram(at, len(place), bins, g, w)
+        s = best_splits(key, sums, bins.shape[1], scale, limits.penalty[place], limits.least[place])
+        made, below = part.enter(place, node, depth, s, limits)
+        depth += 1
+        on = (depth < limits.deeper[below[0]]) & (below[4] >= np.maximum(limits.fewest[below[0]], 2))
+        part.leaves(*[x[~on] for x in below], depth)
+        # Rows go to their child, if it can be split in turn.
+        rows = np.flatnonzero(made[at])
+        here = at[rows]
+        child = 2 * (np.cumsum(made) - 1)[here] + (bins[rows, s["feature"][here]] > s["bin"][here])
+        rows, child = rows[on[child]], child[on[child]]
+        at, bins, g, w = (np.cumsum(on) - 1)[child], bins[rows], g[rows], w[rows]
+        place, node = below[0][on], below[1][on]
+    return part
 
 
 def best_splits(key: np.ndarray, sums: list[np.ndarray], n_inputs: int, scale: float, penalty: np.ndarray, least: np.ndarray) -> dict[str, np.ndarray]:
@@ -303,30 +426,37 @@ class Growth:
 
     def __init__(self, stored: DataFrame, specs: list[Spec], n_inputs: int) -> None:
         self.spark, self.specs, self.n_inputs = stored.sparkSession, specs, n_inputs
+        self.cores = self.spark.sparkContext.defaultParallelism
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.nodes, self.roots = Nodes(), [[] for _ in specs]
         by_fold = _label_sums(stored)
         n, most = sum(x[0] for x in by_fold.values()), max([1.0, *(x[2] for x in by_fold.values())])
         self.base = [_mean(by_fold, s.fold) for s in specs]
+        self.rows_of = np.array([sum(x[0] for f, x in by_fold.items() if f != s.fold or s.fold == NO_FOLD) for s in specs], np.int64)
         # Sums of n gradients, weights up to 32, stay below 2^62.
         self.scale = 2.0 ** min(30, 56 - int(np.ceil(np.log2(n + 2))) - int(np.ceil(np.log2(4 * most))))
         n_blocks = stored.count()
-        self.groups = max(1, min(len(specs), -(-self.parts // max(1, n_blocks))))
+        self.groups = max(1, min(len(specs), -(-self.cores // max(1, n_blocks))))
+        self.tasks = max(1, min(max(self.parts, self.cores), n_blocks * self.groups))
         units = stored.select("n", "key", "bins", "y", "fold", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("group"), F.lit(None).cast("binary").alias("margin"))
-        self.units = units.repartition(self.parts).persist()
+        self.units = units.repartition(self.tasks).persist()
         self.offset, self.since = 0, {m: [] for m in range(len(specs))}
         self.levels = 0
 
-    def values(self, cut: slice = slice(None)) -> np.ndarray:
+    def values(self, cut: slice | np.ndarray = slice(None)) -> np.ndarray:
         """What a leaf adds to the prediction."""
         model, h = self.model_of[self.nodes.tree[cut]], self.nodes.h[cut]
         penalty, rate = (np.array([getattr(s, k) for s in self.specs])[model] for k in ("penalty", "rate"))
-        return -(self.nodes.g[cut] / self.scale) / np.maximum(h + penalty, 1e-300) * rate * (h > 0)
+        found = self.nodes.g[cut] / -self.scale
+        found /= np.maximum(h + penalty, 1e-300)
+        found *= rate
+        found *= h > 0
+        return found
 
     @property
     def model_of(self) -> np.ndarray:
         """The model of every tree."""
-        return np.array(self._tree_model, np.int64)
+        return np.array(self._tree_model, np.int32)
 
     def grow(self) -> Growth:
         """All trees of all specs; a forest's grow side by side, a booster's one after the other."""
@@ -334,7 +464,8 @@ class Growth:
         growing: dict[int, int] = {}  # tree -> root
         frontier = self._plant([m for m, s in enumerate(self.specs) for _ in range(s.trees if s.forest else min(1, s.trees))], growing)
         while len(frontier):
-            frontier = self._split(self._level(growing, frontier))
+            now, later = self._next(frontier)
+            frontier = np.concatenate((self._split(self._level(growing, now)), later))
             still = set(self.nodes.tree[frontier].tolist())
             again = []
             for tree in [t for t in growing if t not in still]:
@@ -353,7 +484,9 @@ class Growth:
     def _plant(self, models: list[int], growing: dict[int, int]) -> np.ndarray:
         """A new tree for each of the models; their roots."""
         first = len(self._tree_model)
-        roots = self.nodes.add(np.arange(first, first + len(models)), *np.zeros((4, len(models)), np.int64))
+        none = np.zeros(len(models), np.int64)
+        # A root's rows are not counted yet: at most all of its model.
+        roots = self.nodes.add(np.arange(first, first + len(models)), none, none, none, self.rows_of[models] if models else none)
         for tree, (model, root) in enumerate(zip(models, roots.tolist()), first):
             self._tree_model.append(model)
             self._tree_number.append(len(self.roots[model]))
@@ -372,30 +505,51 @@ class Growth:
     def _models_in(self, group: int) -> int:
         return len(range(group, len(self.specs), self.groups))
 
+    def _near(self, nodes: np.ndarray) -> np.ndarray:
+        model = self.model_of[self.nodes.tree[nodes]]
+        able = np.array([s.forest for s in self.specs]) | (self.rows_of <= NEAR_MODEL)
+        return able[model] & (self.nodes.rows[nodes] <= NEAR_ROWS)
+
+    def _next(self, frontier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes of the next job, nodes that wait): a forest's small nodes wait until there are no others."""
+        forest = np.array([s.forest for s in self.specs])[self.model_of[self.nodes.tree[frontier]]]
+        near = self._near(frontier)
+        wait = forest & near & bool((forest & ~near).any())
+        return frontier[~wait], frontier[wait]
+
     def _level(self, growing: dict[int, int], frontier: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """(frontier, the best split of each of its nodes): one shuffle."""
+        """(frontier, the nodes found below it): one shuffle."""
         self.levels += 1
-        of_node = self.model_of[self.nodes.tree[frontier]]
-        penalty = np.array([s.penalty for s in self.specs])[of_node]
+        of_node, near = self.model_of[self.nodes.tree[frontier]], self._near(frontier)
+        penalty, fewest, deepest = (np.array([f(s) for s in self.specs])[of_node] for f in (lambda s: s.penalty, lambda s: s.least_rows, _deepest))
         least = np.array([0.0 if s.forest else LEAST_GAIN for s in self.specs])[of_node]
-        shared = self.spark.sparkContext.broadcast((self._state(growing, frontier), penalty, least))
-        # Tasks as the sums may need: a node has at most BINS of every input.
-        n_parts = max(1, min(self.parts, len(frontier) * self.n_inputs * BINS // TASK_SUMS))
+        limits = Limits(penalty, least, deepest - self.nodes.depth[frontier], fewest, near)
+        here = set(self.nodes.tree[frontier].tolist())
+        shared = self.spark.sparkContext.broadcast((self._state({t: r for t, r in growing.items() if t in here}, frontier), limits))
+        # Tasks as the sums and rows may need: a node has at most BINS of every input.
+        n_near, n_far = int(near.sum()), int((~near).sum())
+        far_parts = min(self.parts, n_far * self.n_inputs * BINS // TASK_SUMS)
+        near_parts = min(n_near, max(self.cores, int(self.nodes.rows[frontier[near]].sum()) // TASK_ROWS))
+        n_parts = max(1, far_parts, near_parts)
         n_inputs, scale, models_in = self.n_inputs, self.scale, [self._models_in(k) for k in range(self.groups)]
+        types = ("<i8", "<i8", "<i8", "<i8", "u1")
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     block = Block.of(row, n_inputs, models_in[row["group"]])
-                    key, sums = histograms(block, row["group"], shared.value[0])
-                    to = key // (BINS * n_inputs) % n_parts
-                    for p in np.unique(to):
-                        own = to == p
-                        columns = [pa.array([x[own].astype("<i8").tobytes()], pa.binary()) for x in (key, *sums)]
-                        yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), *columns], names=["p", "key", "g", "h", "rows"])
+                    for close, key, sums, bins in contributions(block, row["group"], shared.value[0], shared.value[1].near):
+                        to = (key if close else key // (BINS * n_inputs)) % n_parts
+                        ps, out = np.unique(to), []
+                        for p in ps:
+                            own = to == p
+                            out.append([x[own] if len(x) else x for x in (key, *sums, np.zeros(0, np.uint8) if bins is None else bins)])
+                        columns = [pa.array([x.astype(t).tobytes() for x in c], pa.binary()) for c, t in zip(zip(*out), types)]
+                        yield pa.RecordBatch.from_arrays([pa.array(ps.astype(np.int32)), pa.array([close] * len(ps)), *columns], names=["p", "near", "key", "g", "h", "rows", "bins"])
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, sums, waiting, size = np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 3, [], 0
+            limits = shared.value[1]
+            key, sums, waiting, size, rows = np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 3, [], 0, []
             read = lambda x: np.frombuffer(x, "<i8")
 
             def merge():
@@ -404,6 +558,9 @@ class Growth:
 
             for batch in batches:
                 for row in batch.to_pylist():
+                    if row["near"]:
+                        rows.append((read(row["key"]), np.frombuffer(row["bins"], np.uint8).reshape(-1, n_inputs), read(row["g"]), read(row["h"])))
+                        continue
                     waiting.append([read(row[c]) for c in ("key", "g", "h", "rows")])
                     size += len(waiting[-1][0])
                     if size > max(1 << 20, 2 * len(key)):
@@ -411,34 +568,35 @@ class Growth:
                         waiting, size = [], 0
             key, sums = merge() if waiting else (key, sums)
             if len(key):
-                found = best_splits(key, sums, n_inputs, scale, *shared.value[1:])
-                kinds = {"feature": pa.int32(), "bin": pa.int32(), "gain": pa.float64()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in found.items()], names=list(found))
+                yield one_level(key, sums, n_inputs, scale, limits)
+            if rows:
+                slot, bins, g, w = (np.concatenate(x) for x in zip(*rows))
+                rows.clear()
+                yield from to_the_end(slot, bins, g, w, scale, limits)
 
         sums = self.units.mapInArrow(add_up, SUMS)
-        table = sums.repartition(n_parts, "p").mapInArrow(choose, SPLIT).toArrow().sort_by("slot")
+        table = sums.repartitionById(n_parts, "p").mapInArrow(choose, GROWN).toArrow()
         shared.destroy()
         return frontier, {c: table.column(c).to_numpy() for c in table.column_names}
 
     def _split(self, level: tuple[np.ndarray, dict[str, np.ndarray]]) -> np.ndarray:
-        """Enter the splits; returns the children that can be split in turn."""
+        """Enter the nodes; returns those that can be split in turn."""
         frontier, s = level
-        here = frontier[s["slot"]]
-        nodes = self.nodes
-        nodes.g[here], nodes.h[here], nodes.rows[here] = s["g"], s["h"], s["n"]  # a root's, so far unknown
-        depth, model = nodes.depth[here], self.model_of[nodes.tree[here]]
-        deepest = np.array([np.iinfo(np.int16).max if x.depth is None else x.depth for x in self.specs])
-        fewest = np.array([x.least_rows for x in self.specs])
-        made = (s["feature"] >= 0) & (depth < deepest[model]) & (s["n"] >= fewest[model])
-        parent, s = here[made], {c: v[made] for c, v in s.items()}
-        both = lambda a, b: np.stack((a, b), axis=1).ravel()
-        children = nodes.add(
-            np.repeat(nodes.tree[parent], 2), np.repeat(nodes.depth[parent] + 1, 2),
-            both(s["gl"], s["g"] - s["gl"]), both(s["hl"], s["h"] - s["hl"]), both(s["nl"], s["n"] - s["nl"]),
-        )
-        nodes.left[parent], nodes.feature[parent], nodes.bin[parent], nodes.gain[parent] = children[::2], s["feature"], s["bin"], s["gain"]
-        model = self.model_of[nodes.tree[children]]
-        return children[(nodes.depth[children] < deepest[model]) & (nodes.rows[children] >= np.maximum(fewest[model], 2))]
+        nodes, near, old = self.nodes, self._near(frontier), len(self.nodes)
+        nodes.rows[frontier] = 0
+        top = s["node"] == 0
+        here, above = frontier[s["slot"][top]], frontier[s["slot"][~top]]
+        # A place's nodes come together: its first child has the number of all children before.
+        before = old + np.cumsum(~top)[top]
+        left = np.where(s["left"] >= 0, np.repeat(before, np.diff(np.r_[np.flatnonzero(top), len(top)])) + s["left"] - 1, -1)
+        nodes.g[here], nodes.h[here], nodes.rows[here] = s["g"][top], s["h"][top], s["n"][top]
+        below = nodes.add(nodes.tree[above], nodes.depth[above] + s["depth"][~top], s["g"][~top], s["h"][~top], s["n"][~top])
+        for to, of in ((here, top), (below, ~top)):
+            nodes.left[to], nodes.feature[to], nodes.bin[to], nodes.gain[to] = left[of], s["feature"][of], s["bin"][of], s["gain"][of]
+        open_ = below[~near[s["slot"][~top]]]
+        model = self.model_of[nodes.tree[open_]]
+        deepest, fewest = (np.array([f(x) for x in self.specs])[model] for f in (_deepest, lambda x: x.least_rows))
+        return open_[(nodes.depth[open_] < deepest) & (nodes.rows[open_] >= np.maximum(fewest, 2))]
 
     def _write_margins(self, growing: dict[int, int]) -> None:
         """Margins with all finished trees, written, so that no level walks down more than a few trees of a model."""
@@ -453,7 +611,7 @@ class Growth:
                     margins = np.stack([shared.value.margin(block, m) for m in range(row["group"], n_models, groups)])
                     yield pa.RecordBatch.from_pylist([{**row, "margin": margins.astype("<f8").tobytes()}], schema=batch.schema)
 
-        old, self.units = self.units, materialize(self.units.mapInArrow(update, self.units.schema), "tree-margins").repartition(self.parts).persist()
+        old, self.units = self.units, materialize(self.units.mapInArrow(update, self.units.schema), "tree-margins").repartition(self.tasks).persist()
         old.unpersist()
         self.since = {m: [] for m in self.since}
         self.offset = min(growing.values(), default=len(self.nodes))
@@ -497,22 +655,38 @@ class Growth:
         """One model of its first ``trees``, its trees stopped at ``depth`` and below ``least_rows`` rows."""
         n, spec = self.nodes, self.specs[index]
         stop = (n.depth >= (np.iinfo(np.int16).max if depth is None else depth)) | (n.rows < least_rows)
-        left, value, kept, table = np.where(stop, -1, n.left), self.values(), self.roots[index][:trees], []
-        for tree, root in enumerate(kept):
-            order, numbers = [root], {root: 0}
-            for node in order:
-                if left[node] >= 0:
-                    for child in (int(left[node]), int(left[node]) + 1):
-                        numbers[child] = len(order)
-                        order.append(child)
-            for node in order:
-                inner = left[node] >= 0
-                table.append((
-                    tree, numbers[node], int(n.feature[node]) if inner else -1, edges[n.feature[node]][n.bin[node]] if inner else 0.0,
-                    numbers[int(left[node])] if inner else -1, float(n.gain[node]) if inner else 0.0, int(n.rows[node]), int(n.h[node]),
-                    float(value[node]) / (len(kept) if spec.forest else 1),
-                ))
-        return TreeModel(cols, self.base[index], pd.DataFrame(table, columns=NODE_COLUMNS))
+        left, kept = np.where(stop, np.int32(-1), n.left), np.array(self.roots[index][:trees], np.int64)
+        # Level by level through all trees: a node's number is that of its place in its tree, breadth first.
+        tree, here, count, levels = np.arange(len(kept)), kept, np.zeros(len(kept), np.int64), []
+        while len(here):
+            levels.append((tree, here, count[tree] + np.arange(len(tree)) - np.searchsorted(tree, tree)))
+            count += np.bincount(tree, minlength=len(count))
+            inner = left[here] >= 0
+            tree, here = np.repeat(tree[inner], 2), (left[here[inner]][:, None] + np.arange(2)).ravel()
+        first, number = np.cumsum(count) - count, np.empty(len(n), np.int32)
+        order = np.empty(int(count.sum()), np.int32)
+        for tree, here, numbers in levels:
+            number[here] = numbers
+            order[first[tree] + numbers] = here
+        levels.clear()
+        limit = np.zeros((len(edges), BINS))
+        for i, e in enumerate(edges):
+            limit[i, : len(e)] = e
+        inner = left[order] >= 0
+        inside = order[inner]
+
+        def where_inner(values: np.ndarray, other: float, kind: type) -> np.ndarray:
+            out = np.full(len(order), other, kind)
+            out[inner] = values
+            return out
+
+        # One column after the other: a forest's table is large, and needs to be held once only.
+        table = {
+            "tree": np.repeat(np.arange(len(kept), dtype=np.int32), count), "node": number[order], "feature": where_inner(n.feature[inside], -1, np.int32),
+            "threshold": where_inner(limit[n.feature[inside], n.bin[inside]], 0.0, np.float64), "left": where_inner(number[left[inside]], -1, np.int32),
+            "gain": where_inner(n.gain[inside], 0.0, np.float64), "rows": n.rows[order], "weight": n.h[order], "value": self.values(order) / (len(kept) if spec.forest else 1),
+        }
+        return TreeModel(cols, self.base[index], pd.DataFrame(table, copy=False))
 
 
 def _label_sums(stored: DataFrame) -> dict[int, tuple[int, int, float]]:
@@ -545,8 +719,13 @@ class TreeModel:
 
     def __init__(self, cols: list[str], base: float, nodes: pd.DataFrame) -> None:
         self.cols, self.base = list(cols), base
-        kinds = {**dict.fromkeys(NODE_COLUMNS, "int64"), **dict.fromkeys(("threshold", "gain", "value"), "float64")}
-        self.nodes = nodes.astype(kinds).sort_values(["tree", "node"], ignore_index=True)
+        kinds = {**dict.fromkeys(NODE_COLUMNS, "int32"), **dict.fromkeys(("threshold", "gain", "value"), "float64"), "rows": "int64", "weight": "int64"}
+        if (wrong := {c: k for c, k in kinds.items() if nodes[c].dtype != k}) or list(nodes) != NODE_COLUMNS:
+            nodes = nodes[NODE_COLUMNS].astype(wrong)
+        tree, node = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
+        if ((tree[1:] < tree[:-1]) | ((tree[1:] == tree[:-1]) & (node[1:] < node[:-1]))).any():
+            nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
+        self.nodes = nodes
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         """(roots, feature, threshold, left, value, weight) with nodes numbered through."""

@@ -131,6 +131,26 @@ def test_same_trees_for_any_partitioning(rows, monkeypatch):
     assert a.levels == b.levels
 
 
+def test_small_nodes_end_in_one_job(rows, monkeypatch):
+    """Trees that tasks grow to their end, from the root or from some levels below, are those grown level by level; a level's job is saved for each."""
+    edges = bin_edges(rows, COLS)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 64)
+    stored = blocks(with_fold(rows, 3), COLS, edges, "fold")
+    specs = [Spec(3, forest=True, fold=1), Spec(2, 4, forest=True, least_rows=5), Spec(3, 4, 0.3, 0.7), Spec(2, 2, 0.5, fold=0)]
+    near, chunk = T.NEAR_ROWS, T.NEAR_CHUNK
+    grown = {}
+    for most, together in ((0, chunk), (40, 30), (near, 300)):
+        monkeypatch.setattr(T, "NEAR_ROWS", most)
+        monkeypatch.setattr(T, "NEAR_CHUNK", together)
+        grown[most] = Growth(stored, specs, 3).grow()
+    for i, s in enumerate(specs):
+        tables = [g.model(i, COLS, edges, least_rows=s.least_rows).nodes for g in grown.values()]
+        assert len(tables[0]) > 9 and tables[0].equals(tables[1]) and tables[0].equals(tables[2])
+    assert grown[near].levels == 3 < grown[0].levels
+    monkeypatch.setattr(T, "NEAR_MODEL", 10)
+    assert Growth(stored, specs[2:3], 3).grow().levels > 3
+
+
 def test_margins_written_on_the_way_change_nothing(rows, monkeypatch):
     few = fit_trees(rows, COLS, Spec(5, 2, 0.3, 0.8))
     monkeypatch.setattr(T, "MARGIN_TREES", 1)
