@@ -1,6 +1,6 @@
 """Grid search in shared passes over the training blocks.
 
-Settings and folds are models that grow together: a level of all of them is one aggregate (see ``trees``). What is the same is grown once:
+Settings are models that grow together, boosters those of all folds: a level of all of them is one aggregate (see ``trees``). What is the same is grown once:
 
 * Boosting's first n rounds are the model of n rounds, so one model per (rate, depth, share) serves every number of rounds.
 * A forest's splits do not depend on how deep its trees may go or which nodes are too small to split: one forest per fold, grown to the loosest limits, serves
@@ -73,12 +73,18 @@ def grid_search(train: DataFrame, test: DataFrame, kind: str, grid: dict | None
     edges = bin_edges(usable, cols)
     stored = blocks(with_fold(usable, folds), cols, edges, "fold")
     specs, variants = _plan(kind, settings, [*range(folds), NO_FOLD])
-    grown = Growth(stored, specs, len(cols)).grow()
-    measured = [k for k in variants if k[1] != NO_FOLD]
-    scores = dict(zip(measured, (r2_of(*e) for e in grown.squared_errors(stored, [variants[k] for k in measured]))))
+    scores = {}
+    # Forests are grown in a few jobs, so one fold's after the other: their nodes need not be held together. Boosters take many, so all grow together.
+    for some in [[i] for i in range(len(specs))] if kind == "forest" else [[*range(len(specs))]]:
+        grown = Growth(stored, [specs[i] for i in some], len(cols)).grow()
+        own = {k: (some.index(v[0]), *v[1:]) for k, v in variants.items() if v[0] in some}
+        measured = [k for k in own if k[1] != NO_FOLD]
+        if measured:
+            scores.update(zip(measured, (r2_of(*e) for e in grown.squared_errors(stored, [own[k] for k in measured]))))
+    # The models of all training rows came last, or with all others.
     results = [(s, sum(scores[i, f] for f in range(folds)) / folds) for i, s in enumerate(settings)]
     best = max(range(len(settings)), key=lambda i: results[i][1])
-    index, trees, depth, least = variants[best, NO_FOLD]
+    index, trees, depth, least = own[best, NO_FOLD]
     model = grown.model(index, cols, edges, trees, depth, least)
     row = regression_metrics(model.transform(test), LABEL_COL).first()
     return model, {m: row[m] for m in METRICS}, results
