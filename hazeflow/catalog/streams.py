@@ -19,8 +19,8 @@ from .features import _category_sql, features_of
 from .live import HAZARD_THRESHOLD, LANDED_VECTORS
 
 
-#: Micro-batches that a table is fed in.
-SLICES = 4
+#: Micro-batches that a table is fed in, and rows of one file of a micro-batch: the tasks of a micro-batch are its files.
+SLICES, FILE_ROWS = 4, 1 << 16
 
 
 def _event_stream(spark, sf_dir):
@@ -29,18 +29,27 @@ def _event_stream(spark, sf_dir):
 
 
 def _in_time_order(df, ts, purpose, bounds=None):
-    """Land a table as one file per stretch of time, one after the other, and read it as a stream of micro-batches. Rows without a time come first."""
+    """Land a table stretch of time by stretch of time, and read it as a stream of one micro-batch per stretch. Rows without a time come first.
+
+    A stretch has as many files as its rows need, but all stretches the same number, which is what a micro-batch takes: one with too few rows is filled up with empty files.
+    """
     spark = pin_utc(df.sparkSession)
     path = work_dir(spark, purpose)
     bounds = bounds or _bounds(df, ts)
+    stretches = []
     for lower, upper in zip([None, *bounds], [*bounds, None]):
-        part = df
-        if lower is not None:
-            part = part.where(F.col(ts) >= F.lit(lower))
+        inside = F.lit(True) if lower is None else F.col(ts) >= F.lit(lower)
         if upper is not None:
-            part = part.where((F.col(ts) < F.lit(upper)) | (F.col(ts).isNull() if lower is None else F.lit(False)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            inside = inside & ((F.col(ts) < F.lit(upper)) | (F.col(ts).isNull() if lower is None else F.lit(False)))
+        stretches.append(inside)
+    rows = df.agg(*[F.count_if(inside).alias(f"n{i}") for i, inside in enumerate(stretches)]).first()
+    n_files = max(1, -(-max(rows) // FILE_ROWS))
+    for k, inside in enumerate(stretches, 1):
+        part = df.where(inside)
+        (part.coalesce(1) if n_files == 1 else part.repartition(n_files)).write.mode("append").parquet(path)
+        for _ in range(k * n_files - len(spark.read.schema(df.schema).parquet(path).inputFiles())):
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n_files).parquet(path)
 
 
 def _bounds(df, ts):

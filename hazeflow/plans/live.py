@@ -29,7 +29,11 @@ def vectors_from_records(records: DataFrame, ts: str, impute_weather: bool = Fal
 
 def live_vectors(landed: DataFrame, impute_weather: bool = False) -> tuple[DataFrame, DataFrame]:
     """Feature vectors with a label (plus source and label_scale), and rejects with a reason."""
-    decoded = decode_cycle(landed)
+    return decoded_vectors(decode_cycle(landed), impute_weather)
+
+
+def decoded_vectors(decoded: DataFrame, impute_weather: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``live_vectors`` of payloads that are decoded; both results read them, so a job that wants both keeps them."""
     usable = F.col("source").isNotNull()
     vectors = vectors_from_records(decoded.where(usable), "fetched_at", impute_weather)
     labelled, unlabelled = enrich.split_labelled(vectors)

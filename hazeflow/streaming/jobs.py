@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import aqi_category
 from ..operators.store import latest_wins, merge_into_table
-from ..plans.live import live_vectors
+from ..plans.live import decoded_vectors
+from ..sources.payloads import decode_cycle
 from ..sources.tables import write_dead_letters
 
 SALTS = 16
@@ -281,16 +282,17 @@ def run_features(landed: DataFrame, table: str, dead_letters: str, checkpoint: s
     """Raw payloads to the feature table, and what cannot be used to the dead letters."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        has_key = F.col("city").isNotNull() & F.col("fetched_at").isNotNull()
+        # Parsed once, for the table and for the dead letters.
+        decoded = decode_cycle(batch.where(has_key)).persist()
         try:
-            has_key = F.col("city").isNotNull() & F.col("fetched_at").isNotNull()
-            vectors, rejects = live_vectors(batch.where(has_key))
+            vectors, rejects = decoded_vectors(decoded)
             merge_into_table(vectors, table, first_seq + batch_id)
             rejects = rejects.unionByName(batch.where(~has_key).select(*rejects.drop("reject_reason").columns, F.lit("no_key").alias("reject_reason")))
             # At least once: a repeated batch repeats its rejects, told apart by batch_id.
             write_dead_letters(rejects.withColumn("batch_id", F.lit(batch_id)), dead_letters)
         finally:
-            batch.unpersist()
+            decoded.unpersist()
 
     _run_batches(landed.writeStream, store, checkpoint)
 

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from hazeflow.catalog import streams
 from hazeflow.schema import LANDED_SCHEMA
 from hazeflow.sources.tables import feature_scan, read_landed, read_landed_stream
 from hazeflow.streaming import (
@@ -188,3 +189,18 @@ def test_change_rate_in_event_time_without_history_or_rows(spark, tmp_path):
     run_to_table(change_rates_in_time(stream(spark, src, "city string, timestamp bigint, target_aqi double"), "1 hour"), out)
     rows = sorted((r.timestamp // 3_600_000, r.aqi_change_rate) for r in spark.read.parquet(f"{out}/data").collect())
     assert rows == [(1, 0.0), (1, 0.0), (3, 3.0)]
+
+
+def test_stretches_in_several_files_are_micro_batches(spark, tmp_path, monkeypatch):
+    """A stretch in several files is one micro-batch of several tasks; one with fewer rows than files does not shift those behind it."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 40)
+    at = [*range(100), 100, 150, *range(300, 400), None, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "id long, ts long")
+    seen = []
+
+    def note(batch, batch_id):
+        seen.append((sorted(r.id for r in batch.collect()), batch.select(F.spark_partition_id()).distinct().count()))
+
+    stream = streams._in_time_order(df, "ts", "several", [100, 200, 300])
+    stream.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    assert [s[0] for s in seen] == [[*range(100), 202, 203], [100, 101], [], [*range(102, 202)]] and seen[0][1] > 1
