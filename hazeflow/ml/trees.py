@@ -781,8 +781,8 @@ def descend(x: np.ndarray, root: int, feature: np.ndarray, threshold: np.ndarray
     return node
 
 
-def fit_trees(train: DataFrame, cols: list[str], spec: Spec, label: str = LABEL_COL) -> TreeModel:
+def fit_trees(train: DataFrame, cols: list[str], spec: Spec, label: str = LABEL_COL, bins: int = BINS) -> TreeModel:
     """One boosted model or forest."""
-    edges = bin_edges(train.select(*cols, label).dropna(), cols)
+    edges = bin_edges(train.select(*cols, label).dropna(), cols, bins)
     grown = Growth(blocks(train, cols, edges, label=label), [spec], len(cols)).grow()
     return grown.model(0, cols, edges, least_rows=spec.least_rows)

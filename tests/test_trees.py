@@ -151,6 +151,13 @@ def test_small_nodes_end_in_one_job(rows, monkeypatch):
     assert Growth(stored, specs[2:3], 3).grow().levels > 3
 
 
+def test_forest_with_few_bins_and_limited_depth(rows):
+    """The settings of MLlib's forest: fewer bins, a largest depth."""
+    nodes = fit_trees(rows, COLS, Spec(3, 4, forest=True), bins=8).nodes
+    inner = nodes[nodes["feature"] >= 0]
+    assert inner.groupby("feature")["threshold"].nunique().max() <= 7 and len(nodes) <= 3 * 31 and nodes["rows"].iloc[0] > 100
+
+
 def test_margins_written_on_the_way_change_nothing(rows, monkeypatch):
     few = fit_trees(rows, COLS, Spec(5, 2, 0.3, 0.8))
     monkeypatch.setattr(T, "MARGIN_TREES", 1)
