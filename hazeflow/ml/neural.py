@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,36 +143,78 @@ class NeuralUnit:
 NEURAL_SCHEMA = "inputs array<string>, parameters array<double>, history array<double>"
 
 
+class _Steps:
+    """Adam on minibatches of the mean squared error, with inverted dropout on the hidden layers: ``gradient`` and the update, in place."""
+
+    def __init__(self, state: np.ndarray, n_inputs: int, step: int, rng: np.random.Generator) -> None:
+        self.flat, self.m, self.v = (x.copy() for x in np.split(state, 3))
+        self.t, self.rng = step, rng
+        self.g, self.a, self.b = (np.empty_like(self.flat) for _ in range(3))
+        self.layers, self.slopes = unpack(self.flat, n_inputs), unpack(self.g, n_inputs)
+
+    def take(self, x: np.ndarray, y: np.ndarray) -> None:
+        inputs, masks = [x], []
+        for w, bias in self.layers[:-1]:
+            z = inputs[-1] @ w
+            z += bias
+            masks.append((z > 0) * (self.rng.random(z.shape) >= DROPOUT) / (1.0 - DROPOUT))
+            z *= masks[-1]
+            inputs.append(z)
+        w, bias = self.layers[-1]
+        delta = inputs[-1] @ w
+        delta += bias
+        delta -= y[:, None]
+        delta *= 2.0
+        delta /= len(y)
+        for i in reversed(range(len(self.layers))):
+            delta.sum(axis=0, out=self.slopes[i][1])
+            np.matmul(inputs[i].T, delta, out=self.slopes[i][0])
+            if i:
+                delta = delta @ self.layers[i][0].T
+                delta *= masks[i - 1]
+        self._update()
+
+    def _update(self) -> None:
+        self.t += 1
+        g, m, v, a, b = self.g, self.m, self.v, self.a, self.b
+        m *= ADAM["beta1"]
+        m += np.multiply(g, 1 - ADAM["beta1"], out=a)
+        np.multiply(g, 1 - ADAM["beta2"], out=a)
+        a *= g
+        v *= ADAM["beta2"]
+        v += a
+        np.divide(v, 1 - ADAM["beta2"] ** self.t, out=a)
+        np.sqrt(a, out=a)
+        a += ADAM["eps"]
+        np.divide(m, 1 - ADAM["beta1"] ** self.t, out=b)
+        b *= ADAM["lr"]
+        b /= a
+        self.flat -= b
+
+
 def _round(state: np.ndarray, step: int, seed: int, n_inputs: int):
     """One pass over a partition: measure, then train; emits one summed vector."""
     size = (len(state)) // 3
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
-        shared = state[:size]
-        flat, m, v = (state[i * size : (i + 1) * size].copy() for i in range(3))
-        t, n_train, n_valid, squared = step, 0, 0, 0.0
-        for pdf in batches:
-            x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy()
-            held = pdf["held_out"].to_numpy()
+        shared, steps = state[:size], _Steps(state, n_inputs, step, rng)
+        n_train, n_valid, squared = 0, 0, 0.0
+        for batch in batches:
+            *x, y, held = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.stack(x, axis=1)
             if held.any():
                 squared += float(((forward(shared, x[held]) - y[held]) ** 2).sum())
                 n_valid += int(held.sum())
             x, y = x[~held], y[~held]
             order = rng.permutation(len(y))
-            for lo in range(0, len(order), BATCH):
-                pick = order[lo : lo + BATCH]
-                g = gradient(flat, x[pick], y[pick], rng)
-                t += 1
-                m *= ADAM["beta1"]
-                m += (1 - ADAM["beta1"]) * g
-                v *= ADAM["beta2"]
-                v += (1 - ADAM["beta2"]) * g * g
-                m_hat, v_hat = m / (1 - ADAM["beta1"] ** t), v / (1 - ADAM["beta2"] ** t)
-                flat -= ADAM["lr"] * m_hat / (np.sqrt(v_hat) + ADAM["eps"])
+            x, y = x[order], y[order]
+            for lo in range(0, len(y), BATCH):
+                steps.take(x[lo : lo + BATCH], y[lo : lo + BATCH])
             n_train += len(y)
-        sums = np.concatenate([n_train * np.concatenate([flat, m, v]), [n_train, n_train * (t - step), n_valid, squared]])
-        yield pd.DataFrame({"sums": [sums]})
+        took = steps.t - step
+        sums = np.concatenate([n_train * np.concatenate([steps.flat, steps.m, steps.v]), [n_train, n_train * took, n_valid, squared]])
+        yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], names=["sums"])
 
     return run
 
@@ -186,8 +229,8 @@ def fit_neural(
     """
     data = (
         train.select(
-            F.array(*inputs).alias("x"),
-            F.col(LABEL_COL).alias("y"),
+            *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(inputs)],
+            F.col(LABEL_COL).cast("double").alias("y"),
             (hash_bucket(KEY_COLS, seed + 2, 100) < VALIDATION_PERCENT).alias("held_out"),
             F.xxhash64(*KEY_COLS).alias("_place"),
         )
@@ -202,7 +245,7 @@ def fit_neural(
     try:
         # One round more than there are epochs: it measures the last parameters.
         for epoch in range(max_epochs + 1):
-            sums = data.mapInPandas(_round(state, step, seed + epoch, n_inputs), "sums array<double>")
+            sums = data.mapInArrow(_round(state, step, seed + epoch, n_inputs), "sums array<double>")
             total = sums.select(F.posexplode("sums").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s"))
             vector = np.empty(len(state) + 4)
             for row in total.collect():

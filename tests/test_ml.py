@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hazeflow.ml.explain import linear_shap, permutation_importance, scaled_coefficients, tree_importance
 from hazeflow.ml.gram import ridge_from_gram
 from hazeflow.ml.metrics import champion_select, regression_metrics
+from hazeflow.ml import neural
 from hazeflow.ml.models import fit, ridge, score, train_and_evaluate
 from hazeflow.ml.neural import NeuralUnit, fit_neural, gradient, forward, initial_parameters, layer_shapes
 from hazeflow.ml.registry import load_champion, read_registry, register_model
@@ -265,3 +266,17 @@ def test_bucket_is_the_documented_hash(spark):
     got = df.select(hash_bucket(["city", "timestamp"], 42, 100).alias("b"), F.expr("pmod(xxhash64(city, timestamp, 42), 100)").alias("w")).first()
     assert got.b == got.w
     assert fit_scaler(df.withColumn("x", F.lit(2.0)), ["x"])[0].getStatement().endswith("FROM __THIS__")
+
+
+def test_steps_in_place_equal_plain_steps():
+    """Minibatches in place are Adam on ``gradient``, bit by bit."""
+    rng = np.random.default_rng(3)
+    x, y, flat = rng.normal(size=(70, 5)), rng.normal(size=70), initial_parameters(5, 1)
+    steps, draws = neural._Steps(np.concatenate([flat, np.zeros(2 * len(flat))]), 5, 2, np.random.default_rng(9)), np.random.default_rng(9)
+    m, v, adam = np.zeros_like(flat), np.zeros_like(flat), neural.ADAM
+    for t, lo in enumerate(range(0, 70, neural.BATCH), 3):
+        g = gradient(flat, x[lo : lo + neural.BATCH], y[lo : lo + neural.BATCH], draws)
+        m, v = adam["beta1"] * m + (1 - adam["beta1"]) * g, adam["beta2"] * v + (1 - adam["beta2"]) * g * g
+        flat = flat - adam["lr"] * (m / (1 - adam["beta1"] ** t)) / (np.sqrt(v / (1 - adam["beta2"] ** t)) + adam["eps"])
+        steps.take(x[lo : lo + neural.BATCH], y[lo : lo + neural.BATCH])
+    assert steps.t == 5 and np.array_equal(steps.flat, flat) and np.array_equal(steps.m, m) and np.array_equal(steps.v, v)
