@@ -1,6 +1,6 @@
 """Grid search in shared passes over the training blocks.
 
-Settings are models that grow together, boosters those of all folds: a level of all of them is one aggregate (see ``trees``). What is the same is grown once:
+Settings are models that grow together, boosters those of all folds: each in a task, or a level of all of them as one aggregate (see ``trees``). What is the same is grown once:
 
 * Boosting's first n rounds are the model of n rounds, so one model per (rate, depth, share) serves every number of rounds.
 * A forest's splits do not depend on how deep its trees may go or which nodes are too small to split: one forest per fold, grown to the loosest limits, serves
@@ -74,9 +74,10 @@ def grid_search(train: DataFrame, test: DataFrame, kind: str, grid: dict | None
     stored = blocks(with_fold(usable, folds), cols, edges, "fold")
     specs, variants = _plan(kind, settings, [*range(folds), NO_FOLD])
     scores = {}
-    # Forests are grown in a few jobs, so one fold's after the other: their nodes need not be held together. Boosters take many, so all grow together.
+    # Forests are grown in a few jobs, so one fold's after the other: their nodes need not be held together. Boosters all grow in one job, or share many.
     for some in [[i] for i in range(len(specs))] if kind == "forest" else [[*range(len(specs))]]:
-        grown = Growth(stored, [specs[i] for i in some], len(cols)).grow()
+        grown = Growth(stored, [specs[i] for i in some], len(cols))
+        grown = grown.grow_apart() if grown.fits_apart() else grown.grow()
         own = {k: (some.index(v[0]), *v[1:]) for k, v in variants.items() if v[0] in some}
         measured = [k for k in own if k[1] != NO_FOLD]
         if measured:

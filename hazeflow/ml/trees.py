@@ -9,6 +9,9 @@ A node of at most ``NEAR_ROWS`` rows is grown to its end at once: its rows meet
 follows from how often the rows must be halved to get there, not from the depth of the trees. A forest's small nodes wait for each other and end in one job. Boosters do so
 up to ``NEAR_MODEL`` training rows; beyond, a level's sums are less to send than its rows.
 
+A search has many boosters, whose rounds follow one another: up to ``ALONE_ROWS`` training rows each is a task, which gets the blocks and grows all rounds by the same
+sums and splits, so that the search is one job (``Growth.grow_apart``). Beyond, rows are never brought together, and a level of all boosters is a job.
+
 Sums are integers: gradients are rounded to a fixed point that fits the number of rows. So they do not depend on the order of
 addition, and trees not on partitioning, failures or the size of blocks. Equal gains go to the earlier input, then the lower bin.
 
@@ -52,6 +55,8 @@ MARGIN_TREES = 8
 TASK_SUMS = 1 << 20
 #: Rows of a node that one task takes, training rows up to which boosters do so too, rows that a task grows side by side, and that it takes before another one is used.
 NEAR_ROWS, NEAR_MODEL, NEAR_CHUNK, TASK_ROWS = 1 << 14, 1 << 17, 1 << 15, 1 << 20
+#: Training rows up to which one task grows a booster of a search; they take it about 150 MB.
+ALONE_ROWS = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,14 +204,28 @@ class Nodes:
 def walk(bins: np.ndarray, root: int, feature: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The leaf of every row."""
     node = np.full(len(bins), root, np.int64)
-    going = np.arange(len(bins)) if left[root] >= 0 else np.zeros(0, np.int64)
+    if left[root] < 0:
+        return node
+    flat, going, here = bins.ravel(), np.arange(len(bins)), node
+    start = going * bins.shape[1]
     while len(going):
-        here = node[going]
-        node[going] = left[here] + (bins[going, feature[here]] > at[here])
-        going = going[left[node[going]] >= 0]
+        here = left[here] + (flat[start + feature[here]] > at[here])
+        on = left[here] >= 0
+        if not on.all():
+            node[going[~on]] = here[~on]
+            going, start, here = going[on], start[on], here[on]
     return node
 
 
+def leaf_values(g: np.ndarray, h: np.ndarray, scale: float, penalty: np.ndarray | float, rate: np.ndarray | float) -> np.ndarray:
+    """What leaves add to the prediction."""
+    found = g / -scale
+    found /= np.maximum(h + penalty, 1e-300)
+    found *= rate
+    found *= h > 0
+    return found
+
+
 @dataclass
 class Level:
     """What the tasks of a level need: nodes from ``offset`` on, the trees that grow and those finished since margins were written."""
@@ -257,16 +276,26 @@ def histogram(slot: np.ndarray, n_slots: int, bins: np.ndarray, g: np.ndarray, w
     if n_slots * BINS > 2 * n:
         key = ((slot[:, None] * n_inputs + np.arange(n_inputs)) * BINS + bins).ravel()
         return _merged(key, [np.repeat(x, n_inputs) for x in (g, w, np.ones(n, np.int64))])
-    # Counting adds up doubles: gradients go in two parts, whose sums are exact.
-    parts, size = (g >> 24, g & 0xFFFFFF, w, None), n_slots * BINS
-    dense = np.empty((4, n_slots, n_inputs, BINS), np.int64)
+    # Counting adds up doubles, exactly below 2^53: gradients go in two parts, and the number of rows above the lower one.
+    wide = n.bit_length()
+    cut = min(24, 53 - 2 * wide)
+    if cut < 9:
+        half = n // 2
+        own = (histogram(slot[a:b], n_slots, bins[a:b], g[a:b], w[a:b]) for a, b in ((0, half), (half, n)))
+        return _merged(*(lambda keys, sums: (np.concatenate(keys), [np.concatenate(x) for x in zip(*sums)]))(*zip(*own)))
+    once = bool((w == 1).all())
+    parts = [(g >> cut).astype(float), ((g & ((1 << cut) - 1)) + (1 << (cut + wide))).astype(float), *([] if once else [w.astype(float)])]
+    first, size = slot * BINS, n_slots * BINS
+    dense = np.empty((len(parts), n_slots, n_inputs, BINS))
     for f in range(n_inputs):
-        key = slot * BINS + bins[:, f]
+        key = first + bins[:, f]
         for k, x in enumerate(parts):
             dense[k, :, f] = np.bincount(key, x, size).reshape(n_slots, BINS)
-    high, low, h, rows = dense.reshape(4, -1)
-    key = np.flatnonzero(rows)
-    return key, [(high[key] << 24) + low[key], h[key], rows[key]]
+    dense = dense.reshape(len(parts), -1)
+    key = np.flatnonzero(dense[1])
+    high, low, *weight = dense[:, key].astype(np.int64)
+    rows = low >> (cut + wide)
+    return key, [(high << cut) + (low & ((1 << (cut + wide)) - 1)), rows if once else weight[0], rows]
 
 
 def contributions(block: Block, group: int, level: Level, near: np.ndarray) -> Iterator[tuple[bool, np.ndarray, list[np.ndarray], np.ndarray | None]]:
@@ -393,6 +422,30 @@ def _grown(at: np.ndarray, bins: np.ndarray, g: np.ndarray, w: np.ndarray, scale
     return part
 
 
+APART = f"model int, {GROWN}"
+
+
+def boosted(key: np.ndarray, bins: np.ndarray, y: np.ndarray, spec: Spec, base: float, scale: float) -> Iterator[pa.RecordBatch]:
+    """The trees of a booster of these rows, round by round; ``slot`` is the tree's number."""
+    margin = np.full(len(y), base)
+    limits = Limits(*(np.array([x]) for x in (spec.penalty, LEAST_GAIN, _deepest(spec), spec.least_rows, True)))
+    for number in range(spec.trees):
+        g = np.rint((margin - y) * scale).astype(np.int64)
+        own = slice(None) if spec.share >= 1.0 else np.flatnonzero(row_weights(key, spec, number))
+        of, gradient = bins[own], g[own]
+        ones = np.ones(len(gradient), np.int64)
+        # A sample may hold no row at all; its tree is one leaf.
+        if len(gradient):
+            part = _grown(np.zeros(len(gradient), np.int64), of, gradient, ones, scale, limits)
+        else:
+            part, none = Part(1), np.zeros(1, np.int64)
+            part.leaves(none, none, none, none, none, 0)
+        tree = part.batch(np.array([number]))
+        feature, at, left, sum_g, sum_h = (tree.column(c).to_numpy() for c in ("feature", "bin", "left", "g", "h"))
+        margin += leaf_values(sum_g, sum_h, scale, spec.penalty, spec.rate)[walk(bins, 0, feature, at, left)]
+        yield tree
+
+
 def best_splits(key: np.ndarray, sums: list[np.ndarray], n_inputs: int, scale: float, penalty: np.ndarray, least: np.ndarray) -> dict[str, np.ndarray]:
     """The best split of every node in the sums; feature is -1 where nothing gains. ``penalty`` and ``least`` gain by place in the frontier."""
     stretch = key // BINS
@@ -425,7 +478,7 @@ class Growth:
     """Grows the trees of all specs together. ``groups`` deals models to tasks where blocks are fewer than cores."""
 
     def __init__(self, stored: DataFrame, specs: list[Spec], n_inputs: int) -> None:
-        self.spark, self.specs, self.n_inputs = stored.sparkSession, specs, n_inputs
+        self.spark, self.stored, self.specs, self.n_inputs = stored.sparkSession, stored, specs, n_inputs
         self.cores = self.spark.sparkContext.defaultParallelism
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.nodes, self.roots = Nodes(), [[] for _ in specs]
@@ -447,11 +500,7 @@ class Growth:
         """What a leaf adds to the prediction."""
         model, h = self.model_of[self.nodes.tree[cut]], self.nodes.h[cut]
         penalty, rate = (np.array([getattr(s, k) for s in self.specs])[model] for k in ("penalty", "rate"))
-        found = self.nodes.g[cut] / -self.scale
-        found /= np.maximum(h + penalty, 1e-300)
-        found *= rate
-        found *= h > 0
-        return found
+        return leaf_values(self.nodes.g[cut], h, self.scale, penalty, rate)
 
     @property
     def model_of(self) -> np.ndarray:
@@ -481,6 +530,45 @@ class Growth:
         self.units.unpersist()
         return self
 
+    def fits_apart(self) -> bool:
+        """Whether all models are boosters with rows, few enough for a task."""
+        return not any(s.forest for s in self.specs) and bool((self.rows_of > 0).all() and (self.rows_of <= ALONE_ROWS).all())
+
+    def grow_apart(self) -> Growth:
+        """The trees that ``grow`` grows, in one job: a task per booster, the deepest first."""
+        self.levels += 1
+        specs, base, scale, n_inputs = self.specs, self.base, self.scale, self.n_inputs
+        work = sorted(range(len(specs)), key=lambda m: (-_deepest(specs[m]) * specs[m].trees, m))
+
+        def boost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    block = Block.of({**row, "margin": None}, n_inputs, 0)
+                    own = block.fold != specs[work[row["task"]]].fold
+                    found.setdefault(work[row["task"]], []).append((block.key[own], block.bins[own], block.y[own]))
+            for m in found:
+                key, bins, y = (np.concatenate(x) for x in zip(*found[m]))
+                found[m] = None
+                for tree in boosted(key, bins, y, specs[m], base[m], scale):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(tree.num_rows, m, np.int32)), *tree.columns], names=["model", *GROWN_TYPES])
+
+        each = self.stored.select("n", "key", "bins", "y", "fold", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1))).alias("task"))
+        table = each.repartitionById(len(specs), "task").mapInArrow(boost, APART).toArrow()
+        c = {name: table.column(name).to_numpy() for name in table.column_names}
+        order = np.lexsort((c["node"], c["slot"], c["model"]))
+        c = {name: x[order] for name, x in c.items()}
+        roots = np.flatnonzero(c["node"] == 0)
+        tree = np.cumsum(c["node"] == 0) - 1
+        self.nodes.add(tree, c["depth"], c["g"], c["h"], c["n"])
+        self.nodes.left[:] = np.where(c["left"] >= 0, c["left"] + roots[tree], -1)
+        self.nodes.feature[:], self.nodes.bin[:], self.nodes.gain[:] = c["feature"], c["bin"], c["gain"]
+        self._tree_model, self._tree_number = c["model"][roots].tolist(), c["slot"][roots].tolist()
+        for m, root in zip(self._tree_model, roots.tolist()):
+            self.roots[m].append(root)
+        self.units.unpersist()
+        return self
+
     def _plant(self, models: list[int], growing: dict[int, int]) -> np.ndarray:
         """A new tree for each of the models; their roots."""
         first = len(self._tree_model)
@@ -636,9 +724,9 @@ class Growth:
                     m, d, k = todo[row["variant"]]
                     held = np.flatnonzero(block.fold == specs[m].fold)
                     ends = np.where((depth >= (np.iinfo(np.int16).max if d is None else d)) | (rows < k), -1, left)
-                    total, y, out = np.zeros(len(held)), block.y[held], []
+                    total, y, bins, out = np.zeros(len(held)), block.y[held], block.bins[held], []
                     for t, root in enumerate(roots[m], 1):
-                        total += value[walk(block.bins[held], root, feature, at, ends)]
+                        total += value[walk(bins, root, feature, at, ends)]
                         if t in counts[m, d, k]:
                             p = base[m] + (total / t if specs[m].forest else total)
                             out.append({"variant": row["variant"], "trees": t, "sse": float(np.square(p - y).sum()), "sy": float(y.sum()), "syy": float(np.square(y).sum()), "n": len(y)})

@@ -151,6 +151,47 @@ def test_small_nodes_end_in_one_job(rows, monkeypatch):
     assert Growth(stored, specs[2:3], 3).grow().levels > 3
 
 
+def test_boosters_of_a_search_end_in_one_job(rows, parts, monkeypatch):
+    """A task per booster grows the trees that are grown level by level, samples without rows included; a search of few rows takes one job, one of many rows a job per level."""
+    edges = bin_edges(rows, COLS)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 64)
+    stored = blocks(with_fold(rows, 3), COLS, edges, "fold")
+    specs = [Spec(3, 4, 0.3, 0.7), Spec(2, 2, 0.5, fold=0), Spec(4, 7, 0.1, 0.8, fold=2), Spec(2, 3, 0.1, 0.001, fold=1)]
+    monkeypatch.setattr(T, "NEAR_ROWS", 0)
+    apart, level = Growth(stored, specs, 3).grow_apart(), Growth(stored, specs, 3).grow()
+    assert apart.levels == 1 < level.levels
+    for i, s in enumerate(specs):
+        table = apart.model(i, COLS, edges).nodes
+        assert table["tree"].nunique() == s.trees and table.equals(level.model(i, COLS, edges).nodes)
+    variants = [(1, 2, None, 2), (1, 1, 1, 2), (2, 4, None, 2)]
+    np.testing.assert_allclose(apart.squared_errors(stored, variants), level.squared_errors(stored, variants))
+    monkeypatch.undo()
+    jobs, own = [], Growth._level
+    monkeypatch.setattr(Growth, "_level", lambda self, *a: jobs.append(1) or own(self, *a))
+    grid = {"maxIter": [2], "maxDepth": [2], "subsamplingRate": [0.8, 1.0]}
+    few = grid_search(*parts, "boosted", grid)
+    assert not jobs
+    monkeypatch.setattr(T, "ALONE_ROWS", 200)
+    many = grid_search(*parts, "boosted", grid)
+    assert len(jobs) > 1 and [s for s, _ in many[2]] == [s for s, _ in few[2]] and many[0].nodes.equals(few[0].nodes)
+    assert [r for _, r in many[2]] == pytest.approx([r for _, r in few[2]])
+
+
+@pytest.mark.parametrize("n,most", [(900, 3), (900, 1), (5_000_000, 1)])
+def test_counted_sums_are_exact(n, most):
+    """Large nodes' sums are those of integers, for large gradients too; rows of a node beyond what one count holds are dealt."""
+    rng = np.random.default_rng(5)
+    slot, bins = rng.integers(0, 3, n) if n < 1000 else np.zeros(n, np.int64), rng.integers(0, 3, (n, 2)).astype(np.uint8)
+    w, size = rng.integers(1, most + 1, n), 2 ** (60 - n.bit_length())
+    g = rng.integers(-size, size, n) // most * w
+    key, (sum_g, sum_h, rows) = T.histogram(slot, 1 + int(slot.max()), bins, g, w)
+    stretch = (slot[:, None] * 2 + np.arange(2)) * T.BINS + bins
+    for k, *found in zip(key, sum_g, sum_h, rows):
+        own = (stretch == k).any(axis=1)
+        assert found == [int(g[own].sum()), int(w[own].sum()), int(own.sum())]
+    assert len(key) == len(np.unique(stretch))
+
+
 def test_forest_with_few_bins_and_limited_depth(rows):
     """The settings of MLlib's forest: fewer bins, a largest depth."""
     nodes = fit_trees(rows, COLS, Spec(3, 4, forest=True), bins=8).nodes
