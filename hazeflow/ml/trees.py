@@ -57,6 +57,8 @@ TASK_SUMS = 1 << 20
 NEAR_ROWS, NEAR_MODEL, NEAR_CHUNK, TASK_ROWS = 1 << 14, 1 << 17, 1 << 15, 1 << 20
 #: Training rows up to which one task grows a booster of a search; they take it about 150 MB.
 ALONE_ROWS = 1 << 20
+#: Rows times trees of a forest up to which the driver holds its nodes, and nodes that are written as one row.
+HELD, STRETCH = 1 << 20, 1 << 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -372,6 +374,12 @@ class Part:
     def _add(self, place, node, left, depth, *rest) -> None:
         self.found.append([x.astype(t) for x, t in zip((place, node, left, np.full(len(place), depth), *rest), GROWN_TYPES.values())])
 
+    def table(self) -> dict[str, np.ndarray]:
+        """The nodes of a single place in order of their number."""
+        columns = [np.concatenate(x) for x in zip(*self.found)]
+        order = np.argsort(columns[1])
+        return {name: x[order] for name, x in zip(GROWN_TYPES, columns)}
+
     def batch(self, slots: np.ndarray) -> pa.RecordBatch:
         """The nodes, those of a place together and in order of their number."""
         columns = [np.concatenate(x) for x in zip(*self.found)]
@@ -422,6 +430,125 @@ def _grown(at: np.ndarray, bins: np.ndarray, g: np.ndarray, w: np.ndarray, scale
     return part
 
 
+def whole_tree(bins: np.ndarray, g: np.ndarray, w: np.ndarray, scale: float, spec: Spec) -> WholeTree:
+    """A forest's tree of these rows: level by level while nodes have more than NEAR_ROWS rows, then some small ones at a time to their end."""
+    limits = lambda depth: Limits(*(np.full(len(depth), x) for x in (spec.penalty, 0.0)), _deepest(spec) - depth, np.full(len(depth), spec.least_rows), np.full(len(depth), True))
+    none = np.zeros(1, np.int64)
+    part, node, depth, rows, at = Part(1), none, 0, np.arange(len(g)), np.zeros(len(g), np.int64)
+    small = []
+    if not len(g):
+        part.leaves(none, none, none, none, none, 0)
+        node = none[:0]
+    elif len(g) <= NEAR_ROWS:
+        part.leaves(none, none, none, none, none, 0)
+        small, node = [(rows, at, none)], none[:0]
+    while len(node):
+        key, sums = histogram(at, len(node), bins[rows], g[rows], w[rows])
+        s = best_splits(key, sums, bins.shape[1], scale, np.full(len(node), spec.penalty), np.zeros(len(node)))
+        made, below = part.enter(np.zeros(len(node), np.int64), node, depth, s, limits(np.zeros(1, np.int64)))
+        depth += 1
+        near = below[4] <= NEAR_ROWS
+        on = (depth < _deepest(spec)) & (below[4] >= max(spec.least_rows, 2))
+        part.leaves(*[x[near | ~on] for x in below], depth)
+        own = np.flatnonzero(made[at])
+        rows, here = rows[own], at[own]
+        child = 2 * (np.cumsum(made) - 1)[here] + (bins[rows, s["feature"][here]] > s["bin"][here])
+        own = (near & on)[child]
+        if own.any():
+            small.append((rows[own], below[1][child[own]], below[1][near & on]))
+        own = (on & ~near)[child]
+        rows, at, node = rows[own], (np.cumsum(on & ~near) - 1)[child[own]], below[1][on & ~near]
+    c = part.table()
+    if small:
+        rows, slot, _ = (np.concatenate(x) for x in zip(*small))
+        kept = ("slot", "node", "left", "depth", "feature", "bin", "g", "h", "n")
+        grown = [[batch.column(k).to_numpy() for k in kept] for batch in to_the_end(slot, bins[rows], g[rows], w[rows], scale, limits(c["depth"].astype(np.int64)))]
+        s = dict(zip(kept, (np.concatenate(x) for x in zip(*grown))))
+        grown.clear()
+        top, old = s["node"] == 0, len(c["node"])
+        # A place's nodes come together: its first child has the number of all children before.
+        left = np.where(s["left"] >= 0, np.repeat(old + np.cumsum(~top)[top], np.diff(np.r_[np.flatnonzero(top), len(top)])) + s["left"] - 1, -1)
+        depth_of = c["depth"][s["slot"]] + s["depth"]
+        here = s["slot"][top]
+        for k, x in {**{k: s[k] for k in ("feature", "bin", "g", "h", "n")}, "left": left, "depth": depth_of}.items():
+            c[k][here] = x[top]
+            c[k] = np.concatenate((c[k], x[~top].astype(c[k].dtype)))
+    order = breadth_first(c["left"])
+    return WholeTree.of(*(c[k][order] for k in ("feature", "bin", "g", "h", "n")))
+
+
+def breadth_first(left: np.ndarray) -> np.ndarray:
+    """The nodes that a tree's root reaches, level by level; children in the order of their parents."""
+    levels, here = [], np.zeros(1, np.int64)
+    while len(here):
+        levels.append(here)
+        here = left[here]
+        here = (here[here >= 0].astype(np.int64)[:, None] + np.arange(2)).ravel()
+    return np.concatenate(levels)
+
+
+@dataclass
+class WholeTree:
+    """A tree breadth first: the children of its k-th split are the nodes 2k - 1 and 2k. So splits and the sums of leaves are all that needs to be kept."""
+
+    feature: np.ndarray
+    bin: np.ndarray
+    g: np.ndarray
+    h: np.ndarray
+    n: np.ndarray
+    left: np.ndarray
+    depth: np.ndarray
+
+    @classmethod
+    def of(cls, feature: np.ndarray, bin_: np.ndarray, *sums: np.ndarray) -> WholeTree:
+        inner = feature >= 0
+        depth, a, b, level = np.zeros(len(feature), np.int16), 0, 1, 0
+        while a < b:
+            depth[a:b] = level
+            a, b, level = b, b + 2 * int(inner[a:b].sum()), level + 1
+        return cls(feature, bin_, *sums, np.where(inner, 2 * np.cumsum(inner, dtype=np.int32) - 1, np.int32(-1)), depth)
+
+    def packed(self) -> Iterator[list]:
+        """Stretches of nodes as bytes: input and bin of each, gradient, hessian and rows of leaves."""
+        for a in range(0, len(self.feature), STRETCH):
+            own = slice(a, a + STRETCH)
+            leaf = self.feature[own] < 0
+            values = ((self.feature[own], "<i2"), (self.bin[own], "u1"), *((x[own][leaf], "<i8") for x in (self.g, self.h, self.n)))
+            yield [x.astype(t).tobytes() for x, t in values]
+
+    @classmethod
+    def unpacked(cls, stretches: list[tuple]) -> WholeTree:
+        feature, bin_, *of_leaves = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*stretches), ("<i2", "u1", "<i8", "<i8", "<i8")))
+        inner = feature >= 0
+        ends, a, b = [], 0, 1
+        while a < b:
+            ends.append((a, b))
+            a, b = b, b + 2 * int(inner[a:b].sum())
+        sums = []
+        for x in of_leaves:
+            whole = np.zeros(len(feature), np.int64)
+            whole[~inner] = x
+            for (a, b), (c, d) in zip(ends[-2::-1], ends[:0:-1]):
+                whole[a + np.flatnonzero(inner[a:b])] = whole[c:d].reshape(-1, 2).sum(axis=1)
+            sums.append(whole)
+        return cls.of(feature, bin_, *sums)
+
+    def stopped(self, depth: int | None, least_rows: int) -> np.ndarray:
+        """``left`` of the tree stopped at ``depth`` and below ``least_rows`` rows."""
+        return np.where((self.depth >= (np.iinfo(np.int16).max if depth is None else depth)) | (self.n < least_rows), np.int32(-1), self.left)
+
+    def values(self, scale: float, spec: Spec) -> np.ndarray:
+        return leaf_values(self.g, self.h, scale, spec.penalty, spec.rate)
+
+    def gains(self, left: np.ndarray, scale: float) -> np.ndarray:
+        """The gain of each split, as ``best_splits`` has it."""
+        own = np.flatnonzero(left >= 0)
+        part = lambda at: np.square(self.g[at] / scale) / np.maximum(self.h[at], 1e-300)
+        out = np.zeros(len(left))
+        out[own] = part(left[own]) + part(left[own] + 1) - part(own)
+        return out
+
+
 APART = f"model int, {GROWN}"
 
 
@@ -534,6 +661,10 @@ class Growth:
         """Whether all models are boosters with rows, few enough for a task."""
         return not any(s.forest for s in self.specs) and bool((self.rows_of > 0).all() and (self.rows_of <= ALONE_ROWS).all())
 
+    def is_large_forest(self) -> bool:
+        """Whether this is one forest whose nodes the driver should not hold, of rows few enough for a task (see ``forest``)."""
+        return len(self.specs) == 1 and self.specs[0].forest and bool(0 < self.rows_of[0] <= ALONE_ROWS) and self.specs[0].trees * int(self.rows_of[0]) > HELD
+
     def grow_apart(self) -> Growth:
         """The trees that ``grow`` grows, in one job: a task per booster, the deepest first."""
         self.levels += 1
@@ -872,5 +1003,9 @@ def descend(x: np.ndarray, root: int, feature: np.ndarray, threshold: np.ndarray
 def fit_trees(train: DataFrame, cols: list[str], spec: Spec, label: str = LABEL_COL, bins: int = BINS) -> TreeModel:
     """One boosted model or forest."""
     edges = bin_edges(train.select(*cols, label).dropna(), cols, bins)
-    grown = Growth(blocks(train, cols, edges, label=label), [spec], len(cols)).grow()
-    return grown.model(0, cols, edges, least_rows=spec.least_rows)
+    growth = Growth(blocks(train, cols, edges, label=label), [spec], len(cols))
+    if growth.is_large_forest():
+        from .forest import write_forest
+
+        return write_forest(growth, cols, edges)
+    return growth.grow().model(0, cols, edges, least_rows=spec.least_rows)

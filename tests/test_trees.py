@@ -279,3 +279,44 @@ def test_odd_rows(spark, rows, tmp_path):
     constant = fit_trees(rows.withColumn("target_aqi", F.lit(7.0)), COLS, Spec(3, forest=True))
     assert len(constant.nodes) == 3 and constant.transform(rows).where("abs(prediction - 7) < 1e-9").count() == rows.count()
     assert r2_of(0.0, 2.0, 2.0, 2) == 1.0 and r2_of(1.0, 2.0, 2.0, 2) == 0.0 and np.isnan(r2_of(0.0, 0.0, 0.0, 0))
+
+
+def test_large_forests_are_written_not_held(spark, rows, tmp_path, monkeypatch):
+    """A forest that tasks write is the one the driver would hold, in few and in many stretches and chunks, and so are its predictions; no level reaches the driver."""
+    x, _, _ = arrays(rows)
+    odd = rows.withColumn("pm25", F.when(F.col("hour") > 3, F.col("pm25"))).withColumn("_row", F.lit(1)).withColumn("prediction", F.lit(0.0)).withColumn("last", F.lit(1))
+    held = []
+    for spec in (Spec(5, forest=True), Spec(3, 4, forest=True, least_rows=5)):
+        model = fit_trees(rows, COLS, spec)
+        root, feature, threshold, left, value, _ = model.arrays()
+        held.append((spec, model, model.base + sum(value[T.descend(x, r, feature, threshold, left)] for r in root)))
+    monkeypatch.setattr(T, "HELD", 0)
+    for gone, name in ((Growth, "_level"), (TreeModel, "arrays")):
+        monkeypatch.setattr(gone, name, lambda *a: pytest.fail("nodes reach the driver"))
+    for (spec, model, want), near, stretch, most in zip(held, (30, T.NEAR_ROWS), (7, T.STRETCH), (100, N)):
+        monkeypatch.setattr(T, "NEAR_ROWS", near)
+        monkeypatch.setattr(T, "STRETCH", stretch)
+        with monkeypatch.context() as m:
+            m.setattr(T, "BLOCK_ROWS", 64)
+            written = fit_trees(rows, COLS, spec)
+            m.setattr(T, "ALONE_ROWS", most)
+            found = written.transform(odd).toPandas().sort_values(["city", "timestamp"], kind="stable")
+        assert list(found) == odd.columns
+        np.testing.assert_allclose(found["prediction"], np.where(x[:, 1] > 3, want, np.nan), rtol=1e-12)
+        assert written.nodes.equals(model.nodes)
+    assert written.importance() == pytest.approx(model.importance())
+    written.save(spark, f"{tmp_path}/m")
+    assert TreeModel.load(spark, f"{tmp_path}/m").nodes.equals(model.nodes)
+    assert written.transform(rows.where("false")).count() == 0
+
+
+def test_search_of_large_forests_holds_no_nodes(parts, monkeypatch):
+    """Folds measured where their trees are grown, and the best model written, are those of nodes held by the driver."""
+    grid = {"numTrees": [2, 3], "maxDepth": [4, None], "minSamplesSplit": [2, 5]}
+    few = grid_search(*parts, "forest", grid)
+    monkeypatch.setattr(T, "HELD", 0)
+    monkeypatch.setattr(Growth, "_level", lambda *a: pytest.fail("nodes reach the driver"))
+    monkeypatch.setattr(T, "BLOCK_ROWS", 64)
+    many = grid_search(*parts, "forest", grid)
+    assert [s for s, _ in many[2]] == [s for s, _ in few[2]] and [r for _, r in many[2]] == pytest.approx([r for _, r in few[2]], rel=1e-12)
+    assert many[1] == pytest.approx(few[1], rel=1e-12) and many[0].nodes.equals(few[0].nodes)
