@@ -17,6 +17,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 
 from ..schema import LABEL_COL
+from .forest import held_out_errors, write_forest
 from .metrics import METRICS, regression_metrics
 from .scaling import model_columns
 from .split import with_fold
@@ -74,18 +75,21 @@ def grid_search(train: DataFrame, test: DataFrame, kind: str, grid: dict | None
     stored = blocks(with_fold(usable, folds), cols, edges, "fold")
     specs, variants = _plan(kind, settings, [*range(folds), NO_FOLD])
     scores = {}
-    # Forests are grown in a few jobs, so one fold's after the other: their nodes need not be held together. Boosters all grow in one job, or share many.
+    # Forests are grown in a few jobs, so one fold's after the other: their nodes need not be held together, those of large ones not at all. Boosters all grow in one job, or share many.
     for some in [[i] for i in range(len(specs))] if kind == "forest" else [[*range(len(specs))]]:
         grown = Growth(stored, [specs[i] for i in some], len(cols))
-        grown = grown.grow_apart() if grown.fits_apart() else grown.grow()
         own = {k: (some.index(v[0]), *v[1:]) for k, v in variants.items() if v[0] in some}
         measured = [k for k in own if k[1] != NO_FOLD]
+        if not (large := grown.is_large_forest()):
+            grown = grown.grow_apart() if grown.fits_apart() else grown.grow()
         if measured:
-            scores.update(zip(measured, (r2_of(*e) for e in grown.squared_errors(stored, [own[k] for k in measured]))))
+            wanted = [own[k] for k in measured]
+            errors = held_out_errors(grown, wanted) if large else grown.squared_errors(stored, wanted)
+            scores.update(zip(measured, (r2_of(*e) for e in errors)))
     # The models of all training rows came last, or with all others.
     results = [(s, sum(scores[i, f] for f in range(folds)) / folds) for i, s in enumerate(settings)]
     best = max(range(len(settings)), key=lambda i: results[i][1])
     index, trees, depth, least = own[best, NO_FOLD]
-    model = grown.model(index, cols, edges, trees, depth, least)
+    model = write_forest(grown, cols, edges, trees, depth, least) if large else grown.model(index, cols, edges, trees, depth, least)
     row = regression_metrics(model.transform(test), LABEL_COL).first()
     return model, {m: row[m] for m in METRICS}, results
