@@ -9,8 +9,9 @@ A node of at most ``NEAR_ROWS`` rows is grown to its end at once: its rows meet
 follows from how often the rows must be halved to get there, not from the depth of the trees. A forest's small nodes wait for each other and end in one job. Boosters do so
 up to ``NEAR_MODEL`` training rows; beyond, a level's sums are less to send than its rows.
 
-A search has many boosters, whose rounds follow one another: up to ``ALONE_ROWS`` training rows each is a task, which gets the blocks and grows all rounds by the same
-sums and splits, so that the search is one job (``Growth.grow_apart``). Beyond, rows are never brought together, and a level of all boosters is a job.
+A search has many boosters, whose rounds follow one another: up to ``ALONE_ROWS`` training rows each is grown by one task, which gets the blocks and grows all rounds by the
+same sums and splits, so that the search is one job (``Growth.grow_apart``). Beyond, rows are never brought together, and a level of all boosters is a job.
+A large forest's trees are grown by tasks as well, and its nodes stay there (``forest``).
 
 Sums are integers: gradients are rounded to a fixed point that fits the number of rows. So they do not depend on the order of
 addition, and trees not on partitioning, failures or the size of blocks. Equal gains go to the earlier input, then the lower bin.
@@ -55,8 +56,10 @@ MARGIN_TREES = 8
 TASK_SUMS = 1 << 20
 #: Rows of a node that one task takes, training rows up to which boosters do so too, rows that a task grows side by side, and that it takes before another one is used.
 NEAR_ROWS, NEAR_MODEL, NEAR_CHUNK, TASK_ROWS = 1 << 14, 1 << 17, 1 << 15, 1 << 20
-#: Training rows up to which one task grows a booster of a search; they take it about 150 MB.
-ALONE_ROWS = 1 << 20
+#: Training rows up to which one task grows a booster of a search, or trees of a forest; a million take a booster about 100 MB.
+ALONE_ROWS = 1 << 23
+#: Rows of a booster that are counted at a time, up to which all inputs are counted at once, and up to which each by itself; pairs of bins that are counted together.
+COUNT_ROWS, FEW_ROWS, JOINT_ROWS, JOINT_BINS = 1 << 16, 1 << 11, 1 << 15, 1 << 13
 #: Rows times trees of a forest up to which the driver holds its nodes, and nodes that are written as one row.
 HELD, STRETCH = 1 << 20, 1 << 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -552,24 +555,119 @@ class WholeTree:
 APART = f"model int, {GROWN}"
 
 
+class Counts:
+    """Sums of gradients and rows by input and bin, of any rows of a booster. Tables are (input, bin) laid flat.
+
+    Inputs of few bins are counted together with one of many, by pairs of bins, whose sums along each are those of the inputs.
+    Adding up is done in doubles, of so many rows at a time that no sum reaches 2^53; gradients beyond that go in two parts. So sums are those of integers.
+    """
+
+    def __init__(self, bins: np.ndarray) -> None:
+        self.columns = np.ascontiguousarray(bins.T)
+        self.n_inputs = len(self.columns)
+        self.first = np.arange(0, self.n_inputs * BINS, BINS)[:, None]
+        size = [int(c.max(initial=0)) + 1 for c in self.columns]
+        self.alone, self.together = [([f], [size[f]], c) for f, c in enumerate(self.columns)], []
+        left = sorted(range(self.n_inputs), key=lambda f: (size[f], f))
+        while left:
+            own = [left.pop()]
+            while left and np.prod([size[f] for f in (*own, left[0])]) <= JOINT_BINS:
+                own.append(left.pop(0))
+            joint = np.zeros(bins.shape[0], np.uint16)
+            for f in own:
+                joint *= np.uint16(size[f])
+                joint += self.columns[f]
+            self.together.append((own, [size[f] for f in own], joint))
+
+    def weigh(self, g: np.ndarray) -> None:
+        """Take the gradients of a round."""
+        most = max(int(g.max(initial=0)), -int(g.min(initial=0)))
+        parts = ((g, 0),) if most < 1 << (53 - COUNT_ROWS.bit_length()) else ((g >> 24, 24), (g & ((1 << 24) - 1), 0))
+        self.parts = [(x.astype(float), shift) for x, shift in parts]
+
+    def of(self, rows: np.ndarray | None) -> np.ndarray:
+        """(2, input x bin): sums of the gradients, and counts. None is all rows."""
+        out = np.zeros((2, self.n_inputs * BINS), np.int64)
+        n = self.columns.shape[1] if rows is None else len(rows)
+        groups = [] if n <= FEW_ROWS else self.alone if n <= JOINT_ROWS else self.together
+        tables = [np.zeros((2, int(np.prod(size))), np.int64) for _, size, _ in groups]
+        for a in range(0, n, COUNT_ROWS):
+            own = slice(a, a + COUNT_ROWS) if rows is None else rows[a : a + COUNT_ROWS]
+            weights = [(x[own], shift) for x, shift in self.parts]
+            if n <= FEW_ROWS:
+                key = (self.columns[:, own] + self.first).ravel()
+                for x, shift in weights:
+                    out[0] += np.bincount(key, np.tile(x, self.n_inputs), out.shape[1]).astype(np.int64) << shift
+                out[1] += np.bincount(key, minlength=out.shape[1])
+                continue
+            for table, (_, size, joint) in zip(tables, groups):
+                key, cells = joint[own].astype(np.intp), table.shape[1]
+                for x, shift in weights:
+                    table[0] += np.bincount(key, x, cells).astype(np.int64) << shift
+                table[1] += np.bincount(key, minlength=cells)
+        for table, (inputs, size, _) in zip(tables, groups):
+            table = table.reshape(2, *size)
+            for k, f in enumerate(inputs):
+                out[:, f * BINS : f * BINS + size[k]] = table.sum(axis=tuple(j + 1 for j in range(len(size)) if j != k))
+        return out
+
+
 def boosted(key: np.ndarray, bins: np.ndarray, y: np.ndarray, spec: Spec, base: float, scale: float) -> Iterator[pa.RecordBatch]:
-    """The trees of a booster of these rows, round by round; ``slot`` is the tree's number."""
-    margin = np.full(len(y), base)
+    """The trees of a booster of these rows, round by round; ``slot`` is the tree's number.
+
+    Rows are kept by node. Of two children the one of fewer rows is counted, and the other is what its parent has more.
+    """
+    margin, every = np.full(len(y), base), np.arange(len(y))
+    counts = Counts(bins)
     limits = Limits(*(np.array([x]) for x in (spec.penalty, LEAST_GAIN, _deepest(spec), spec.least_rows, True)))
     for number in range(spec.trees):
         g = np.rint((margin - y) * scale).astype(np.int64)
-        own = slice(None) if spec.share >= 1.0 else np.flatnonzero(row_weights(key, spec, number))
-        of, gradient = bins[own], g[own]
-        ones = np.ones(len(gradient), np.int64)
-        # A sample may hold no row at all; its tree is one leaf.
-        if len(gradient):
-            part = _grown(np.zeros(len(gradient), np.int64), of, gradient, ones, scale, limits)
+        if spec.share >= 1.0:
+            own, rest = every, every[:0]
+        else:
+            drawn = row_weights(key, spec, number) > 0
+            own, rest = np.flatnonzero(drawn), np.flatnonzero(~drawn)
+        part, none, leaves = Part(1), np.zeros(1, np.int64), []
+        if len(own):
+            counts.weigh(g)
+            # Of each open node: its number, sums, the rows that the tree sees, and the others.
+            level, depth = [(0, counts.of(None if own is every else own), own, rest)], 0
         else:
-            part, none = Part(1), np.zeros(1, np.int64)
+            # A sample may hold no row at all; its tree is one leaf.
             part.leaves(none, none, none, none, none, 0)
+            level, leaves = [], [(0, every)]
+        while level:
+            node = np.array([x[0] for x in level])
+            sums = np.stack([x[1] for x in level], axis=1).reshape(2, -1)
+            at = np.flatnonzero(sums[1])
+            sum_g, n = sums[:, at]
+            s = best_splits(at, [sum_g, n, n], bins.shape[1], scale, np.full(len(level), spec.penalty), np.full(len(level), LEAST_GAIN))
+            made, below = part.enter(np.zeros(len(level), np.int64), node, depth, s, limits)
+            depth += 1
+            on = (depth < _deepest(spec)) & (below[4] >= max(spec.least_rows, 2))
+            part.leaves(*[x[~on] for x in below], depth)
+            leaves += [(number_, r) for (number_, _, *both), m in zip(level, made) if not m for r in both]
+            above, level = [x for x, m in zip(level, made) if m], []
+            for k, ((_, table, own, rest), f, b) in enumerate(zip(above, s["feature"][made].tolist(), s["bin"][made].tolist())):
+                sides = []
+                for rows in (own, rest):
+                    right = counts.columns[f][rows] > b
+                    sides.append((rows.compress(~right), rows.compress(right)))
+                goes, number_ = on[2 * k : 2 * k + 2], below[1][2 * k : 2 * k + 2].tolist()
+                if goes.any():
+                    few = int(len(sides[0][1]) < len(sides[0][0]))
+                    tables = [None, None]
+                    tables[few] = counts.of(sides[0][few])
+                    tables[1 - few] = table - tables[few]
+                for i in (0, 1):
+                    if goes[i]:
+                        level.append((number_[i], tables[i], sides[0][i], sides[1][i]))
+                    else:
+                        leaves += [(number_[i], sides[0][i]), (number_[i], sides[1][i])]
         tree = part.batch(np.array([number]))
-        feature, at, left, sum_g, sum_h = (tree.column(c).to_numpy() for c in ("feature", "bin", "left", "g", "h"))
-        margin += leaf_values(sum_g, sum_h, scale, spec.penalty, spec.rate)[walk(bins, 0, feature, at, left)]
+        value = leaf_values(*(tree.column(c).to_numpy() for c in ("g", "h")), scale, spec.penalty, spec.rate)
+        for number_, rows in leaves:
+            margin[rows] += value[number_]
         yield tree
 
 
@@ -666,26 +764,31 @@ class Growth:
         return len(self.specs) == 1 and self.specs[0].forest and bool(0 < self.rows_of[0] <= ALONE_ROWS) and self.specs[0].trees * int(self.rows_of[0]) > HELD
 
     def grow_apart(self) -> Growth:
-        """The trees that ``grow`` grows, in one job: a task per booster, the deepest first."""
+        """The trees that ``grow`` grows, in one job: a task gets the blocks once and grows some boosters, each by itself, as much work as the others have."""
         self.levels += 1
         specs, base, scale, n_inputs = self.specs, self.base, self.scale, self.n_inputs
-        work = sorted(range(len(specs)), key=lambda m: (-_deepest(specs[m]) * specs[m].trees, m))
+        n_tasks = min(len(specs), 2 * self.cores)
+        work, load = [[] for _ in range(n_tasks)], [0] * n_tasks
+        cost = [int(self.rows_of[m]) * s.trees * max(1, _deepest(s) - 1) for m, s in enumerate(specs)]
+        for m in sorted(range(len(specs)), key=lambda m: (-cost[m], m)):
+            least = load.index(min(load))
+            work[least].append(m)
+            load[least] += cost[m]
 
         def boost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = {}
+            found, own = [], []
             for batch in batches:
                 for row in batch.to_pylist():
-                    block = Block.of({**row, "margin": None}, n_inputs, 0)
-                    own = block.fold != specs[work[row["task"]]].fold
-                    found.setdefault(work[row["task"]], []).append((block.key[own], block.bins[own], block.y[own]))
-            for m in found:
-                key, bins, y = (np.concatenate(x) for x in zip(*found[m]))
-                found[m] = None
+                    found.append(Block.of({**row, "margin": None}, n_inputs, 0))
+                    own = work[row["task"]]
+            for m in own:
+                trains = [b.fold != specs[m].fold for b in found]
+                key, bins, y = (np.concatenate([getattr(b, name)[t] for b, t in zip(found, trains)]) for name in ("key", "bins", "y"))
                 for tree in boosted(key, bins, y, specs[m], base[m], scale):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(tree.num_rows, m, np.int32)), *tree.columns], names=["model", *GROWN_TYPES])
 
-        each = self.stored.select("n", "key", "bins", "y", "fold", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1))).alias("task"))
-        table = each.repartitionById(len(specs), "task").mapInArrow(boost, APART).toArrow()
+        each = self.stored.select("n", "key", "bins", "y", "fold", F.explode(F.sequence(F.lit(0), F.lit(n_tasks - 1))).alias("task"))
+        table = each.repartitionById(n_tasks, "task").mapInArrow(boost, APART).toArrow()
         c = {name: table.column(name).to_numpy() for name in table.column_names}
         order = np.lexsort((c["node"], c["slot"], c["model"]))
         c = {name: x[order] for name, x in c.items()}

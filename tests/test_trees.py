@@ -192,6 +192,31 @@ def test_counted_sums_are_exact(n, most):
     assert len(key) == len(np.unique(stretch))
 
 
+def test_boosters_count_the_smaller_child(monkeypatch):
+    """A table of any rows is that of integers, however they are counted; a tree reads at most half of its rows for a level below its root."""
+    rng = np.random.default_rng(8)
+    n, size = 900, (40, 256, 7, 24, 1)
+    bins = np.stack([rng.integers(0, k, n) for k in size], axis=1).astype(np.uint8)
+    for most in (2**35, 2**50):
+        g = rng.integers(-most, most, n)
+        for few, alone, joint in ((1 << 10, 0, 0), (0, 1 << 10, 0), (0, 0, 1000), (0, 0, 1 << 13)):
+            for name, value in (("FEW_ROWS", few), ("JOINT_ROWS", alone), ("JOINT_BINS", joint), ("COUNT_ROWS", 256)):
+                monkeypatch.setattr(T, name, value)
+            counts = T.Counts(bins)
+            counts.weigh(g)
+            for rows in (None, np.flatnonzero(g > 0), np.zeros(0, np.int64)):
+                want = np.zeros((2, len(size), T.BINS), np.int64)
+                for f in range(len(size)):
+                    np.add.at(want[0, f], bins[slice(None) if rows is None else rows, f], g if rows is None else g[rows])
+                    np.add.at(want[1, f], bins[slice(None) if rows is None else rows, f], 1)
+                assert (counts.of(rows) == want.reshape(2, -1)).all()
+    monkeypatch.undo()
+    read, of = [], T.Counts.of
+    monkeypatch.setattr(T.Counts, "of", lambda self, rows: read.append(n if rows is None else len(rows)) or of(self, rows))
+    trees = list(T.boosted(np.arange(n, dtype=np.uint64), bins, bins[:, 1] * 2.0 + bins[:, 3], Spec(2, 5, 0.3), 100.0, 2.0**30))
+    assert len(trees) == 2 and trees[0].num_rows > 20 and sum(read) <= 2 * n * (1 + 4 / 2)
+
+
 def test_forest_with_few_bins_and_limited_depth(rows):
     """The settings of MLlib's forest: fewer bins, a largest depth."""
     nodes = fit_trees(rows, COLS, Spec(3, 4, forest=True), bins=8).nodes
